@@ -7,6 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_leaks
+from .embedding_dedup import near_duplicate_vectors
+from .license_scan import scan_licenses
+from .minhash_dedup import near_duplicates
+from .orc_tokens import tokenize_to_orc
+from .packing import pack_sequences
+from .sharding import shard
 from .substring_dedup import dedup_substrings
 
 
@@ -14,8 +21,43 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), limit=1 << 20)
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_to_orc(table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_sharding": op5_sharding,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_orc_tokens": op7_orc_tokens,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
