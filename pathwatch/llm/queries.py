@@ -13,18 +13,28 @@ from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
 from .orc_tokens import tokenize_to_orc
 from .packing import pack_sequences
+from .quality import score_quality
 from .sharding import shard
 from .substring_dedup import dedup_substrings
+from .toxicity import score_toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), limit=1 << 20)
 
@@ -51,7 +61,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_orc_tokens": op7_orc_tokens,
