@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
-from .textbuf import SPACE, Words, grams, mix, slices, text_buffer
+from .textbuf import Words, grams, mix, slices, text_buffer
 
 _M = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Representatives that one bucket compares in a round after the first.
-LANES = 8
+#: Parts of the hash space in which shared shingles are counted.
+PARTS = 64
 
 
 def _poisson(mean: float) -> np.ndarray:
@@ -66,7 +66,9 @@ def signatures(element: np.ndarray, doc: np.ndarray, n_docs: int, k: int, weight
     filled = np.zeros(n_docs * k, bool)
     cell = 0
     while len(element):
-        start, width = _cell(cell)
+        if cell == 5 and weight is None:  # what is left has few distinct elements, but may repeat them often
+            element, doc, _ = _weighted(element, doc)
+        width = _cell(cell)[1]
         counts = _COUNTS[width]
         h = mix(element + _M((cell + 1) * 0x9E3779B97F4A7C15 % 2**64))
         some = np.flatnonzero(h >= counts[0])
@@ -156,17 +158,49 @@ def _sets(words: int, counted: bool):
     return sets
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of each document's shared shingles fall in each of PARTS parts of the hash space."""
+    for batch in batches:
+        lists = batch["shingles"]
+        sizes = np.diff(lists.offsets.to_numpy())
+        of = np.repeat(np.arange(len(batch)), sizes)
+        cell = of * PARTS + (mix(lists.flatten().to_numpy().view(np.uint64)) % _M(PARTS)).astype(np.int64)
+        counts = np.bincount(cell, minlength=len(batch) * PARTS).astype(np.int32)
+        bounds = pa.array(np.arange(len(batch) + 1) * PARTS, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch["doc"], batch["n"], lists, pa.ListArray.from_arrays(bounds, pa.array(counts))], ["doc", "n", "shingles", "parts"])
+
+
+def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(doc, n, shingles, parts): of each set (doc_id, shingles) its size and what other sets hold of it, too.
+
+    Shingles of one document alone can't be in common, so a set of which less than `similarity` is shared has no link
+    and is left out.
+    """
+    flat = sets.select(F.col("doc_id").alias("doc"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    common = flat.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    kept = flat.join(common.hint("merge"), "g").groupBy("doc", "n").agg(F.collect_list("g").alias("shingles"))
+    return kept.where(F.size("shingles") >= similarity * F.col("n") - 1e-9).select("doc", "n", "shingles").mapInArrow(_parts, "doc long, n int, shingles array<long>, parts array<int>")
+
+
+def _can_link(similarity: float) -> Column:
+    """Whether two sets can be similar enough: their shared shingles in each part bound what they have in common."""
+    most = F.aggregate(F.zip_with("parts", "rep.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return most * (1 + similarity) >= similarity * (F.col("n") + F.col("rep.n")) - 1e-9
+
+
 def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose sets (doc_id, shingles) have a Jaccard similarity of at least `similarity`, with it."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).hint("merge")
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).hint("merge")
+    """Those pairs (a, b) whose shared_sets() have a Jaccard similarity of at least `similarity`, with it."""
+    a = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")).hint("merge")
+    b = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")).hint("merge")
     both = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
     return near.where(F.col("similarity") >= similarity)
 
 
-def _lane(i: int, lanes: int) -> Column:
-    return F.min(F.when(~F.col("used") & (F.pmod(F.xxhash64("comp"), F.lit(lanes)) == i), F.col("doc")))
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the links among rows with `doc` and `rep`."""
+    pairs = pairs.select(F.least("doc", "rep.doc").alias("a"), F.greatest("doc", "rep.doc").alias("b")).distinct()
+    return verified_pairs(pairs, sets, similarity).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 6, counted: bool = False) -> DataFrame:
@@ -181,10 +215,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
 
     With 24 bands of 6 coordinates two documents of similarity 0.8 share a bucket with probability 0.9993, of 0.5 in a
     third of cases; every proposal is then verified exactly. Equal texts are merged before signatures are compared.
-    A bucket is never expanded into all its pairs: in the first round its smallest member is compared with all others.
-    Pairs that links already connect need no comparison, so later rounds only take buckets in which members that were
-    never compared with each other still belong to different components, and compare up to 8 members of different
-    components with all others, until no such bucket is left.
+    A bucket isn't expanded into all its pairs: first the member of which others share the largest part is compared with
+    all others. Pairs that links already connect need no comparison, so then only members outside a bucket's largest
+    component are compared with those of other components. In both steps what two documents can have in common at most
+    is bounded within the join, so that few pairs that aren't links leave it to be compared shingle by shingle.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(base.mapInArrow(_sign(words, bands, rows, counted), "doc_id long, n_words long, digest binary, bands array<long>"))
@@ -194,33 +228,27 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     members = written(exploded.join(shared.hint("merge"), "key"))
 
     texts = base.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(texts.mapInArrow(_sets(words, counted), "doc_id long, shingles array<long>"))
-
-    state = members.select("key", "doc", F.col("doc").alias("comp"), F.lit(False).alias("used"))
-    edges, components, lanes = None, None, 1
-    while True:
-        unused = F.when(~F.col("used"), F.col("comp"))
-        reps = state.groupBy("key").agg(F.min(unused).alias("lo"), F.max(unused).alias("hi"), F.array_compact(F.array(*[_lane(i, lanes) for i in range(lanes)])).alias("reps")).where("lo < hi")
-        reps = written(reps.select("key", F.explode("reps").alias("rep")))
-        if not reps.limit(1).count():
-            break
-        of = state.select("key", F.col("doc").alias("rep"), F.col("comp").alias("rep_comp"))
-        reps = reps.join(of.hint("merge"), ["key", "rep"])
-        pairs = state.join(reps.hint("merge"), "key").where("comp <> rep_comp").select(F.least("doc", "rep").alias("a"), F.greatest("doc", "rep").alias("b")).distinct()
-        found = written(verified_pairs(pairs, sets, similarity).select("a", "b"))
-        edges = found if edges is None else edges.unionAll(found)
-        components = written(connected_components(edges))
-        used = reps.select("key", F.col("rep").alias("doc"), F.lit(True).alias("now"))
-        state = state.drop("comp").join(components.select(F.col("node").alias("doc"), F.col("component").alias("comp")).hint("merge"), "doc", "left")
-        state = state.join(used.hint("merge"), ["key", "doc"], "left")
-        state = written(state.select("key", "doc", F.coalesce("comp", "doc").alias("comp"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
-        lanes = LANES
+    sets = written(shared_sets(written(texts.mapInArrow(_sets(words, counted), "doc_id long, shingles array<long>")), similarity))
+
+    facts = sets.select("doc", "n", "parts", (F.size("shingles") / F.col("n")).alias("share"))
+    state = written(members.join(facts.hint("merge"), "doc").select("key", "doc", "n", "parts", "share"))
+    hub = F.max(F.struct("share", (-F.col("doc")).alias("_"), "doc", "n", "parts")).alias("rep")
+    hubs = state.groupBy("key").agg(hub, F.count("*").alias("members")).where("members > 1").select("key", "rep")
+    links = written(_linked(state.join(hubs.hint("merge"), "key").where((F.col("doc") != F.col("rep.doc")) & _can_link(similarity)), sets, similarity))
+    components = written(connected_components(links))
+
+    of = components.select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+    state = written(state.join(of.hint("merge"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    sizes = state.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    state = written(state.join(open_.select("key", "main").hint("merge"), "key"))
+    reps = state.where("comp <> main").select("key", F.struct("doc", "comp", "n", "parts").alias("rep"))
+    more = written(_linked(state.join(reps.hint("merge"), "key").where((F.col("comp") != F.col("rep.comp")) & _can_link(similarity)), sets, similarity))
+    if more.limit(1).count():
+        components = written(connected_components(links.unionAll(more)))
 
     copies = signed.select("doc_id", "n_words", "digest").join(classes.select("digest", "doc").hint("merge"), "digest", "left")
     copies = copies.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_words") > 0, F.col("doc")).otherwise(F.col("doc_id"))).alias("copy_of"))
-    if components is None:
-        out = copies.withColumn("class_id", F.col("copy_of"))
-    else:
-        of = components.select(F.col("node").alias("copy_of"), "component")
-        out = copies.join(of.hint("merge"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
+    of = components.select(F.col("node").alias("copy_of"), "component")
+    out = copies.join(of.hint("merge"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
     return out.select("doc_id", "copy_of", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
