@@ -22,8 +22,10 @@ for _b in range(128):
         _LETTERS[_b] = 0x20
 #: Lengths in bytes of the word beginnings that are terms beside the whole word.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Bounds of what is learned: examples of each class, terms, and the least evidence (likelihood ratio statistic) for a term.
-PER_CLASS, TERMS, EVIDENCE = 3000, 384, 30.0
+#: Bounds of what is learned: examples of each class, and terms.
+PER_CLASS, TERMS = 3000, 384
+#: A term's least evidence (likelihood ratio statistic), and how many times as often one class must have it as the other.
+EVIDENCE, LIFT = 30.0, 4.0
 BLOCK, NEIGHBOURS = 64, 25
 
 
@@ -82,12 +84,19 @@ def _vectors(vocabulary: np.ndarray):
     return count
 
 
-def _unit(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """Dense TF-IDF rows of unit length; rows without terms are zero."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, n): in how many texts of a batch each term comes."""
+    for batch in batches:
+        t, n = np.unique(batch["terms"].flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(n.astype(np.int64))], ["t", "n"])
+
+
+def _unit(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dense TF-IDF rows of unit length, their lengths before); rows without terms are zero."""
     x = np.zeros((n, len(idf)))
     x[rows, terms] = (1 + np.log(times)) * idf[terms]
     norm = np.sqrt((x**2).sum(1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1)
+    return x / np.where(norm > 0, norm, 1), norm[:, 0]
 
 
 @dataclass
@@ -144,18 +153,17 @@ class Voter:
     index: BlockMaxIndex
     share: np.ndarray
     apart: float
-    slope: float = 1.0
-    shift: float = 0.0
+    theta: np.ndarray
 
     @classmethod
-    def fit(cls, ids: np.ndarray, y: np.ndarray, vectors: np.ndarray, total: dict[int, int]) -> Voter:
-        """Calibrated by logistic regression on the votes that each example gets from the others."""
+    def fit(cls, ids: np.ndarray, y: np.ndarray, vectors: np.ndarray, mass: np.ndarray, total: dict[int, int]) -> Voter:
+        """Calibrated by logistic regression on the votes that each example gets from the others and on its terms' mass."""
         share = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
         bare = ~vectors.any(1)
         weight = share[y]
         apart = (weight[bare] * y[bare]).sum() + weight[~bare & (y == 1)].sum() * 0.01 + 1e-3
         apart /= weight[bare].sum() + weight[~bare].sum() * 0.01 + 2e-3
-        self = cls(BlockMaxIndex.build(ids, y, vectors), share, float(apart))
+        self = cls(BlockMaxIndex.build(ids, y, vectors), share, float(apart), np.array([1.0, 0.0, 0.0]))
         own = np.empty(len(ids), np.int64)
         own[np.lexsort((ids, -vectors.max(1, initial=0), vectors.argmax(1) if vectors.shape[1] else ids))] = np.arange(len(ids))
         votes = []
@@ -163,34 +171,35 @@ class Voter:
             place, cosine = self.index.search(vectors[first : first + 256], NEIGHBOURS + 1)
             cosine[place == own[first : first + 256, None]] = 0
             votes.append(self._vote(place, cosine))
-        x = np.concatenate(votes)
-        x = np.log(x / (1 - x))
         n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
         goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-        theta = np.array([1.0, 0.0])
-        design = np.stack([x, np.ones(len(x))], 1)
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-design @ theta))
-            hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2) * 1e-2
-            theta = theta - np.linalg.solve(hessian, design.T @ (weight * (p - goal)) + 1e-2 * (theta - [1, 0]))
+        design, theta, start = self._design(np.concatenate(votes), mass), self.theta, self.theta
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-(design @ theta).clip(-30, 30)))
+            hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(3) * 1e-2
+            theta = theta - np.linalg.solve(hessian, design.T @ (weight * (p - goal)) + 1e-2 * (theta - start))
         if np.isfinite(theta).all() and theta[0] > 0:
-            self.slope, self.shift = map(float, theta)
+            self.theta = theta
         return self
 
+    @staticmethod
+    def _design(vote: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        return np.stack([np.log(vote / (1 - vote)), np.log1p(mass), np.ones(len(vote))], 1)
+
     def _vote(self, place: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         y = self.index.labels[place]
-        near = np.where(cosine > 0, cosine / (1.05 - np.minimum(cosine, 1)), 0) * self.share[y]
-        prior = self.share.mean() * 0.25
+        near = np.where(cosine > 0, cosine**2 / (1.05 - np.minimum(cosine, 1)), 0) * self.share[y]
+        prior = self.share.mean()  # far neighbours weigh less than no neighbours
         vote = ((near * y).sum(1) + prior * self.apart) / (near.sum(1) + prior)
         return vote.clip(1e-6, 1 - 1e-6)
 
-    def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, vectors: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place, cosine = self.index.search(vectors, NEIGHBOURS)
-        vote = self._vote(place, cosine)
-        return 1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))), place, cosine
+        logit = self._design(self._vote(place, cosine), mass) @ self.theta
+        return 1 / (1 + np.exp(-logit.clip(-30, 30))), place, cosine
 
 
-def _flat(batch: pa.RecordBatch, idf: np.ndarray) -> np.ndarray:
+def _flat(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms, times = batch["terms"], batch["times"]
     rows = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
     return _unit(rows, terms.flatten().to_numpy(), times.flatten().to_numpy(), idf, len(batch))
@@ -201,7 +210,7 @@ def _score(voter: Voter, idf: np.ndarray, evidence: int):
         for batch in batches:
             for first in range(0, len(batch), 1024):
                 part = batch.slice(first, 1024)
-                points, place, cosine = voter.score(_flat(part, idf))
+                points, place, cosine = voter.score(*_flat(part, idf))
                 shown = place[:, :evidence] >= 0
                 bounds = pa.array(np.concatenate([[0], np.cumsum(shown.sum(1))]), pa.int32())
                 which = place[:, :evidence][shown]
@@ -237,13 +246,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", th
         return (entropy(p) + entropy(1 - p)) * m
 
     ratio = 2 * (part(F.col("n0"), m0) + part(F.col("n1"), m1) - part(F.col("n0") + F.col("n1"), m0 + m1))
-    best = counts.where("n0 + n1 > 2").select("term", ratio.alias("g")).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).collect()
+    s0, s1 = (F.col("n0") + 0.5) / (m0 + 1), (F.col("n1") + 0.5) / (m1 + 1)
+    telling = counts.where("n0 + n1 > 2").where(F.greatest(s0 / s1, s1 / s0) >= LIFT)
+    best = telling.select("term", ratio.alias("g")).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).collect()
     vocabulary = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
 
     vectors = written(texts.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, times array<int>"))
     df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most `terms` rows
-        df[r.t] = r["count"]
+    for r in vectors.mapInArrow(_frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most `terms` rows
+        df[r.t] = r.n
     idf = np.log((1 + vectors.count()) / (1 + df)) + 1
     seen = {r.doc_id: r for r in vectors.join(F.broadcast(chosen), "doc_id").collect()}  # the sample
     ids = np.array(sorted(seen), np.int64)
@@ -253,7 +264,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", th
         y = np.array([seen[i].y for i in ids])
         rows = np.repeat(np.arange(len(ids)), [len(seen[i].terms) for i in ids])
         flat = lambda c: np.array([v for i in ids for v in seen[i][c]], np.int64)
-        voter = Voter.fit(ids, y, _unit(rows, flat("terms"), flat("times"), idf, len(ids)), total)
+        voter = Voter.fit(ids, y, *_unit(rows, flat("terms"), flat("times"), idf, len(ids)), total)
         out = out.mapInArrow(_score(voter, idf, evidence), kinds)
     else:
         out = out.select("doc_id", F.lit(0.5).alias("score"), F.lit(None).cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
