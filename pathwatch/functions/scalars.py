@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,79}$"
 CONTROL_IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,95}$"
@@ -140,7 +141,7 @@ def version(raw: Column) -> Column:
     return F.when(raw.rlike(r"^[0-9]{1,6}(\.[0-9]{1,6}){0,5}$"), F.slice(F.concat(parts, F.array_repeat(F.lit(0), 6)), 1, 6))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
@@ -187,7 +188,7 @@ def _leaves(value: object, depth: int, out: list[str]) -> None:
             _leaves(x, depth + 1, out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def leaf_strings(bodies: pd.Series) -> pd.Series:
     """All strings in a JSON body, one a line; another text as it is; null stays null, which is not clean but unread."""
     import json

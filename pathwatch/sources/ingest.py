@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import scalars as s
 from ..schemas import ASSETS
@@ -43,9 +45,7 @@ def raw_lines(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
 
 def _decoded(encoding: str):
     """Decoding that Spark's own function refuses; whole files come as Arrow batches."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: b.decode(encoding, "replace"))
 
