@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .common import table
 from .decontamination import find_leaks
 from .embedding_dedup import near_duplicate_vectors
@@ -72,4 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op5_sharding": oracle.SHARDING,
+    "op10_license_scan": oracle.LICENSE_SCAN,
+}
