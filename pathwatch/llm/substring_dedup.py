@@ -94,8 +94,10 @@ def _suffixes(min_words: int):
                 if hot.any():
                     first, second = grams(h, min_words), grams(h ^ np.uint64(0x5851F42D4C957F2D), min_words)
                     p, r = at[hot], row[hot]
-                    k = len(p)
-                    out.append({"hot": np.ones(k, bool), "anchor": first[p].view(np.int64), "second": second[p].view(np.int64), "doc_id": doc[r], "tag": tag[r], "start": p - w.first[r], "n": np.ones(k, np.int64), "words": [None] * k})
+                    begin = _runs(first[p], second[p], r, p - np.arange(len(p)))  # equal neighbours, as in repeated lines
+                    size = np.diff(np.append(begin, len(p)))
+                    p, r = p[begin], r[begin]
+                    out.append({"hot": np.ones(len(p), bool), "anchor": first[p].view(np.int64), "second": second[p].view(np.int64), "doc_id": doc[r], "tag": tag[r], "start": p - w.first[r], "n": size, "words": [None] * len(p)})
                 p, g, r = at[~hot], group[~hot], row[~hot]
                 if len(p):
                     begin = _runs(g, r, p - np.arange(len(p)))
