@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 
 import numpy as np
 
@@ -22,56 +23,87 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def _ranked(spec: dict) -> dict[bytes, int] | None:
-    """Tokens' bytes and ids, if ids follow the order of merges, so that merging by least id is merging by the file."""
-    model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or model.get("end_of_word_suffix"):
-        return None
-    letters, special = _byte_letters(), {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if len(ranks) != 256 + len(pairs) or any(model["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
+#: What the supported word-level vocabularies split by, after NFC and lower-casing; white space is dropped.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands for the end of a word in the bytes of a token; UTF-8 has no such byte.
+WORD_END = b"\xff"
+
+
+def _ranks(spec: dict, suffix: str, first: int) -> dict[bytes, int] | None:
+    """Tokens' bytes and ids, if the ids from `first` on follow the order of merges, so that merging by least id is the file's."""
+    vocab, letters, special = spec["model"]["vocab"], _byte_letters(), {t["content"] for t in spec["added_tokens"]}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    if len(vocab) - len(special & set(vocab)) != first + len(pairs) or any(vocab[a + b] != first + i for i, (a, b) in enumerate(pairs)):
         return None
+    ranks = {}
+    for t, i in vocab.items():
+        if t not in special:
+            ended = bool(suffix) and t.endswith(suffix)
+            ranks[bytes(letters[c] for c in (t[: -len(suffix)] if ended else t)) + (WORD_END if ended else b"")] = i
     return ranks
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. Strings that look like special tokens are ordinary text.
 
-    A byte-level vocabulary whose ids follow its merges is run by tiktoken, which merges by least id and is several
-    times as fast. With any other, white space must be dropped by the tokenizer: texts are cut at spaces and line
-    feeds, and each distinct cutting is encoded once while it is remembered.
+    Two kinds of vocabulary file whose ids follow their merges are run by tiktoken, which merges by least id and is
+    several times as fast as tokenizers: byte-level ones, and lower-case ones with word ends that drop white space. For
+    the latter, texts are cut at spaces and line feeds, and each distinct cutting and word is encoded once while it is
+    remembered. Any other file is run by tokenizers on whole texts.
     """
 
-    #: Distinct cuttings that are remembered; then the memory starts anew.
-    REMEMBER = 500_000
+    #: Distinct cuttings that are remembered, and words; then the memory starts anew.
+    REMEMBER = 300_000
 
     def __init__(self, path: str):
+        import tiktoken
+
         with open(path, encoding="utf-8") as f:
-            ranks = _ranked(json.load(f))
-        if ranks is not None:
-            import tiktoken
+            spec = json.load(f)
+        model, before, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        self.whole = self.words = self.tokenizer = None
+        if not normal and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not model.get("end_of_word_suffix"):
             from public_tokenizers import PATTERN
 
-            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+            ranks = _ranks(spec, "", 256)
+            self.whole = ranks and tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        elif model.get("end_of_word_suffix") and WORD_PATTERN in json.dumps(before).replace("\\\\", "\\") and [n["type"] for n in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+            import regex
+
+            ranks = _ranks(spec, model["end_of_word_suffix"], 512)
+            self.words = ranks and tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+            self.split, self.known, self.pieces = regex.compile(WORD_PATTERN).findall, {}, {}
+        if not self.whole and not self.words:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-        self.ranked, self.tokenizer = None, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
 
     def encode(self, text: str) -> bytes:
-        if self.ranked:
-            return np.ascontiguousarray(self.ranked.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        if self.whole:
+            return np.ascontiguousarray(self.whole.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        if self.tokenizer:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # One letter's small form depends on its place in Python, but not in the tokenizer.
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         parts, known = text.replace("\n", " ").split(" "), self.known
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
             if len(known) > self.REMEMBER:
                 known.clear()
-            new = list({p for p in parts if p not in known})
-            ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, ids))
+            for p in parts:
+                if p not in known:
+                    known[p] = b"".join([self._word(w) for w in self.split(p)])
             return b"".join([known[p] for p in parts])
+
+    def _word(self, word: str) -> bytes:
+        ids = self.pieces.get(word)
+        if ids is None:
+            if len(self.pieces) > self.REMEMBER:
+                self.pieces.clear()
+            ids = self.pieces[word] = np.array(self.words._encode_single_piece(word.encode() + WORD_END), "<u4").tobytes()
+        return ids
