@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words of a k-gram.
 K = 3
 #: Phrases whose words must stand consecutively, and their labels.
@@ -71,7 +73,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
     own = F.concat_ws(" ", F.slice("w", F.col("pos") + 1, K))
     hits = grams.join(F.broadcast(templates(spark, NOTICES if notices is None else notices)), "hash").where(F.levenshtein(own, "gram") == 0)
     key = ["doc_id", "tag", "template", "label", "base", "t_words"]
-    votes = hits.select(*key, (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos", "t_pos").distinct().groupBy(*key, "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list("t_pos").alias("at"))
+    votes = written(hits.select(*key, (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos", "t_pos").distinct().groupBy(*key, "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list("t_pos").alias("at")))
 
     places = votes.where(F.col("base") & (F.size("at") == F.col("t_words") - K + 1)).groupBy("doc_id", "tag").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_labels"))
 
