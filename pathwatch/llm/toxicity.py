@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +24,15 @@ for _b in range(128):
         _LETTERS[_b] = 0x20
 #: Lengths in bytes of the word beginnings that are terms beside the whole word.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Bounds of what is learned: examples of each class, and terms.
+#: Bounds of what is learned: examples of each class, and telling terms whose mass calibrates votes.
 PER_CLASS, TERMS = 3000, 384
-#: A term's least evidence (likelihood ratio statistic), and how many times as often one class must have it as the other.
+#: A telling term's least evidence (likelihood ratio statistic), and how many times as often one class must have it as the other.
 EVIDENCE, LIFT = 30.0, 4.0
 BLOCK, NEIGHBOURS = 64, 25
+#: Share of examples beyond which a term is a dense column, and blocks that a query visits first.
+COMMON, FIRST = 0.1, 4
+#: Counts of terms that are sent in one row.
+PIECE = 65_536
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,108 +49,220 @@ def _terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows[longer], mix((eight[longer] & _M((1 << 8 * n) - 1)) ^ _M(0x9E3779B97F4A7C15 * n % 2**64))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n0, n1): documents of each class in which a term comes, for each slice of texts."""
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, times, hashes): each text's terms, once each with their count; places are into sorted hashes."""
+    rows, hashes = (np.concatenate(x) for x in zip(*_terms(column)))
+    hashes, at = np.unique(hashes, return_inverse=True)
+    cell, times = np.unique(rows * max(1, len(hashes)) + at, return_counts=True)
+    return cell // max(1, len(hashes)), cell % max(1, len(hashes)), times, hashes
+
+
+def _find(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes in a sorted vocabulary, -1 where missing."""
+    at = np.searchsorted(vocabulary, hashes)
+    return np.where(np.append(vocabulary, _M(0))[at] == hashes, at, -1) if len(vocabulary) else np.full(len(hashes), -1)
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, y, terms, times): all terms of each sampled row."""
     for batch in batches:
         for part in slices(batch, "text"):
-            y = part["y"].to_numpy()
-            terms, counts = [], []
-            for rows, hashes in _terms(part["text"]):
-                order = np.lexsort((hashes, rows))
-                rows, hashes = rows[order], hashes[order]
-                new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-                values, at = np.unique(hashes[new], return_inverse=True)
-                terms.append(values)
-                counts.append(np.stack([np.bincount(at[y[rows[new]] == k], minlength=len(values)) for k in (0, 1)], 1))
-            both = np.concatenate(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms).view(np.int64)), pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64))], ["term", "n0", "n1"])
-
-
-def _vectors(vocabulary: np.ndarray):
-    """Counts of the vocabulary's terms (sorted hashes) in each text."""
-    near = np.zeros(1 << 16, bool)
-    near[(vocabulary >> _M(48)).astype(np.int64)] = True
+            rows, places, times, hashes = _cells(part["text"])
+            bounds = pa.array(np.searchsorted(rows, np.arange(len(part) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(hashes[places].view(np.int64), pa.int64()), pa.array(times.astype(np.int32), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["y"], *lists], ["doc_id", "y", "terms", "times"])
+
 
+def _pieces(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for piece in range(0, len(counts), PIECE):
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([counts[piece : piece + PIECE].tobytes()], pa.binary())], ["piece", "counts"])
+
+
+def _frequencies(vocabulary: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one task's texts, how many have each term of the vocabulary, and last how many there are."""
+        counts = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
+            counts[-1] += len(batch)
             for part in slices(batch, "text"):
-                found = [np.zeros(0, np.int64)]
-                for rows, hashes in _terms(part["text"]):
-                    maybe = np.flatnonzero(near[(hashes >> _M(48)).astype(np.int64)])
-                    at = np.searchsorted(vocabulary, hashes[maybe]).clip(max=max(0, len(vocabulary) - 1))
-                    hit = vocabulary[at] == hashes[maybe] if len(vocabulary) else np.zeros(len(at), bool)
-                    found.append(rows[maybe[hit]] * len(vocabulary) + at[hit])
-                cell, times = np.unique(np.concatenate(found), return_counts=True)
-                row, term = (cell // len(vocabulary), cell % len(vocabulary)) if len(vocabulary) else (cell, cell)
-                bounds = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32), pa.int32())) for x in (term, times)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *lists], ["doc_id", "terms", "times"])
+                _, places, _, hashes = _cells(part["text"])
+                at = _find(vocabulary, hashes)
+                np.add.at(counts, at[at >= 0], np.bincount(places, minlength=len(hashes))[at >= 0])
+        if counts[-1]:
+            yield from _pieces(counts)
 
     return count
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, n): in how many texts of a batch each term comes."""
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of equal pieces, added as they come."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        t, n = np.unique(batch["terms"].flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(n.astype(np.int64))], ["t", "n"])
+        for piece, counts in zip(batch["piece"].to_pylist(), batch["counts"]):
+            counts = np.frombuffer(counts.as_buffer(), np.int64)
+            sums[piece] = sums[piece] + counts if piece in sums else counts
+    for piece, counts in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["piece", "counts"])
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) of all places in ranges."""
+    which = np.repeat(np.arange(len(start)), size)
+    return which, np.arange(len(which)) + np.repeat(start - np.cumsum(size) + size, size)
 
 
-def _unit(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(dense TF-IDF rows of unit length, their lengths before); rows without terms are zero."""
-    x = np.zeros((n, len(idf)))
-    x[rows, terms] = (1 + np.log(times)) * idf[terms]
-    norm = np.sqrt((x**2).sum(1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1), norm[:, 0]
+@dataclass
+class Rows:
+    """Sparse rows: each has its terms (ascending) and weights between two bounds."""
+
+    bounds: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, x: np.ndarray | Rows) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        rows, terms = np.nonzero(x)
+        return cls(np.searchsorted(rows, np.arange(len(x) + 1)), terms, x[rows, terms], x.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = np.diff(self.bounds)[rows]
+        _, at = _spread(self.bounds[rows], size)
+        return Rows(np.concatenate([[0], np.cumsum(size)]), self.terms[at], self.weights[at], self.width)
+
+    def order(self, ids: np.ndarray) -> np.ndarray:
+        """By heaviest term, so that like rows share blocks."""
+        row = np.repeat(np.arange(len(self)), np.diff(self.bounds))
+        down = np.lexsort((self.terms, -self.weights, row))
+        some = np.diff(self.bounds) > 0
+        heavy, weight = np.full(len(self), -1), np.zeros(len(self))
+        heavy[some], weight[some] = self.terms[down[self.bounds[:-1][some]]], self.weights[down[self.bounds[:-1][some]]]
+        return np.lexsort((ids, -weight, heavy))
+
+
+def _unit(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int, telling: np.ndarray, other: np.ndarray | float = 0.0) -> tuple[Rows, np.ndarray]:
+    """(TF-IDF rows of unit length, the length before of their telling terms); `other` adds to squared lengths."""
+    weights = (1 + np.log(times)) * idf[terms]
+    norm = np.sqrt(np.bincount(rows, weights**2, n) + other)
+    mass = np.sqrt(np.bincount(rows, weights**2 * telling[terms], n))
+    return Rows(np.searchsorted(rows, np.arange(n + 1)), terms, weights / norm[rows], len(idf)), mass
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of examples, with each term's largest weight in each block."""
+    """Postings of unit vectors in blocks of examples, with each term's largest weight in each block.
+
+    Terms that many examples have are kept as dense columns, and their part of a bound is exact. Of others, `first` gives
+    each term's blocks, `start` each block's postings, `maxima` its largest weight.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    own: np.ndarray
+    column: np.ndarray
+    dense: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
     maxima: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> BlockMaxIndex:
-        order = np.lexsort((ids, -vectors.max(1, initial=0), vectors.argmax(1) if vectors.shape[1] else ids))  # like examples share blocks
-        ids, labels, vectors = ids[order], labels[order], vectors[order]
-        postings, maxima = [], np.zeros((vectors.shape[1], -(-len(ids) // BLOCK)))
-        for b in range(maxima.shape[1]):
-            part = vectors[b * BLOCK : (b + 1) * BLOCK]
-            terms = np.flatnonzero(part.any(0))
-            postings.append((terms, np.ascontiguousarray(part[:, terms].T)))
-            maxima[:, b] = part.max(0)
-        return cls(ids, labels, postings, maxima)
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def build(cls, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray | Rows) -> BlockMaxIndex:
+        vectors = Rows.of(vectors)
+        order = vectors.order(ids)
+        own = np.empty(len(ids), np.int64)
+        own[order] = np.arange(len(ids))
+        vectors = vectors.take(order)
+        row = np.repeat(np.arange(len(ids)), np.diff(vectors.bounds))
+        many = np.flatnonzero(np.bincount(vectors.terms, minlength=vectors.width) > max(COMMON * len(ids), 8))
+        column = np.full(vectors.width, -1, np.int32)
+        column[many] = np.arange(len(many))
+        common = column[vectors.terms] >= 0
+        dense = np.zeros((len(many), len(ids)))
+        dense[column[vectors.terms[common]], row[common]] = vectors.weights[common]
+        row, term, weight = row[~common], vectors.terms[~common].astype(np.int64), vectors.weights[~common]
+        by = np.argsort(term, kind="stable")  # rows stay ascending
+        row, term, weight = row[by], term[by], weight[by]
+        new = np.ones(len(row), bool)
+        new[1:] = (term[1:] != term[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK)
+        start = np.flatnonzero(new)
+        maxima = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0)
+        first = np.searchsorted(term[start], np.arange(vectors.width + 1)).astype(np.int32)
+        return cls(ids[order], labels[order], own, column, dense, first, np.append(start, len(row)).astype(np.int32), maxima, row.astype(np.int32), weight)
+
+    def search(self, queries: np.ndarray | Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples of each unit query by exact cosine; -1 and 0 where fewer share a term.
 
-        Blocks are visited from the largest bound on the cosines in them; a query is done once no bound left exceeds
-        its k-th cosine.
+        Blocks with the largest bounds on the cosines in them are visited first; then those others whose bound
+        exceeds the query's k-th cosine by then.
         """
-        n = len(queries)
-        place, cosine = np.full((n, k), -1), np.zeros((n, k))
-        bound = queries @ self.maxima
-        order = np.argsort(-bound, 1, kind="stable")
-        for turn in range(bound.shape[1]):
-            block = order[:, turn]
-            live = bound[np.arange(n), block] > cosine[:, -1]
-            if not live.any():
-                break
-            for b in np.unique(block[live]):
-                who = np.flatnonzero(live & (block == b))
-                terms, weights = self.postings[b]
-                scores = np.concatenate([cosine[who], queries[np.ix_(who, terms)] @ weights], 1)
-                places = np.concatenate([place[who], np.broadcast_to(np.arange(weights.shape[1]) + b * BLOCK, (len(who), weights.shape[1]))], 1)
-                best = np.argsort(-scores, 1, kind="stable")[:, :k]
-                cosine[who], place[who] = np.take_along_axis(scores, best, 1), np.take_along_axis(places, best, 1)
+        queries = Rows.of(queries)
+        place, cosine = np.full((len(queries), k), -1), np.zeros((len(queries), k))
+        if not len(self.ids):
+            return place, cosine
+        work = np.concatenate([[0], np.cumsum(np.diff(self.first)[queries.terms])])[queries.bounds]
+        at = 0
+        while at < len(queries):
+            to = max(at + 1, min(at + 128, int(np.searchsorted(work, work[at] + (1 << 18), "right")) - 1))
+            place[at:to, : len(self.ids)], cosine[at:to, : len(self.ids)] = self._search(queries.take(np.arange(at, to)), k)
+            at = to
         place[cosine <= 0] = -1
         return place, cosine
 
+    def _search(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
+        n, size = len(queries), len(self.ids)
+        blocks = -(-size // BLOCK)
+        row = np.repeat(np.arange(n), np.diff(queries.bounds))
+        column = self.column[queries.terms]
+        x = np.zeros((n, len(self.dense)))
+        x[row[column >= 0], column[column >= 0]] = queries.weights[column >= 0]
+        scores = x @ self.dense  # exact over common terms, so never more than the cosine
+        bound = np.maximum.reduceat(scores, np.arange(0, size, BLOCK), axis=1)
+        row, term, weight = row[column < 0], queries.terms[column < 0], queries.weights[column < 0]
+        which, entry = _spread(self.first[term], self.first[term + 1] - self.first[term])
+        cell = row[which] * blocks + self.example[self.start[entry]] // BLOCK
+        which_weight = weight[which]
+        bound += np.bincount(cell, which_weight * self.maxima[entry], n * blocks).reshape(n, blocks)
+        k = min(k, size)
+        top = np.zeros(bound.shape, bool)
+        np.put_along_axis(top, np.argsort(-bound, 1, kind="stable")[:, :FIRST], True, 1)
+        flat = scores.reshape(-1)
+        for live in (top, ~top):
+            least = np.partition(scores, size - k, 1)[:, size - k, None]
+            go = np.flatnonzero((live & (bound * (1 + 1e-12) >= least)).ravel()[cell])
+            of, posting = _spread(self.start[entry[go]], self.start[entry[go] + 1] - self.start[entry[go]])
+            go = go[of]
+            flat += np.bincount(row[which[go]] * size + self.example[posting], which_weight[go] * self.weight[posting], n * size)
+        near = np.argpartition(-scores, k - 1, 1)[:, :k]
+        near = np.take_along_axis(near, np.lexsort((near, -np.take_along_axis(scores, near, 1)), axis=1), 1)
+        return near, np.take_along_axis(scores, near, 1)
+
+
+def _packed(bounds: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, telling: np.ndarray):
+    """A function that gives the examples' vectors and masses where it is called; only their packed counts travel."""
+    size = np.diff(bounds)
+    steps = np.diff(terms, prepend=terms[:1]).astype(np.int32)
+    steps[bounds[:-1][size > 0]] = terms[bounds[:-1][size > 0]]
+    packed = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in (steps, times)]
+
+    def vectors() -> tuple[Rows, np.ndarray]:
+        steps, times = (np.frombuffer(zlib.decompress(x), np.int32) for x in packed)
+        sums = np.cumsum(steps, dtype=np.int64)
+        terms = (sums - np.repeat(np.append(0, sums)[bounds[:-1]], size)).astype(np.int32)
+        return _unit(np.repeat(np.arange(len(size), dtype=np.int32), size), terms, times, idf, len(size), telling)
+
+    return vectors
+
+
+#: The voter that this process has indexed, by its key.
+_VOTERS: dict[str, Voter] = {}
+
 
 @dataclass
 class Voter:
@@ -156,20 +274,18 @@ class Voter:
     theta: np.ndarray
 
     @classmethod
-    def fit(cls, ids: np.ndarray, y: np.ndarray, vectors: np.ndarray, mass: np.ndarray, total: dict[int, int]) -> Voter:
-        """Calibrated by logistic regression on the votes that each example gets from the others and on its terms' mass."""
+    def fit(cls, ids: np.ndarray, y: np.ndarray, vectors: Rows, mass: np.ndarray, total: dict[int, int]) -> Voter:
+        """Calibrated by logistic regression on the votes that each example gets from the others and on its telling terms' mass."""
         share = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-        bare = ~vectors.any(1)
+        bare = mass == 0
         weight = share[y]
         apart = (weight[bare] * y[bare]).sum() + weight[~bare & (y == 1)].sum() * 0.01 + 1e-3
         apart /= weight[bare].sum() + weight[~bare].sum() * 0.01 + 2e-3
         self = cls(BlockMaxIndex.build(ids, y, vectors), share, float(apart), np.array([1.0, 0.0, 0.0]))
-        own = np.empty(len(ids), np.int64)
-        own[np.lexsort((ids, -vectors.max(1, initial=0), vectors.argmax(1) if vectors.shape[1] else ids))] = np.arange(len(ids))
         votes = []
         for first in range(0, len(ids), 256):
-            place, cosine = self.index.search(vectors[first : first + 256], NEIGHBOURS + 1)
-            cosine[place == own[first : first + 256, None]] = 0
+            place, cosine = self.index.search(vectors.take(np.arange(first, min(first + 256, len(ids)))), NEIGHBOURS + 1)
+            cosine[place == self.index.own[first : first + 256, None]] = 0
             votes.append(self._vote(place, cosine))
         n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
         goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -193,24 +309,47 @@ class Voter:
         vote = ((near * y).sum(1) + prior * self.apart) / (near.sum(1) + prior)
         return vote.clip(1e-6, 1 - 1e-6)
 
-    def score(self, vectors: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, vectors: Rows, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place, cosine = self.index.search(vectors, NEIGHBOURS)
         logit = self._design(self._vote(place, cosine), mass) @ self.theta
         return 1 / (1 + np.exp(-logit.clip(-30, 30))), place, cosine
 
 
-def _flat(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms, times = batch["terms"], batch["times"]
-    rows = np.repeat(np.arange(len(batch)), np.diff(terms.offsets.to_numpy()))
-    return _unit(rows, terms.flatten().to_numpy(), times.flatten().to_numpy(), idf, len(batch))
+def _fitted(ids: np.ndarray, y: np.ndarray, vectors, total: dict[int, int]):
+    """The voter's numbers, learned in one task from the sample, which is bounded; not on the driver, for its memory."""
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                voter = Voter.fit(ids, y, *vectors(), total)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (voter.share, np.array([voter.apart]), voter.theta)], ["share", "apart", "theta"])
+
+    return fit
+
+
+def _voter(ids: np.ndarray, y: np.ndarray, vectors, share: list[float], apart: float, theta: list[float]):
+    """A function that gives the voter; a worker indexes the examples once."""
+    key = uuid.uuid4().hex
+
+    def voter() -> Voter:
+        if key not in _VOTERS:
+            _VOTERS.clear()
+            _VOTERS[key] = Voter(BlockMaxIndex.build(ids, y, vectors()[0]), np.array(share), apart, np.array(theta))
+        return _VOTERS[key]
 
-def _score(voter: Voter, idf: np.ndarray, evidence: int):
+    return voter
+
+
+def _score(voter_of, vocabulary: np.ndarray, idf: np.ndarray, unseen: float, telling: np.ndarray, evidence: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voter = voter_of()
         for batch in batches:
-            for first in range(0, len(batch), 1024):
-                part = batch.slice(first, 1024)
-                points, place, cosine = voter.score(*_flat(part, idf))
+            for part in slices(batch, "text"):
+                rows, places, times, hashes = _cells(part["text"])
+                terms = _find(vocabulary, hashes)[places]
+                known = terms >= 0
+                other = np.bincount(rows[~known], ((1 + np.log(times[~known])) * unseen) ** 2, len(part))
+                points, place, cosine = voter.score(*_unit(rows[known], terms[known], times[known], idf, len(part), telling, other))
                 shown = place[:, :evidence] >= 0
                 bounds = pa.array(np.concatenate([[0], np.cumsum(shown.sum(1))]), pa.int32())
                 which = place[:, :evidence][shown]
@@ -220,52 +359,63 @@ def _score(voter: Voter, idf: np.ndarray, evidence: int):
     return score
 
 
+def _telling(n0: np.ndarray, n1: np.ndarray, m0: int, m1: int, hashes: np.ndarray, terms: int) -> np.ndarray:
+    """Which terms tell the classes apart most, by the documents of each that have them; at most `terms`."""
+
+    def part(k, m):
+        p = k / max(m, 1)
+        entropy = lambda q: q * np.log(np.where(q > 0, q, 1))
+        return (entropy(p) + entropy(1 - p)) * m
+
+    ratio = 2 * (part(n0, m0) + part(n1, m1) - part(n0 + n1, m0 + m1))
+    s0, s1 = (n0 + 0.5) / (m0 + 1), (n1 + 0.5) / (m1 + 1)
+    some = np.flatnonzero((n0 + n1 > 2) & (np.maximum(s0 / s1, s1 / s0) >= LIFT) & (ratio >= EVIDENCE))
+    best = some[np.lexsort((hashes[some].view(np.int64), -ratio[some]))][:terms]
+    telling = np.zeros(len(hashes), bool)
+    telling[best] = True
+    return telling
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = 0.7, per_class: int = PER_CLASS, terms: int = TERMS, evidence: int = 5) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, held_out, score, predicted, evidence (doc_id, label, cosine of the nearest).
 
-    Terms are words (runs of letters, lower-cased) and their beginnings. Those that tell the classes apart most, at most
-    `terms`, are chosen from a sample of at most `per_class` labelled rows of each class; rows whose id's crc32 leaves 1
-    when divided by 3 are held out from all learning. Their inverse document frequencies are counted over all of `docs`.
-    The score is the calibrated, distance-weighted vote of the 25 sampled rows nearest by exact TF-IDF cosine. A text
-    without any term, so a null or empty one too, gets the calibrated share of toxic rows among sampled texts without
-    terms, and has no evidence. With no usable label of one class every score is that of the other; with none, 0.5.
-    Repeated rows give repeated results, null ids are kept, an empty table gives no rows, other columns are ignored.
+    Terms are words (runs of letters, lower-cased) and their beginnings. Those of at most `per_class` labelled rows of
+    each class are all kept, with their document frequencies over all of `docs`; a text's other terms add to its length
+    as if it alone had them. Rows whose id's crc32 leaves 1 when divided by 3 are held out from all learning. The score
+    is the distance-weighted vote of the 25 sampled rows nearest by exact TF-IDF cosine, calibrated together with the
+    mass of the text's telling terms: those, at most `terms`, that tell the sampled classes apart most. A text that
+    shares no term with any sampled row, so a null or empty one too, has no votes and no evidence and gets the
+    calibrated prior. With no usable label of one class every score is that of the other; with none, 0.5. Of several
+    texts of one sampled id the least counts. Repeated rows give repeated results, null ids are kept, an empty table
+    gives no rows, other columns are ignored.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen, total = training_labels(labels, column, per_class)
     chosen = written(chosen)  # at most 2 x per_class rows, so they may be broadcast
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "y")
-    counts = sample.mapInArrow(_term_counts, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
-    m0, m1 = sizes.get(0, 0), sizes.get(1, 0)
-
-    def part(k, m):
-        p = k / F.lit(float(max(m, 1)))
-        entropy = lambda q: F.when(q > 0, q * F.log(q)).otherwise(0.0)
-        return (entropy(p) + entropy(1 - p)) * m
-
-    ratio = 2 * (part(F.col("n0"), m0) + part(F.col("n1"), m1) - part(F.col("n0") + F.col("n1"), m0 + m1))
-    s0, s1 = (F.col("n0") + 0.5) / (m0 + 1), (F.col("n1") + 0.5) / (m1 + 1)
-    telling = counts.where("n0 + n1 > 2").where(F.greatest(s0 / s1, s1 / s0) >= LIFT)
-    best = telling.select("term", ratio.alias("g")).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "term").limit(terms).collect()
-    vocabulary = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
-
-    vectors = written(texts.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, times array<int>"))
-    df = np.zeros(len(vocabulary))
-    for r in vectors.mapInArrow(_frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most `terms` rows
-        df[r.t] = r.n
-    idf = np.log((1 + vectors.count()) / (1 + df)) + 1
-    seen = {r.doc_id: r for r in vectors.join(F.broadcast(chosen), "doc_id").collect()}  # the sample
-    ids = np.array(sorted(seen), np.int64)
-    out = vectors.select("doc_id", "terms", "times")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    seen = sample.mapInArrow(_examples, "doc_id long, y int, terms array<long>, times array<int>").toArrow().sort_by("doc_id").combine_chunks()
     kinds = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>"
-    if len(ids):
-        y = np.array([seen[i].y for i in ids])
-        rows = np.repeat(np.arange(len(ids)), [len(seen[i].terms) for i in ids])
-        flat = lambda c: np.array([v for i in ids for v in seen[i][c]], np.int64)
-        voter = Voter.fit(ids, y, *_unit(rows, flat("terms"), flat("times"), idf, len(ids)), total)
-        out = out.mapInArrow(_score(voter, idf, evidence), kinds)
+    if len(seen):
+        ids, y = seen["doc_id"].to_numpy(), seen["y"].to_numpy()
+        bounds = np.append(0, np.cumsum(pc.list_value_length(seen["terms"]).to_numpy()))
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
+        times = pc.list_flatten(seen["times"]).to_numpy()
+        vocabulary, at = np.unique(pc.list_flatten(seen["terms"]).to_numpy().view(np.uint64), return_inverse=True)
+        del seen
+        at = at.astype(np.int32)  # hashes ascend within each example, so places do
+        counts = [np.bincount(at[y[rows] == k], minlength=len(vocabulary)) for k in (0, 1)]
+        telling = _telling(*counts, int((y == 0).sum()), int((y == 1).sum()), vocabulary, terms)
+        sums = np.zeros(len(vocabulary) + 1, np.int64)
+        added = texts.select("text").mapInArrow(_frequencies(vocabulary), "piece long, counts binary").repartition("piece").mapInArrow(_added, "piece long, counts binary")
+        for r in added.collect():  # one row for each piece
+            part = np.frombuffer(r.counts, np.int64)
+            sums[r.piece : r.piece + len(part)] += part
+        idf = np.log((1 + sums[-1]) / (1 + sums[:-1])) + 1
+        del rows
+        vectors = _packed(bounds, at, times, idf, telling)
+        fitted = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_fitted(ids, y, vectors, total), "share array<double>, apart array<double>, theta array<double>").first()
+        voter = _voter(ids, y, vectors, fitted.share, fitted.apart[0], fitted.theta)
+        out = texts.mapInArrow(_score(voter, vocabulary, idf, float(np.log((1 + sums[-1]) / 2) + 1), telling, evidence), kinds)
     else:
-        out = out.select("doc_id", F.lit(0.5).alias("score"), F.lit(None).cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
+        out = texts.select("doc_id", F.lit(0.5).alias("score"), F.lit(None).cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

@@ -287,6 +287,27 @@ def test_block_max_search_is_exact():
     assert np.allclose(cosine, np.maximum(want, 0)) and (index.ids[place[:, 0]] >= 0).all()
 
 
+def test_toxicity_cosine_is_over_whole_texts(spark):
+    """Labels that no term tells apart: every text still has neighbours, by the cosine of all its terms."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 10))) for _ in range(300)]
+    docs = [(i, " ".join(r.choices(words, k=60))) for i in range(90)]
+    sampled = [i for i, _ in docs[:80] if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs += [(200, docs[sampled[0]][1]), (201, docs[sampled[1]][1] + " zzyzx zzyzx"), (202, "zzyzx")]
+    table = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in score_toxicity(frame(spark, docs), table).collect()}
+    bags = {i: Counter(t for w in text.split() for t in [w, *((w[:n], n) for n in range(3, 9) if len(w) > n)]) for i, text in docs}
+    df = Counter(t for b in bags.values() for t in b)
+    seen = {t for i in sampled for t in bags[i]}
+    vec = {i: {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + (df[t] if t in seen else 1))) + 1) for t, n in b.items()} for i, b in bags.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    for i, v in vec.items():
+        want = sorted((sum(v.get(t, 0) * x for t, x in vec[j].items()) / norm[i] / norm[j] for j in sampled), reverse=True)
+        assert np.allclose([e.cosine for e in got[i].evidence], [c for c in want[:5] if c > 0])
+    assert got[200].evidence[0].doc_id == sampled[0] and math.isclose(got[200].evidence[0].cosine, 1)
+    assert got[201].evidence[0].doc_id == sampled[1] and got[202].evidence == []
+
+
 def test_held_out(spark):
     rows = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
