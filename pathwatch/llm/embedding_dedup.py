@@ -1,4 +1,4 @@
-"""Embedding near-dedup by collision counting on many one-dimensional projections, with exact verification."""
+"""Embedding near-dedup: banded signs of projections, then collision counts within buckets, with exact verification."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .common import connected_components, written
 #: Rows of one bucket that a task compares with one another; larger buckets are compared block by block.
 BLOCK = 1024
 #: Share of pairs at the similarity bound that buckets, and then counts, are calibrated to let through.
-BUCKET_RECALL, COUNT_RECALL = 0.985, 0.998
+BUCKET_RECALL, COUNT_RECALL = 0.998, 0.9999
 
 
 def bucket_tables(cosine: float, bits: int) -> int:
@@ -117,12 +117,13 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93, projections
     vectors of a label are one node with a weight and link with one another, whatever rounding makes of their cosine.
     Repeated rows are rows of their own; different vectors of one vec_id share their links. An empty table gives no rows; other columns are ignored.
 
-    Each table sorts rows by the half-lines in which several projections put them; rows with equal ones are candidates
+    Each table puts rows in buckets by the signs of several projections; rows of one bucket are candidates
     (the number of projections a table follows the largest label's rows, and the number of tables the recall that this
     leaves at the bound). Candidates collide on a further projection if they differ by at most the window around the
-    query, as wide as the distance at the bound. Those that collide often enough, by a count that all but 0.2 % of pairs
-    at the bound reach, are verified. A bucket of more than 1024 rows is compared in pairs of blocks, each one task; a
-    task returns only a count and a root for each row, never pairs.
+    query, as wide as the distance at the bound. Those that collide often enough, by a count that all but 0.01 % of pairs
+    at the bound reach, are verified. So about 0.2 % of the pairs at the bound, and fewer of closer ones, are not found.
+    A bucket of more than 1024 rows is compared in pairs of blocks, each one task; a task returns only a count and a
+    root for each row, never pairs.
     """
     e = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform(e, lambda x: x.cast("double")).alias("vector"))

@@ -203,6 +203,23 @@ def test_embeddings(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def planted_pairs(n, low, high, dims=64):
+    """n pairs (i, n + i) of unit vectors with cosines between low and high."""
+    r = np.random.default_rng(8)
+    a, b = r.standard_normal((2, n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = r.uniform(low, high, (n, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+
+
+def test_embeddings_at_the_bound(spark):
+    x = planted_pairs(3000, 0.9301, 0.9305)
+    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert near_duplicate_vectors(vectors).where("n_links > 0").count() / 6000 > 0.996
+
+
 def edit_distance_inside(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
