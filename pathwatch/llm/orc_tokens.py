@@ -17,7 +17,7 @@ from .tokens import Encoder, vocabulary
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), int(end_id).to_bytes(4, "little")
+        encoder, end = Encoder(path, added=True), int(end_id).to_bytes(4, "little")
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)

@@ -20,7 +20,7 @@ GROUP = 4096
 
 def _pieces(path: str, tokens: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), int(end_id).to_bytes(4, "little")
+        encoder, end = Encoder(path, added=True), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):

@@ -44,7 +44,10 @@ def _ranks(spec: dict, suffix: str, first: int) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. Strings that look like special tokens are ordinary text.
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    Strings that look like the file's added tokens are ordinary text, or, if `added`, get those tokens' ids, as
+    tokenizers gives them by default: texts that hold any are run by tokenizers.
 
     Two kinds of vocabulary file whose ids follow their merges are run by tiktoken, which merges by least id and is
     several times as fast as tokenizers: byte-level ones, and lower-case ones with word ends that drop white space. For
@@ -55,13 +58,14 @@ class Encoder:
     #: Distinct cuttings that are remembered, and words; then the memory starts anew.
     REMEMBER = 300_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.whole = self.words = self.tokenizer = None
+        self.whole = self.words = self.tokenizer = self.marked = None
+        self.path, self.added = path, [t["content"] for t in spec.get("added_tokens") or []] if added else []
         if not normal and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not model.get("end_of_word_suffix"):
             from public_tokenizers import PATTERN
 
@@ -78,9 +82,11 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.encode_special_tokens = not added
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self._marked(text)
         if self.whole:
             return np.ascontiguousarray(self.whole.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
         if self.tokenizer:
@@ -100,6 +106,14 @@ class Encoder:
                     known[p] = b"".join([self._word(w) for w in self.split(p)])
             return b"".join([known[p] for p in parts])
 
+    def _marked(self, text: str) -> bytes:
+        if not self.marked:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.marked = Tokenizer.from_file(self.path)
+        return np.array(self.marked.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         ids = self.pieces.get(word)
         if ids is None:

@@ -126,6 +126,16 @@ def test_ids_equal_the_tokenizers_own(name, corpus):
         assert e.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_in_texts_get_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> B's<|endoftext|>", "<|startoftext|>Ünï <|ENDOFTEXT|>", "<|endoftext|>", "plain"]
+    for name, run in [("byte_bpe_50k.json", packing.pack_sequences), ("word_bpe_49k.json", tokenize_to_orc)]:
+        t = Tokenizer.from_file(tokens.vocabulary(name))
+        want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in enumerate(texts)}
+        assert {r.doc_id: r.ids_crc32 for r in run(frame(spark, list(enumerate(texts)))).collect()} == want
+
+
 def test_packing(spark, corpus):
     rows = corpus + [(50, prose(9, 3000))]
     got = packing.pack_sequences(frame(spark, rows), tokens=256).collect()
