@@ -3,10 +3,12 @@
 Prefix-partitioned suffix trees. Only suffixes of at least `min_words` words matter, down to that depth. They are
 dealt out by a prefix that any two equal suffixes share: the least hashed word 8-gram among a suffix's first
 `min_words` words. About one such prefix in 22 words is new, so one short text serves a run of suffixes, and prefixes
-that only one document holds are dropped by exact counting: their subtrees can't branch between documents. A prefix
-group that fits `max_suffixes` gets a subtree in one task, built from its texts by prefix doubling; a node `min_words`
-deep whose smallest document differs from a suffix's own marks that suffix, and marked neighbours merge into maximal
-repeats. A larger group gets longer prefixes: all `min_words` words, so that each prefix is itself such a node, and
+that only one document holds are dropped by exact counting: their subtrees can't branch between documents. Prefixes are
+of variable length: a group of more than `max_suffixes` suffixes is dealt anew by least hashed 16-grams, what is still
+too large by 32-grams. A group that fits gets a subtree in one task, from the top: the nodes of depth d are split into
+those of depth 2d by prefix doubling. A node `min_words` deep whose smallest document differs from a suffix's own marks
+that suffix, and marked neighbours merge into maximal repeats. What is too large under every prefix gets all `min_words`
+words as its prefix: each is such a node by itself, has one row for each document that holds it, however often, and
 Spark's partial aggregation finds its smallest document without bringing the group together.
 """
 
@@ -24,17 +26,22 @@ from pyspark.sql import functions as F
 from .common import written
 from .textbuf import Words, grams, slices, sliding_min, text_buffer
 
-PREFIX_WORDS = 8
+#: Words of the prefixes that suffixes are dealt by, each for what the one before leaves too large.
+PREFIXES = (8, 16, 32)
 
 
-def _anchors(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix of min_words words in one document: the word it starts at, and its group."""
-    if len(w) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = sliding_min(grams(w.hashes(), PREFIX_WORDS), min_words - PREFIX_WORDS + 1)
+def _windows(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, row) of each suffix of `min_words` words in one document."""
     rows = w.rows()
-    at = np.flatnonzero(rows[: len(least)] == rows[min_words - 1 :])
-    return at, least[at].view(np.int64)
+    at = np.flatnonzero(rows[: max(0, len(rows) - min_words + 1)] == rows[min_words - 1 :])
+    return at, rows[at]
+
+
+def _anchors(h: np.ndarray, at: np.ndarray, words: int, min_words: int) -> np.ndarray:
+    """The group of each suffix: its least hashed gram of so many words. Groups of different lengths are kept apart."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    return sliding_min(grams(h + np.uint64(words), words), min_words - words + 1)[at].view(np.int64)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -48,6 +55,21 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _members(lists: pa.Array, row: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether each suffix's group is in its row's list."""
+    which = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    have = pd.MultiIndex.from_arrays([which, lists.flatten().to_numpy(zero_copy_only=False)])
+    return have.get_indexer(pd.MultiIndex.from_arrays([row, group])) >= 0
+
+
+def _counted(rows: int, row: np.ndarray, group: np.ndarray) -> pa.Array:
+    """Each row's groups with the suffixes it has in them."""
+    df = pd.DataFrame({"row": row, "group": group}).groupby(["row", "group"], sort=True).size()
+    bounds = pa.array(np.searchsorted(df.index.get_level_values(0).to_numpy(), np.arange(rows + 1)), pa.int32())
+    groups = [pa.array(df.index.get_level_values(1).to_numpy(), pa.int64()), pa.array(df.to_numpy(), pa.int64())]
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(groups, ["anchor", "n"]))
+
+
 def _scan(min_words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,58 +79,73 @@ def _scan(min_words: int):
                 raw, digests = buf.tobytes(), []
                 for a, b in zip(offs[:-1], offs[1:]):
                     digests.append(hashlib.sha256(b" ".join(raw[a:b].split())).digest())
-                at, group = _anchors(w, min_words)
-                row = np.searchsorted(w.first, at, "right") - 1
-                df = pd.DataFrame({"row": row, "group": group}).groupby(["row", "group"], sort=True).size()
-                keys = df.index.get_level_values(0).to_numpy()
-                bounds = pa.array(np.searchsorted(keys, np.arange(len(digests) + 1)), pa.int32())
-                groups = pa.StructArray.from_arrays([pa.array(df.index.get_level_values(1).to_numpy(), pa.int64()), pa.array(df.to_numpy(), pa.int64())], ["anchor", "n"])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], pa.array(w.counts(), pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(bounds, groups)], ["doc_id", "tag", "n_words", "sha", "anchors"])
+                at, row = _windows(w, min_words)
+                anchors = _counted(len(part), row, _anchors(w.hashes(), at, PREFIXES[0], min_words))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], pa.array(w.counts(), pa.int64()), pa.array(digests, pa.binary()), anchors], ["doc_id", "tag", "n_words", "sha", "anchors"])
 
     return scan
 
 
-_SUFFIXES = "hot boolean, anchor long, second long, doc_id long, tag long, start long, n long, words binary"
+def _large(h: np.ndarray, at: np.ndarray, row: np.ndarray, prefixes: tuple[int, ...], min_words: int, large: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose groups under all these prefixes are too large."""
+    for words in prefixes:
+        still = _members(large, row, _anchors(h, at, words, min_words))
+        at, row = at[still], row[still]
+    return at, row
+
+
+def _deal(level: int, min_words: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Groups under the next longer prefix of suffixes whose groups were too large before."""
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = Words(*text_buffer(part["text"]))
+                h = w.hashes()
+                at, row = _large(h, *_windows(w, min_words), PREFIXES[:level], min_words, part["large"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], _counted(len(part), row, _anchors(h, at, PREFIXES[level], min_words))], ["doc_id", "tag", "anchors"])
+
+    return deal
+
+
+_SUFFIXES = {"deep": pa.bool_(), "anchor": pa.int64(), "second": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "starts": pa.list_(pa.int64()), "n": pa.int64(), "words": pa.binary()}
 
 
 def _suffixes(min_words: int):
-    """Runs of suffixes of one group with their words, or each suffix of a large group under all its words."""
+    """Runs of suffixes of one group with their words, and each different suffix that is a prefix of its own."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 buf, offs = text_buffer(part["text"])
                 w = Words(buf, offs)
-                at, group = _anchors(w, min_words)
-                row = np.searchsorted(w.first, at, "right") - 1
-                wanted = part["groups"]
-                which = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
-                anchors, hot = (wanted.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                have = pd.MultiIndex.from_arrays([which, anchors])
-                found = have.get_indexer(pd.MultiIndex.from_arrays([row, group]))
-                at, group, row, found = (x[found >= 0] for x in (at, group, row, found))
-                hot = hot[found].astype(bool)
+                h, raw = w.hashes(), buf.tobytes()
+                at, row = _windows(w, min_words)
                 doc, tag = (part[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
-                h = w.hashes() if hot.any() else None
                 out = []
-                if hot.any():
-                    first, second = grams(h, min_words), grams(h ^ np.uint64(0x5851F42D4C957F2D), min_words)
-                    p, r = at[hot], row[hot]
-                    begin = _runs(first[p], second[p], r, p - np.arange(len(p)))  # equal neighbours, as in repeated lines
-                    size = np.diff(np.append(begin, len(p)))
-                    p, r = p[begin], r[begin]
-                    out.append({"hot": np.ones(len(p), bool), "anchor": first[p].view(np.int64), "second": second[p].view(np.int64), "doc_id": doc[r], "tag": tag[r], "start": p - w.first[r], "n": size, "words": [None] * len(p)})
-                p, g, r = at[~hot], group[~hot], row[~hot]
-                if len(p):
-                    begin = _runs(g, r, p - np.arange(len(p)))
+                for words in PREFIXES:
+                    g = _anchors(h, at, words, min_words)
+                    fits = _members(part["small"], row, g)
+                    p, r, g_ = at[fits], row[fits], g[fits]
+                    begin = _runs(g_, r, p - np.arange(len(p)))
                     size = np.diff(np.append(begin, len(p)))
-                    p, g, r = p[begin], g[begin], r[begin]
-                    raw = buf.tobytes()
+                    p, r, g_ = p[begin], r[begin], g_[begin]
                     texts = [raw[a:b] for a, b in zip(w.start[p], w.end[p + size + min_words - 2])]
-                    out.append({"hot": np.zeros(len(p), bool), "anchor": g, "second": np.zeros(len(p), np.int64), "doc_id": doc[r], "tag": tag[r], "start": p - w.first[r], "n": size, "words": texts})
-                kinds = dict(zip(("hot", "anchor", "second", "doc_id", "tag", "start", "n", "words"), (pa.bool_(), *[pa.int64()] * 6, pa.binary())))
+                    starts = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1), pa.int32()), pa.array(p - w.first[r], pa.int64()))
+                    out.append([np.zeros(len(p), bool), g_, np.zeros(len(p), np.int64), doc[r], tag[r], starts, size, texts])
+                    large = _members(part["large"], row, g)
+                    at, row = at[large], row[large]
+                if len(at):
+                    first = grams(h, min_words)[at]
+                    second = grams(Words(buf, offs, seed=1).hashes(), min_words)[at]
+                    order = np.lexsort((at, second, first, row))
+                    p, r, first, second = at[order], row[order], first[order], second[order]
+                    begin = _runs(r, first, second)
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(p)), pa.int32()), pa.array(p - w.first[r], pa.int64()))
+                    r = r[begin]
+                    out.append([np.ones(len(r), bool), first[begin].view(np.int64), second[begin].view(np.int64), doc[r], tag[r], starts, np.ones(len(r), np.int64), [None] * len(r)])
                 for cols in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[k], kind) for k, kind in kinds.items()], list(kinds))
+                    if len(cols[0]):
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(cols, _SUFFIXES.values())], list(_SUFFIXES))
 
     return emit
 
@@ -134,7 +171,8 @@ def _deep_nodes(rows: pd.DataFrame, min_words: int) -> pd.DataFrame:
     size = np.diff(np.append(begin, len(hit)))
     hit = hit[begin]
     own = rows.iloc[chunk[hit]]
-    return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "tag": own["tag"].to_numpy(), "start": own["start"].to_numpy() + within[hit], "n": size})
+    starts = [[x] for x in own["start"].to_numpy() + within[hit]]
+    return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "tag": own["tag"].to_numpy(), "starts": starts, "n": size})
 
 
 def _in_parts(rows: pd.DataFrame, min_words: int, words_at_once: int) -> Iterator[pd.DataFrame]:
@@ -177,8 +215,9 @@ def _cut(min_words: int):
                 words = text.encode().split(None) if text else []
                 delta = np.zeros(len(words) + 1, np.int64)
                 for r in repeats:
-                    delta[r["start"]] += 1
-                    delta[r["start"] + r["n"] + min_words - 1] -= 1
+                    starts = np.array(r["starts"])
+                    np.add.at(delta, starts, 1)
+                    np.add.at(delta, starts + r["n"] + min_words - 1, -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 kept = b" ".join([x for x, g in zip(words, gone.tolist()) if not g])
                 out.append((int(gone.sum()), hashlib.sha256(kept).digest(), kept.decode()))
@@ -188,6 +227,11 @@ def _cut(min_words: int):
     return cut
 
 
+def _lists(column: str) -> list:
+    """Groups that fit a task, and those that don't."""
+    return [F.collect_list(F.when(F.col("large") == large, F.col(column))).alias(name) for name, large in (("small", False), ("large", True))]
+
+
 def dedup_substrings(docs: DataFrame, min_words: int = 50, max_suffixes: int = 16_384, with_text: bool = False) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and kept_text if `with_text`.
 
@@ -198,25 +242,36 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, max_suffixes: int = 1
     results. An empty table gives no rows. Other columns are ignored.
 
     Equal word sequences are settled by the smallest doc_id among them before any suffix is made, so copies cost
-    nothing. kept_text is null where nothing was removed.
+    nothing. kept_text is null where nothing was removed. A window must be longer than the longest of PREFIXES.
     """
+    if min_words <= PREFIXES[-1]:
+        raise ValueError(f"windows of {min_words} words; {PREFIXES[-1] + 1} are the least")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
     seen = written(base.mapInArrow(_scan(min_words), "doc_id long, tag long, n_words long, sha binary, anchors array<struct<anchor:long,n:long>>"))
     first = seen.groupBy("sha").agg(F.min("doc_id").alias("first"))
     known = seen.join(first.hint("merge"), "sha")
 
-    anchors = known.where("doc_id = first").select("doc_id", "tag", F.explode("anchors").alias("a")).select("doc_id", "tag", "a.*")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
-    shared = shared.select("anchor", (F.col("n") > max_suffixes).alias("hot"))
-    wanted = anchors.join(shared.hint("merge"), "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "hot")).alias("groups"))
-    suffixes = written(base.join(wanted.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "groups").mapInArrow(_suffixes(min_words), _SUFFIXES))
-
-    trees = suffixes.where("not hot").select("anchor", "doc_id", "tag", "start", "n", "words").repartition("anchor").sortWithinPartitions("anchor")
-    repeats = trees.mapInPandas(_subtrees(min_words), "doc_id long, tag long, start long, n long")
-    long = suffixes.where("hot").select("anchor", "second", "doc_id", "tag", "start", "n")
-    nodes = long.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    repeats = repeats.unionAll(long.join(nodes.hint("merge"), ["anchor", "second"]).where("lo < doc_id").select("doc_id", "tag", "start", "n"))
-    repeats = repeats.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
+    anchors, dealt = known.where("doc_id = first").select("doc_id", "tag", "anchors"), None
+    for level in range(len(PREFIXES)):
+        anchors = anchors.select("doc_id", "tag", F.explode("anchors").alias("a")).select("doc_id", "tag", "a.*")
+        shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
+        shared = shared.select("anchor", (F.col("n") > max_suffixes).alias("large"))
+        of = written(anchors.join(shared.hint("merge"), "anchor").groupBy("doc_id", "tag").agg(*_lists("anchor")))
+        dealt = of if dealt is None else written(dealt.unionByName(of).groupBy("doc_id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("small", "large")]))
+        left = of.where(F.size("large") > 0).select("doc_id", "tag")
+        if level + 1 == len(PREFIXES) or not left.limit(1).count():
+            break
+        left = dealt.join(left.hint("merge"), ["doc_id", "tag"], "left_semi").select("doc_id", "tag", "large")
+        anchors = written(base.join(left.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "large").mapInArrow(_deal(level + 1, min_words), "doc_id long, tag long, anchors array<struct<anchor:long,n:long>>"))
+    kinds = "deep boolean, anchor long, second long, doc_id long, tag long, starts array<long>, n long, words binary"
+    suffixes = written(base.join(dealt.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "small", "large").mapInArrow(_suffixes(min_words), kinds))
+
+    trees = suffixes.where("not deep").select("anchor", "doc_id", "tag", F.col("starts")[0].alias("start"), "n", "words").repartition("anchor").sortWithinPartitions("anchor")
+    repeats = trees.mapInPandas(_subtrees(min_words), "doc_id long, tag long, starts array<long>, n long")
+    deep = suffixes.where("deep").select("anchor", "second", "doc_id", "tag", "starts", "n")
+    nodes = deep.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+    repeats = repeats.unionAll(deep.join(nodes.hint("merge"), ["anchor", "second"]).where("lo < doc_id").select("doc_id", "tag", "starts", "n"))
+    repeats = repeats.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("starts", "n")).alias("repeats"))
 
     cut = base.join(repeats.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "repeats").mapInArrow(_cut(min_words), "doc_id long, tag long, removed long, kept_sha binary, kept_text string")
     cut = cut.dropDuplicates(["doc_id", "tag"]) if with_text else cut.select("doc_id", "tag", "removed", "kept_sha").distinct()

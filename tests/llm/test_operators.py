@@ -45,10 +45,11 @@ def corpus():
     p = prose(1, 60)
     rows = [(i, prose(100 + i, 120)) for i in range(12)]
     rows += [(20, p + " " + prose(2, 40)), (21, prose(3, 30) + "\n" + p), (22, p.replace(" ", "  ")), (23, prose(100, 120)), (24, prose(101, 120).replace("w1", "v1", 2))]
+    rows += [(25, "ab cd " * 90 + prose(5, 20)), (26, prose(6, 70) + " cd" + " ab cd" * 60)]
     return rows + EDGES
 
 
-@pytest.mark.parametrize("max_suffixes", [1, 16_384])
+@pytest.mark.parametrize("max_suffixes", [1, 60, 16_384])
 def test_substring_dedup(spark, corpus, max_suffixes):
     got = sorted(map(repr, (tuple(r)[:4] for r in dedup_substrings(frame(spark, corpus), max_suffixes=max_suffixes).collect())))
     first, want = {}, []
