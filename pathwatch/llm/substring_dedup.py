@@ -4,12 +4,12 @@ Prefix-partitioned suffix trees. Only suffixes of at least `min_words` words mat
 dealt out by a prefix that any two equal suffixes share: the least hashed word 8-gram among a suffix's first
 `min_words` words. About one such prefix in 22 words is new, so one short text serves a run of suffixes, and prefixes
 that only one document holds are dropped by exact counting: their subtrees can't branch between documents. Prefixes are
-of variable length: a group of more than `max_suffixes` suffixes is dealt anew by least hashed 16-grams, what is still
-too large by 32-grams. A group that fits gets a subtree in one task, from the top: the nodes of depth d are split into
+of variable length: the runs of a group of more than `max_suffixes` suffixes are dealt anew by the least hashed 24-gram
+of each suffix. A group that fits gets a subtree in one task, from the top: the nodes of depth d are split into
 those of depth 2d by prefix doubling. A node `min_words` deep whose smallest document differs from a suffix's own marks
-that suffix, and marked neighbours merge into maximal repeats. What is too large under every prefix gets all `min_words`
-words as its prefix: each is such a node by itself, has one row for each document that holds it, however often, and
-Spark's partial aggregation finds its smallest document without bringing the group together.
+that suffix, and marked neighbours merge into maximal repeats. What is too large under either prefix gets all `min_words`
+words as its prefix: each is such a node by itself, has one row for each run that holds it, however often, and Spark's
+partial aggregation finds its smallest document without bringing the group together.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import written
 from .textbuf import Words, grams, slices, sliding_min, text_buffer
 
 #: Words of the prefixes that suffixes are dealt by, each for what the one before leaves too large.
-PREFIXES = (8, 16, 32)
+PREFIXES = (8, 24)
 
 
 def _windows(w: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +55,6 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _members(lists: pa.Array, row: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether each suffix's group is in its row's list."""
-    which = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    have = pd.MultiIndex.from_arrays([which, lists.flatten().to_numpy(zero_copy_only=False)])
-    return have.get_indexer(pd.MultiIndex.from_arrays([row, group])) >= 0
-
-
 def _counted(rows: int, row: np.ndarray, group: np.ndarray) -> pa.Array:
     """Each row's groups with the suffixes it has in them."""
     df = pd.DataFrame({"row": row, "group": group}).groupby(["row", "group"], sort=True).size()
@@ -86,68 +79,71 @@ def _scan(min_words: int):
     return scan
 
 
-def _large(h: np.ndarray, at: np.ndarray, row: np.ndarray, prefixes: tuple[int, ...], min_words: int, large: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes whose groups under all these prefixes are too large."""
-    for words in prefixes:
-        still = _members(large, row, _anchors(h, at, words, min_words))
-        at, row = at[still], row[still]
-    return at, row
+_RUN = {"anchor": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "start": pa.int64(), "n": pa.int64(), "words": pa.binary()}
+RUNS = "anchor long, doc_id long, tag long, start long, n long, words binary"
+
+
+def _run_rows(part: pa.RecordBatch, first: np.ndarray, buf: np.ndarray, w: Words, at: np.ndarray, row: np.ndarray, group: np.ndarray, min_words: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    """(where runs of suffixes of one group begin, the runs with their words); row r's words start at word first[r] of its text."""
+    begin = _runs(group, row, at - np.arange(len(at)))
+    size = np.diff(np.append(begin, len(at)))
+    p, r, raw = at[begin], row[begin], buf.tobytes()
+    texts = [raw[a:b] for a, b in zip(w.start[p], w.end[p + size + min_words - 2])]
+    doc, tag = (part[c].take(pa.array(r)) for c in ("doc_id", "tag"))
+    cols = [group[begin], doc, tag, first[r] + p - w.first[r], size, texts]
+    return begin, pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(cols, _RUN.values())], list(_RUN))
 
 
-def _deal(level: int, min_words: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups under the next longer prefix of suffixes whose groups were too large before."""
+def _emit(min_words: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of the texts' suffixes in the groups listed, and whether the group is too large."""
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(*text_buffer(part["text"]))
-                h = w.hashes()
-                at, row = _large(h, *_windows(w, min_words), PREFIXES[:level], min_words, part["large"])
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], _counted(len(part), row, _anchors(h, at, PREFIXES[level], min_words))], ["doc_id", "tag", "anchors"])
+                buf, offs = text_buffer(part["text"])
+                w = Words(buf, offs)
+                at, row = _windows(w, min_words)
+                group = _anchors(w.hashes(), at, PREFIXES[0], min_words)
+                wanted = part["groups"]
+                which = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+                anchors, large = (wanted.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                found = pd.MultiIndex.from_arrays([which, anchors]).get_indexer(pd.MultiIndex.from_arrays([row, group]))
+                at, row, group, found = (x[found >= 0] for x in (at, row, group, found))
+                begin, out = _run_rows(part, np.zeros(len(part), np.int64), buf, w, at, row, group, min_words)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(large[found[begin]].astype(bool), pa.bool_())], [*_RUN, "large"])
 
-    return deal
+    return emit
 
 
-_SUFFIXES = {"deep": pa.bool_(), "anchor": pa.int64(), "second": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "starts": pa.list_(pa.int64()), "n": pa.int64(), "words": pa.binary()}
+def _split(words: int, min_words: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs, dealt anew by prefixes of so many words."""
+        for batch in batches:
+            for part in slices(batch, "words"):
+                buf, offs = text_buffer(part["words"])
+                w = Words(buf, offs)
+                at, row = _windows(w, min_words)
+                yield _run_rows(part, part["start"].to_numpy(), buf, w, at, row, _anchors(w.hashes(), at, words, min_words), min_words)[1]
 
+    return split
 
-def _suffixes(min_words: int):
-    """Runs of suffixes of one group with their words, and each different suffix that is a prefix of its own."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(min_words: int):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different suffixes of each run, each a prefix of its own, with the places where they start."""
         for batch in batches:
-            for part in slices(batch, "text"):
-                buf, offs = text_buffer(part["text"])
+            for part in slices(batch, "words"):
+                buf, offs = text_buffer(part["words"])
                 w = Words(buf, offs)
-                h, raw = w.hashes(), buf.tobytes()
                 at, row = _windows(w, min_words)
-                doc, tag = (part[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
-                out = []
-                for words in PREFIXES:
-                    g = _anchors(h, at, words, min_words)
-                    fits = _members(part["small"], row, g)
-                    p, r, g_ = at[fits], row[fits], g[fits]
-                    begin = _runs(g_, r, p - np.arange(len(p)))
-                    size = np.diff(np.append(begin, len(p)))
-                    p, r, g_ = p[begin], r[begin], g_[begin]
-                    texts = [raw[a:b] for a, b in zip(w.start[p], w.end[p + size + min_words - 2])]
-                    starts = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1), pa.int32()), pa.array(p - w.first[r], pa.int64()))
-                    out.append([np.zeros(len(p), bool), g_, np.zeros(len(p), np.int64), doc[r], tag[r], starts, size, texts])
-                    large = _members(part["large"], row, g)
-                    at, row = at[large], row[large]
-                if len(at):
-                    first = grams(h, min_words)[at]
-                    second = grams(Words(buf, offs, seed=1).hashes(), min_words)[at]
-                    order = np.lexsort((at, second, first, row))
-                    p, r, first, second = at[order], row[order], first[order], second[order]
-                    begin = _runs(r, first, second)
-                    starts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(p)), pa.int32()), pa.array(p - w.first[r], pa.int64()))
-                    r = r[begin]
-                    out.append([np.ones(len(r), bool), first[begin].view(np.int64), second[begin].view(np.int64), doc[r], tag[r], starts, np.ones(len(r), np.int64), [None] * len(r)])
-                for cols in out:
-                    if len(cols[0]):
-                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(cols, _SUFFIXES.values())], list(_SUFFIXES))
+                first, second = (grams(x.hashes(), min_words)[at] for x in (w, Words(buf, offs, seed=1)))
+                order = np.lexsort((at, second, first, row))
+                at, row, first, second = at[order], row[order], first[order], second[order]
+                begin = _runs(row, first, second)
+                starts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)), pa.int32()), pa.array(part["start"].to_numpy()[row] + at - w.first[row], pa.int64()))
+                doc, tag = (part[c].take(pa.array(row[begin])) for c in ("doc_id", "tag"))
+                yield pa.RecordBatch.from_arrays([pa.array(first[begin].view(np.int64)), pa.array(second[begin].view(np.int64)), doc, tag, starts], ["anchor", "second", "doc_id", "tag", "starts"])
 
-    return emit
+    return whole
 
 
 def _deep_nodes(rows: pd.DataFrame, min_words: int) -> pd.DataFrame:
@@ -227,9 +223,10 @@ def _cut(min_words: int):
     return cut
 
 
-def _lists(column: str) -> list:
-    """Groups that fit a task, and those that don't."""
-    return [F.collect_list(F.when(F.col("large") == large, F.col(column))).alias(name) for name, large in (("small", False), ("large", True))]
+def _shared(groups: DataFrame, max_suffixes: int) -> DataFrame:
+    """(anchor, large) of groups that more than one document has."""
+    found = groups.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
+    return found.select("anchor", (F.col("n") > max_suffixes).alias("large"))
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = 50, max_suffixes: int = 16_384, with_text: bool = False) -> DataFrame:
@@ -251,26 +248,22 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, max_suffixes: int = 1
     first = seen.groupBy("sha").agg(F.min("doc_id").alias("first"))
     known = seen.join(first.hint("merge"), "sha")
 
-    anchors, dealt = known.where("doc_id = first").select("doc_id", "tag", "anchors"), None
-    for level in range(len(PREFIXES)):
-        anchors = anchors.select("doc_id", "tag", F.explode("anchors").alias("a")).select("doc_id", "tag", "a.*")
-        shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
-        shared = shared.select("anchor", (F.col("n") > max_suffixes).alias("large"))
-        of = written(anchors.join(shared.hint("merge"), "anchor").groupBy("doc_id", "tag").agg(*_lists("anchor")))
-        dealt = of if dealt is None else written(dealt.unionByName(of).groupBy("doc_id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("small", "large")]))
-        left = of.where(F.size("large") > 0).select("doc_id", "tag")
-        if level + 1 == len(PREFIXES) or not left.limit(1).count():
-            break
-        left = dealt.join(left.hint("merge"), ["doc_id", "tag"], "left_semi").select("doc_id", "tag", "large")
-        anchors = written(base.join(left.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "large").mapInArrow(_deal(level + 1, min_words), "doc_id long, tag long, anchors array<struct<anchor:long,n:long>>"))
-    kinds = "deep boolean, anchor long, second long, doc_id long, tag long, starts array<long>, n long, words binary"
-    suffixes = written(base.join(dealt.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "small", "large").mapInArrow(_suffixes(min_words), kinds))
-
-    trees = suffixes.where("not deep").select("anchor", "doc_id", "tag", F.col("starts")[0].alias("start"), "n", "words").repartition("anchor").sortWithinPartitions("anchor")
+    anchors = known.where("doc_id = first").select("doc_id", "tag", F.explode("anchors").alias("a")).select("doc_id", "tag", "a.*")
+    wanted = anchors.join(_shared(anchors, max_suffixes).hint("merge"), "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "large")).alias("groups"))
+    runs = written(base.join(wanted.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "groups").mapInArrow(_emit(min_words), RUNS + ", large boolean"))
+
+    fits, large = runs.where("not large").drop("large"), runs.where("large")
+    for words in PREFIXES[1:]:
+        if large.limit(1).count():
+            parts = written(large.select(*_RUN).mapInArrow(_split(words, min_words), RUNS))
+            parts = written(parts.join(_shared(parts, max_suffixes).hint("merge"), "anchor").select(*_RUN, "large"))
+            fits, large = fits.unionByName(parts.where("not large").drop("large")), parts.where("large")
+    trees = fits.repartition("anchor").sortWithinPartitions("anchor")
     repeats = trees.mapInPandas(_subtrees(min_words), "doc_id long, tag long, starts array<long>, n long")
-    deep = suffixes.where("deep").select("anchor", "second", "doc_id", "tag", "starts", "n")
-    nodes = deep.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    repeats = repeats.unionAll(deep.join(nodes.hint("merge"), ["anchor", "second"]).where("lo < doc_id").select("doc_id", "tag", "starts", "n"))
+    if large.limit(1).count():
+        deep = written(large.select(*_RUN).mapInArrow(_whole(min_words), "anchor long, second long, doc_id long, tag long, starts array<long>"))
+        nodes = deep.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+        repeats = repeats.unionAll(deep.join(nodes.hint("merge"), ["anchor", "second"]).where("lo < doc_id").select("doc_id", "tag", "starts", F.lit(1).cast("long")))
     repeats = repeats.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("starts", "n")).alias("repeats"))
 
     cut = base.join(repeats.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "repeats").mapInArrow(_cut(min_words), "doc_id long, tag long, removed long, kept_sha binary, kept_text string")
