@@ -15,9 +15,9 @@ from .common import scratch
 from .tokens import Encoder, vocabulary
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str | None, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path, added=True), int(end_id).to_bytes(4, "little")
+        encoder, end = Encoder(path or vocabulary("word_bpe_49k.json"), added=True), int(end_id).to_bytes(4, "little")
         for batch in batches:
             for first in range(0, len(batch), 1000):
                 part = batch.slice(first, 1000)
@@ -36,9 +36,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     prune ranges of doc_id, and Bloom filters prune single ones. Texts are ranged before they are encoded, so that only
     they are shuffled. `part` numbers the files; rows of equal doc_id are ordered by their text's hash.
     """
-    path_ = tokenizer or vocabulary("word_bpe_49k.json")
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ids = ranged.mapInArrow(_encode(path_, end_id), "doc_id long, n_tokens long, ids array<int>")
+    ids = ranged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n_tokens long, ids array<int>")
     out = ids.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "doc_id", "n_tokens", "ids")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
     out.write.options(**options).orc(path)

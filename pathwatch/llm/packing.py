@@ -18,9 +18,9 @@ from .tokens import Encoder, vocabulary
 GROUP = 4096
 
 
-def _pieces(path: str, tokens: int, end_id: int):
+def _pieces(path: str | None, tokens: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path, added=True), int(end_id).to_bytes(4, "little")
+        encoder, end = Encoder(path or vocabulary("byte_bpe_50k.json"), added=True), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -94,9 +94,8 @@ def pack_sequences(docs: DataFrame, tokens: int = 1024, pieces: int | None = Non
     with null doc_id are documents like any other. An empty table gives no rows; other columns are ignored.
     """
     capacity = (tokens, pieces or tokens, attention or tokens * tokens)
-    path = tokenizer or vocabulary("byte_bpe_50k.json")
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    cut = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, tokens, end_id), kinds))
+    cut = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, tokens, end_id), kinds))
     groups = cut.count() // GROUP + 1
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
     return dealt.groupBy("grp").applyInPandas(_pack(capacity), kinds + ", sequence_id long, offset long")
