@@ -1,4 +1,9 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, and distance-weighted votes.
+
+Terms are all words of the labelled rows that are sampled. A term's weight is its TF-IDF times what the sample's labels say
+of it: a smooth function of its likelihood ratio between the classes, never 0 (supervised term weighting). With plain
+TF-IDF a few telling words are lost among hundreds of rare ones, and neighbours are those of the same topic.
+"""
 
 from __future__ import annotations
 
@@ -15,45 +20,33 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .labelled import held_out, training_labels
-from .textbuf import Words, mix, slices, text_buffer
+from .textbuf import Words, slices, text_buffer
 
 _M = np.uint64
 _LETTERS = np.arange(256, dtype=np.uint8)
 for _b in range(128):
     if not chr(_b).isalpha():
         _LETTERS[_b] = 0x20
-#: Lengths in bytes of the word beginnings that are terms beside the whole word.
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Bounds of what is learned: examples of each class, and telling terms whose mass calibrates votes.
-PER_CLASS, TERMS = 3000, 384
-#: A telling term's least evidence (likelihood ratio statistic), and how many times as often one class must have it as the other.
-EVIDENCE, LIFT = 30.0, 4.0
+#: Bound of what is learned: labelled rows of each class.
+PER_CLASS = 3000
+#: The likelihood ratio at which a term weighs half, how fast that changes, and the weight of terms that tell nothing.
+EVIDENCE, SLOPE, FLOOR = 30.0, 5.0, 0.02
 BLOCK, NEIGHBOURS = 64, 25
 #: Share of examples beyond which a term is a dense column, and blocks that a query visits first.
 COMMON, FIRST = 0.1, 4
+#: Cosines closer than this count as equal.
+TIE = 1e-9
 #: Counts of terms that are sent in one row.
 PIECE = 65_536
 
 
-def _terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, term hashes): whole words, then words of more than n bytes by their first n, for each n."""
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, times, hashes): each text's words, once each with their count; places are into sorted hashes."""
     buf, offs = text_buffer(pc.utf8_lower(pc.fill_null(column, "")))
     buf[:-8] = _LETTERS[buf[:-8]]
     w = Words(buf, offs)
-    rows = w.rows()
-    yield rows, w.hashes()
-    eight = np.lib.stride_tricks.as_strided(buf[:8].view("<u8"), shape=(len(buf) - 7,), strides=(1,))[w.start]
-    size = w.end - w.start
-    for n in BEGINNINGS:
-        longer = np.flatnonzero(size > n)
-        yield rows[longer], mix((eight[longer] & _M((1 << 8 * n) - 1)) ^ _M(0x9E3779B97F4A7C15 * n % 2**64))
-
-
-def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, places, times, hashes): each text's terms, once each with their count; places are into sorted hashes."""
-    rows, hashes = (np.concatenate(x) for x in zip(*_terms(column)))
-    hashes, at = np.unique(hashes, return_inverse=True)
-    cell, times = np.unique(rows * max(1, len(hashes)) + at, return_counts=True)
+    hashes, at = np.unique(w.hashes(), return_inverse=True)
+    cell, times = np.unique(w.rows() * max(1, len(hashes)) + at, return_counts=True)
     return cell // max(1, len(hashes)), cell % max(1, len(hashes)), times, hashes
 
 
@@ -145,12 +138,20 @@ class Rows:
         return np.lexsort((ids, -weight, heavy))
 
 
-def _unit(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, n: int, telling: np.ndarray, other: np.ndarray | float = 0.0) -> tuple[Rows, np.ndarray]:
-    """(TF-IDF rows of unit length, the length before of their telling terms); `other` adds to squared lengths."""
-    weights = (1 + np.log(times)) * idf[terms]
+def _unit(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, weight: np.ndarray, n: int, other: np.ndarray | float = 0.0) -> Rows:
+    """Rows of unit length; `other` adds to squared lengths."""
+    weights = (1 + np.log(times)) * weight[terms]
     norm = np.sqrt(np.bincount(rows, weights**2, n) + other)
-    mass = np.sqrt(np.bincount(rows, weights**2 * telling[terms], n))
-    return Rows(np.searchsorted(rows, np.arange(n + 1)), terms, weights / norm[rows], len(idf)), mass
+    return Rows(np.searchsorted(rows, np.arange(n + 1)), terms, weights / norm[rows], len(weight))
+
+
+def _nearest(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, cosines) of each row's k largest; -1 and 0 where fewer are above 0."""
+    k = min(k, scores.shape[1])
+    near = np.argpartition(-scores, k - 1, 1)[:, :k]
+    near = np.take_along_axis(near, np.lexsort((near, -np.take_along_axis(scores, near, 1)), axis=1), 1)
+    cosine = np.take_along_axis(scores, near, 1)
+    return np.where(cosine > 0, near, -1), cosine.clip(0)
 
 
 @dataclass
@@ -196,26 +197,34 @@ class BlockMaxIndex:
         first = np.searchsorted(term[start], np.arange(vectors.width + 1)).astype(np.int32)
         return cls(ids[order], labels[order], own, column, dense, first, np.append(start, len(row)).astype(np.int32), maxima, row.astype(np.int32), weight)
 
-    def search(self, queries: np.ndarray | Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples of each unit query by exact cosine; -1 and 0 where fewer share a term.
+    def places(self, ids: pa.Array) -> np.ndarray:
+        """Where examples of these ids are, -1 for others and for null."""
+        order = np.argsort(self.ids, kind="stable")
+        at = np.minimum(np.searchsorted(self.ids[order], ids.fill_null(0).to_numpy()), max(0, len(order) - 1))
+        found = (self.ids[order[at]] == ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return np.where(found, order[at], -1)
 
-        Blocks with the largest bounds on the cosines in them are visited first; then those others whose bound
-        exceeds the query's k-th cosine by then.
+    def cosines(self, queries: Rows, k: int, own: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """(queries x examples), some queries at a time: exact for the k nearest of each and all that tie with them.
+
+        No other is above its exact value. A query's own example, if it has one, is far below 0. Blocks with the
+        largest bounds on the cosines in them are visited first; then those others whose bound reaches the query's
+        k-th cosine by then.
         """
-        queries = Rows.of(queries)
-        place, cosine = np.full((len(queries), k), -1), np.zeros((len(queries), k))
-        if not len(self.ids):
-            return place, cosine
+        own = np.full(len(queries), -1) if own is None else own
         work = np.concatenate([[0], np.cumsum(np.diff(self.first)[queries.terms])])[queries.bounds]
         at = 0
         while at < len(queries):
             to = max(at + 1, min(at + 128, int(np.searchsorted(work, work[at] + (1 << 18), "right")) - 1))
-            place[at:to, : len(self.ids)], cosine[at:to, : len(self.ids)] = self._search(queries.take(np.arange(at, to)), k)
+            yield self._visit(queries.take(np.arange(at, to)), k, own[at:to])
             at = to
-        place[cosine <= 0] = -1
+
+    def search(self, queries: np.ndarray | Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k nearest examples of each unit query by exact cosine; -1 and 0 where fewer share a term."""
+        place, cosine = (np.concatenate(x) for x in zip(*[_nearest(scores, k) for scores in self.cosines(Rows.of(queries), k)]))
         return place, cosine
 
-    def _search(self, queries: Rows, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _visit(self, queries: Rows, k: int, own: np.ndarray) -> np.ndarray:
         n, size = len(queries), len(self.ids)
         blocks = -(-size // BLOCK)
         row = np.repeat(np.arange(n), np.diff(queries.bounds))
@@ -223,6 +232,7 @@ class BlockMaxIndex:
         x = np.zeros((n, len(self.dense)))
         x[row[column >= 0], column[column >= 0]] = queries.weights[column >= 0]
         scores = x @ self.dense  # exact over common terms, so never more than the cosine
+        scores[np.flatnonzero(own >= 0), own[own >= 0]] = -10
         bound = np.maximum.reduceat(scores, np.arange(0, size, BLOCK), axis=1)
         row, term, weight = row[column < 0], queries.terms[column < 0], queries.weights[column < 0]
         which, entry = _spread(self.first[term], self.first[term + 1] - self.first[term])
@@ -235,27 +245,25 @@ class BlockMaxIndex:
         flat = scores.reshape(-1)
         for live in (top, ~top):
             least = np.partition(scores, size - k, 1)[:, size - k, None]
-            go = np.flatnonzero((live & (bound * (1 + 1e-12) >= least)).ravel()[cell])
+            go = np.flatnonzero((live & (bound >= least - TIE)).ravel()[cell])
             of, posting = _spread(self.start[entry[go]], self.start[entry[go] + 1] - self.start[entry[go]])
             go = go[of]
             flat += np.bincount(row[which[go]] * size + self.example[posting], which_weight[go] * self.weight[posting], n * size)
-        near = np.argpartition(-scores, k - 1, 1)[:, :k]
-        near = np.take_along_axis(near, np.lexsort((near, -np.take_along_axis(scores, near, 1)), axis=1), 1)
-        return near, np.take_along_axis(scores, near, 1)
+        return scores
 
 
-def _packed(bounds: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, telling: np.ndarray):
-    """A function that gives the examples' vectors and masses where it is called; only their packed counts travel."""
+def _packed(bounds: np.ndarray, terms: np.ndarray, times: np.ndarray, weight: np.ndarray):
+    """A function that gives the examples' vectors where it is called; only their packed counts travel."""
     size = np.diff(bounds)
     steps = np.diff(terms, prepend=terms[:1]).astype(np.int32)
     steps[bounds[:-1][size > 0]] = terms[bounds[:-1][size > 0]]
     packed = [zlib.compress(x.astype(np.int32).tobytes(), 1) for x in (steps, times)]
 
-    def vectors() -> tuple[Rows, np.ndarray]:
+    def vectors() -> Rows:
         steps, times = (np.frombuffer(zlib.decompress(x), np.int32) for x in packed)
         sums = np.cumsum(steps, dtype=np.int64)
         terms = (sums - np.repeat(np.append(0, sums)[bounds[:-1]], size)).astype(np.int32)
-        return _unit(np.repeat(np.arange(len(size), dtype=np.int32), size), terms, times, idf, len(size), telling)
+        return _unit(np.repeat(np.arange(len(size), dtype=np.int32), size), terms, times, weight, len(size))
 
     return vectors
 
@@ -270,49 +278,47 @@ class Voter:
 
     index: BlockMaxIndex
     share: np.ndarray
-    apart: float
+    prior: float
     theta: np.ndarray
 
     @classmethod
-    def fit(cls, ids: np.ndarray, y: np.ndarray, vectors: Rows, mass: np.ndarray, total: dict[int, int]) -> Voter:
-        """Calibrated by logistic regression on the votes that each example gets from the others and on its telling terms' mass."""
+    def fit(cls, ids: np.ndarray, y: np.ndarray, vectors: Rows, total: dict[int, int]) -> Voter:
+        """Calibrated by logistic regression on the vote that each example gets from the others."""
         share = np.array([total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])
-        bare = mass == 0
         weight = share[y]
-        apart = (weight[bare] * y[bare]).sum() + weight[~bare & (y == 1)].sum() * 0.01 + 1e-3
-        apart /= weight[bare].sum() + weight[~bare].sum() * 0.01 + 2e-3
-        self = cls(BlockMaxIndex.build(ids, y, vectors), share, float(apart), np.array([1.0, 0.0, 0.0]))
-        votes = []
-        for first in range(0, len(ids), 256):
-            place, cosine = self.index.search(vectors.take(np.arange(first, min(first + 256, len(ids)))), NEIGHBOURS + 1)
-            cosine[place == self.index.own[first : first + 256, None]] = 0
-            votes.append(self._vote(place, cosine))
+        self = cls(BlockMaxIndex.build(ids, y, vectors), share, float((weight * y).sum() / weight.sum()), np.array([1.0, 0.0]))
+        votes = np.concatenate([self._votes(scores) for scores in self.index.cosines(vectors, NEIGHBOURS, self.index.own)])
         n1, n0 = weight[y == 1].sum(), weight[y == 0].sum()
         goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-        design, theta, start = self._design(np.concatenate(votes), mass), self.theta, self.theta
+        design, theta, start = self._design(votes), self.theta, self.theta
         for _ in range(40):
             p = 1 / (1 + np.exp(-(design @ theta).clip(-30, 30)))
-            hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(3) * 1e-2
+            hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2) * 1e-2
             theta = theta - np.linalg.solve(hessian, design.T @ (weight * (p - goal)) + 1e-2 * (theta - start))
         if np.isfinite(theta).all() and theta[0] > 0:
             self.theta = theta
         return self
 
     @staticmethod
-    def _design(vote: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        return np.stack([np.log(vote / (1 - vote)), np.log1p(mass), np.ones(len(vote))], 1)
-
-    def _vote(self, place: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        y = self.index.labels[place]
-        near = np.where(cosine > 0, cosine**2 / (1.05 - np.minimum(cosine, 1)), 0) * self.share[y]
-        prior = self.share.mean()  # far neighbours weigh less than no neighbours
-        vote = ((near * y).sum(1) + prior * self.apart) / (near.sum(1) + prior)
-        return vote.clip(1e-6, 1 - 1e-6)
-
-    def score(self, vectors: Rows, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place, cosine = self.index.search(vectors, NEIGHBOURS)
-        logit = self._design(self._vote(place, cosine), mass) @ self.theta
-        return 1 / (1 + np.exp(-logit.clip(-30, 30))), place, cosine
+    def _design(vote: np.ndarray) -> np.ndarray:
+        return np.stack([np.log(vote / (1 - vote)), np.ones(len(vote))], 1)
+
+    def _votes(self, scores: np.ndarray) -> np.ndarray:
+        """Of each query's nearest examples; those that tie for the last places share them."""
+        size = scores.shape[1]
+        k = min(NEIGHBOURS, size)
+        last = np.partition(scores, size - k, 1)[:, size - k, None]
+        above, tied = scores > last + TIE, np.abs(scores - last) <= TIE
+        place = above + tied * ((k - above.sum(1)) / tied.sum(1))[:, None]
+        near = np.where(scores > 0, scores / (1.05 - np.minimum(scores, 1)), 0) * place * self.share[self.index.labels]
+        prior = 0.1 * self.share.mean()  # far neighbours weigh less than none
+        return ((near @ self.index.labels + prior * self.prior) / (near.sum(1) + prior)).clip(1e-6, 1 - 1e-6)
+
+    def score(self, vectors: Rows, ids: pa.Array, evidence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, places and cosines of the nearest examples); a row isn't its own example."""
+        found = [(self._votes(scores), *_nearest(scores, evidence)) for scores in self.index.cosines(vectors, NEIGHBOURS, self.index.places(ids))]
+        vote, place, cosine = (np.concatenate(x) for x in zip(*found))
+        return 1 / (1 + np.exp(-(self._design(vote) @ self.theta).clip(-30, 30))), place, cosine
 
 
 def _fitted(ids: np.ndarray, y: np.ndarray, vectors, total: dict[int, int]):
@@ -321,26 +327,26 @@ def _fitted(ids: np.ndarray, y: np.ndarray, vectors, total: dict[int, int]):
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                voter = Voter.fit(ids, y, *vectors(), total)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (voter.share, np.array([voter.apart]), voter.theta)], ["share", "apart", "theta"])
+                voter = Voter.fit(ids, y, vectors(), total)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (voter.share, np.array([voter.prior]), voter.theta)], ["share", "prior", "theta"])
 
     return fit
 
 
-def _voter(ids: np.ndarray, y: np.ndarray, vectors, share: list[float], apart: float, theta: list[float]):
+def _voter(ids: np.ndarray, y: np.ndarray, vectors, share: list[float], prior: float, theta: list[float]):
     """A function that gives the voter; a worker indexes the examples once."""
     key = uuid.uuid4().hex
 
     def voter() -> Voter:
         if key not in _VOTERS:
             _VOTERS.clear()
-            _VOTERS[key] = Voter(BlockMaxIndex.build(ids, y, vectors()[0]), np.array(share), apart, np.array(theta))
+            _VOTERS[key] = Voter(BlockMaxIndex.build(ids, y, vectors()), np.array(share), prior, np.array(theta))
         return _VOTERS[key]
 
     return voter
 
 
-def _score(voter_of, vocabulary: np.ndarray, idf: np.ndarray, unseen: float, telling: np.ndarray, evidence: int):
+def _score(voter_of, vocabulary: np.ndarray, weight: np.ndarray, unseen: float, evidence: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter = voter_of()
         for batch in batches:
@@ -349,18 +355,18 @@ def _score(voter_of, vocabulary: np.ndarray, idf: np.ndarray, unseen: float, tel
                 terms = _find(vocabulary, hashes)[places]
                 known = terms >= 0
                 other = np.bincount(rows[~known], ((1 + np.log(times[~known])) * unseen) ** 2, len(part))
-                points, place, cosine = voter.score(*_unit(rows[known], terms[known], times[known], idf, len(part), telling, other))
-                shown = place[:, :evidence] >= 0
+                points, place, cosine = voter.score(_unit(rows[known], terms[known], times[known], weight, len(part), other), part["doc_id"], evidence)
+                shown = place >= 0
                 bounds = pa.array(np.concatenate([[0], np.cumsum(shown.sum(1))]), pa.int32())
-                which = place[:, :evidence][shown]
-                fields = [pa.array(voter.index.ids[which], pa.int64()), pa.array(voter.index.labels[which].astype(np.int32), pa.int32()), pa.array(cosine[:, :evidence][shown], pa.float64())]
+                which = place[shown]
+                fields = [pa.array(voter.index.ids[which], pa.int64()), pa.array(voter.index.labels[which].astype(np.int32), pa.int32()), pa.array(cosine[shown], pa.float64())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(points, pa.float64()), pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(fields, ["doc_id", "label", "cosine"]))], ["doc_id", "score", "evidence"])
 
     return score
 
 
-def _telling(n0: np.ndarray, n1: np.ndarray, m0: int, m1: int, hashes: np.ndarray, terms: int) -> np.ndarray:
-    """Which terms tell the classes apart most, by the documents of each that have them; at most `terms`."""
+def relevance(n0: np.ndarray, n1: np.ndarray, m0: int, m1: int) -> np.ndarray:
+    """How much terms tell two classes of m0 and m1 rows apart of which n0 and n1 have them: FLOOR to 1 + FLOOR."""
 
     def part(k, m):
         p = k / max(m, 1)
@@ -368,34 +374,29 @@ def _telling(n0: np.ndarray, n1: np.ndarray, m0: int, m1: int, hashes: np.ndarra
         return (entropy(p) + entropy(1 - p)) * m
 
     ratio = 2 * (part(n0, m0) + part(n1, m1) - part(n0 + n1, m0 + m1))
-    s0, s1 = (n0 + 0.5) / (m0 + 1), (n1 + 0.5) / (m1 + 1)
-    some = np.flatnonzero((n0 + n1 > 2) & (np.maximum(s0 / s1, s1 / s0) >= LIFT) & (ratio >= EVIDENCE))
-    best = some[np.lexsort((hashes[some].view(np.int64), -ratio[some]))][:terms]
-    telling = np.zeros(len(hashes), bool)
-    telling[best] = True
-    return telling
+    return FLOOR + 1 / (1 + np.exp(((EVIDENCE - ratio) / SLOPE).clip(-30, 30)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = 0.7, per_class: int = PER_CLASS, terms: int = TERMS, evidence: int = 5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = 0.7, per_class: int = PER_CLASS, evidence: int = 5) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, held_out, score, predicted, evidence (doc_id, label, cosine of the nearest).
 
-    Terms are words (runs of letters, lower-cased) and their beginnings. Those of at most `per_class` labelled rows of
-    each class are all kept, with their document frequencies over all of `docs`; a text's other terms add to its length
-    as if it alone had them. Rows whose id's crc32 leaves 1 when divided by 3 are held out from all learning. The score
-    is the distance-weighted vote of the 25 sampled rows nearest by exact TF-IDF cosine, calibrated together with the
-    mass of the text's telling terms: those, at most `terms`, that tell the sampled classes apart most. A text that
-    shares no term with any sampled row, so a null or empty one too, has no votes and no evidence and gets the
-    calibrated prior. With no usable label of one class every score is that of the other; with none, 0.5. Of several
-    texts of one sampled id the least counts. Repeated rows give repeated results, null ids are kept, an empty table
-    gives no rows, other columns are ignored.
+    Terms are words (runs of letters, lower-cased). Those of at most `per_class` labelled rows of each class are all
+    kept, with their document frequencies over all of `docs` and the sample's relevance(); a text's other terms add to
+    its length as if it alone had them. Rows whose id's crc32 leaves 1 when divided by 3 are held out from all learning.
+    The score is the calibrated, distance-weighted vote of the 25 sampled rows nearest by exact cosine of these weights;
+    rows that tie for the last places share them, and a sampled row is not its own neighbour. A text that shares no term
+    with any sampled row, so a null or empty one too, has no votes and no evidence and gets the calibrated prior. With no
+    usable label of one class every score is that of the other; with none, 0.5. Of several texts of one sampled id the
+    least counts. Repeated rows give repeated results, null ids are kept, an empty table gives no rows, other columns are
+    ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen, total = training_labels(labels, column, per_class)
     chosen = written(chosen)  # at most 2 x per_class rows, so they may be broadcast
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     seen = sample.mapInArrow(_examples, "doc_id long, y int, terms array<long>, times array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    kinds = "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>"
-    if len(seen):
+    classes = set(seen["y"].to_pylist())
+    if len(classes) == 2:
         ids, y = seen["doc_id"].to_numpy(), seen["y"].to_numpy()
         bounds = np.append(0, np.cumsum(pc.list_value_length(seen["terms"]).to_numpy()))
         rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
@@ -403,19 +404,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxic", th
         vocabulary, at = np.unique(pc.list_flatten(seen["terms"]).to_numpy().view(np.uint64), return_inverse=True)
         del seen
         at = at.astype(np.int32)  # hashes ascend within each example, so places do
-        counts = [np.bincount(at[y[rows] == k], minlength=len(vocabulary)) for k in (0, 1)]
-        telling = _telling(*counts, int((y == 0).sum()), int((y == 1).sum()), vocabulary, terms)
+        told = relevance(*[np.bincount(at[y[rows] == k], minlength=len(vocabulary)) for k in (0, 1)], int((y == 0).sum()), int((y == 1).sum()))
+        del rows
         sums = np.zeros(len(vocabulary) + 1, np.int64)
         added = texts.select("text").mapInArrow(_frequencies(vocabulary), "piece long, counts binary").repartition("piece").mapInArrow(_added, "piece long, counts binary")
         for r in added.collect():  # one row for each piece
             part = np.frombuffer(r.counts, np.int64)
             sums[r.piece : r.piece + len(part)] += part
-        idf = np.log((1 + sums[-1]) / (1 + sums[:-1])) + 1
-        del rows
-        vectors = _packed(bounds, at, times, idf, telling)
-        fitted = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_fitted(ids, y, vectors, total), "share array<double>, apart array<double>, theta array<double>").first()
-        voter = _voter(ids, y, vectors, fitted.share, fitted.apart[0], fitted.theta)
-        out = texts.mapInArrow(_score(voter, vocabulary, idf, float(np.log((1 + sums[-1]) / 2) + 1), telling, evidence), kinds)
+        idf = lambda n: np.log((1 + sums[-1]) / (1 + n)) + 1
+        weight = idf(sums[:-1]) * told
+        vectors = _packed(bounds, at, times, weight)
+        fitted = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_fitted(ids, y, vectors, total), "share array<double>, prior array<double>, theta array<double>").first()
+        voter = _voter(ids, y, vectors, fitted.share, fitted.prior[0], fitted.theta)
+        unseen = float(idf(1) * relevance(np.zeros(1), np.zeros(1), 1, 1)[0])
+        out = texts.mapInArrow(_score(voter, vocabulary, weight, unseen, evidence), "doc_id long, score double, evidence array<struct<doc_id:long,label:int,cosine:double>>")
     else:
-        out = texts.select("doc_id", F.lit(0.5).alias("score"), F.lit(None).cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
+        only = float(classes.pop()) if classes else 0.5
+        out = texts.select("doc_id", F.lit(only).alias("score"), F.lit(None).cast("array<struct<doc_id:long,label:int,cosine:double>>").alias("evidence"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

@@ -123,8 +123,15 @@ def test_ids_equal_the_tokenizers_own(name, corpus):
     t = Tokenizer.from_file(tokens.vocabulary(name))
     t.encode_special_tokens = True
     e = tokens.Encoder(tokens.vocabulary(name))
-    for text in [t or "" for _, t in corpus] + ["<|endoftext|> it's\r\n　x  'LL 12,3 ", "İstanbul ΑΣ é \x1c", "a\n b\t c"]:
-        assert e.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    r = random.Random(12)
+    latin = [chr(c) for c in range(1, 256)]
+    letters = [chr(c) for c in range(256, 0x3000) if chr(c).isalnum()] + list("\u1c89\ua7da\u0301\u0308\u2028\u3000\u00a0\u2019😀ßΣςİı")
+    texts = [t or "" for _, t in corpus] + ["<|endoftext|> it's\r\n　x  'LL 12,3 ", "İstanbul ΑΣ é \x1c", "a\n b\t c"]
+    texts += [f"{a}{c}{b}" for c in latin for a, b in (("", ""), ("a", "b"), (" ", " "), ("A", "\u0301"))]
+    texts += ["".join(r.choices(latin + [" ", " ", "'", "s"], k=r.randint(1, 40))) for _ in range(1500)]
+    texts += ["".join(r.choices(letters + [" ", "a", "E", "1"], k=r.randint(1, 20))) for _ in range(1500)]
+    for text in texts:
+        assert e.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 def test_added_tokens_in_texts_get_their_ids(spark):
@@ -297,9 +304,9 @@ def test_learned_scores(spark, score, column, cut):
     assert sum(r.predicted == truth[r.doc_id] for r in out) / len(out) > 0.97
     # Labels of held-out rows must not matter.
     flipped = [(i, 1 - q, 1 - t) if zlib.crc32(str(i).encode()) % 3 == 1 else (i, q, t) for i, q, t in labels]
-    again = score(frame(spark, docs), spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")).collect()
+    again = score(frame(spark, docs + EDGES), spark.createDataFrame(flipped, "doc_id long, quality int, toxic int")).collect()
     first = {r.doc_id: r.score for r in got}
-    assert all(math.isclose(r.score, first[r.doc_id], abs_tol=1e-6) for r in again) or column == 2
+    assert all(math.isclose(r.score, first[r.doc_id], abs_tol=1e-6) for r in again)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in score(frame(spark, docs[:3]), none).collect()} == {0.5}
     assert score(frame(spark, []), table).count() == 0
@@ -315,27 +322,56 @@ def test_block_max_search_is_exact():
     assert np.allclose(cosine, np.maximum(want, 0)) and (index.ids[place[:, 0]] >= 0).all()
 
 
-def test_toxicity_cosine_is_over_whole_texts(spark):
-    """Labels that no term tells apart: every text still has neighbours, by the cosine of all its terms."""
+def g2(n0, n1, m0, m1):
+    """Likelihood ratio of a term that n0 of m0 rows and n1 of m1 rows have."""
+    part = lambda k, m: sum(x * math.log(x / m) for x in (k, m - k) if x)
+    return 2 * (part(n0, m0) + part(n1, m1) - part(n0 + n1, m0 + m1))
+
+
+@pytest.mark.parametrize("told", [False, True])
+def test_toxicity_equals_a_slow_search(spark, told):
+    """Terms, weights, cosines, votes and calibration, with and without words that tell the classes apart."""
     r = random.Random(4)
     words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 10))) for _ in range(300)]
-    docs = [(i, " ".join(r.choices(words, k=60))) for i in range(90)]
-    sampled = [i for i, _ in docs[:80] if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, " ".join(r.choices(words, k=60) + ["grim"] * (told and i % 2 and i % 10 > 1))) for i in range(150)]
+    sampled = [i for i, _ in docs[:120] if zlib.crc32(str(i).encode()) % 3 != 1]
     docs += [(200, docs[sampled[0]][1]), (201, docs[sampled[1]][1] + " zzyzx zzyzx"), (202, "zzyzx")]
-    table = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    table = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     got = {x.doc_id: x for x in score_toxicity(frame(spark, docs), table).collect()}
-    bags = {i: Counter(t for w in text.split() for t in [w, *((w[:n], n) for n in range(3, 9) if len(w) > n)]) for i, text in docs}
+    bags = {i: Counter(text.split()) for i, text in docs}
     df = Counter(t for b in bags.values() for t in b)
-    seen = {t for i in sampled for t in bags[i]}
-    vec = {i: {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + (df[t] if t in seen else 1))) + 1) for t, n in b.items()} for i, b in bags.items()}
+    have = [Counter(t for i in sampled if i % 2 == k for t in bags[i]) for k in (0, 1)]
+    m = [sum(i % 2 == k for i in sampled) for k in (0, 1)]
+    weight = lambda t: (math.log((1 + len(docs)) / (1 + (df[t] if t in have[0] | have[1] else 1))) + 1) * (0.02 + 1 / (1 + math.exp((30 - g2(have[0][t], have[1][t], *m)) / 5)))
+    vec = {i: {t: (1 + math.log(n)) * weight(t) for t, n in b.items()} for i, b in bags.items()}
     norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    logit = lambda p: math.log(p / (1 - p))
+    votes = []
     for i, v in vec.items():
-        want = sorted((sum(v.get(t, 0) * x for t, x in vec[j].items()) / norm[i] / norm[j] for j in sampled), reverse=True)
-        assert np.allclose([e.cosine for e in got[i].evidence], [c for c in want[:5] if c > 0])
+        near = sorted(((sum(v.get(t, 0) * x for t, x in vec[j].items()) / norm[i] / norm[j], j) for j in sampled if j != i), reverse=True)
+        assert np.allclose([e.cosine for e in got[i].evidence], [c for c, _ in near[:5] if c > 0])
+        assert all(e.doc_id != i and e.label == e.doc_id % 2 for e in got[i].evidence)
+        if near[24][0] - near[25][0] > 1e-9 or not near[0][0]:
+            near = [(c / (1.05 - c), j % 2) for c, j in near[:25]]
+            votes.append((logit((sum(x * y for x, y in near) + 0.1 * m[1] / sum(m)) / (sum(x for x, _ in near) + 0.1)), logit(got[i].score)))
+    x, y = np.array(votes).T
+    slope, cut = np.polyfit(x, y, 1)
+    assert len(votes) > 100 and slope > 0 and np.allclose(slope * x + cut, y, atol=1e-6)
     assert got[200].evidence[0].doc_id == sampled[0] and math.isclose(got[200].evidence[0].cosine, 1)
     assert got[201].evidence[0].doc_id == sampled[1] and got[202].evidence == []
 
 
+def test_ties_for_the_last_place_share_it(spark):
+    """Thirty equal examples of either label: each vote counts as much, whatever their ids."""
+    docs = [(i, "alpha beta gamma") for i in range(60)] + [(900, "alpha beta gamma")]
+    table = spark.createDataFrame([(i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    turned = spark.createDataFrame([(59 - i, int(i < 30)) for i in range(60)], "doc_id long, toxic int")
+    one, other = ({r.doc_id: r.score for r in score_toxicity(frame(spark, docs), t).collect()} for t in (table, turned))
+    sampled = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    part = sum(i < 30 for i in sampled) / len(sampled)
+    assert abs(one[900] - part) < 0.1 and abs(other[900] - (1 - part)) < 0.1
+
+
 def test_held_out(spark):
     rows = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
