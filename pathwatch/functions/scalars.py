@@ -148,7 +148,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """NFKC of a text. Spark has no function for it; only texts beyond ASCII change, and only they need Python."""
-    return _nfkc(c)
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 #: Patterns of content that must not leave.

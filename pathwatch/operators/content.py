@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -97,6 +97,11 @@ def inspect_texts(texts: DataFrame, column: str = "text", normalize: bool = True
     return texts.withColumn("verdict", verdict(c))
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of measure() in JSON lines: text, or parts that are joined to one."""
+    return spark.read.schema("id string, category string, expect string, text string, parts array<string>").json(path)
+
+
 def measure(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((category, total, detected, missed_ids, false_alarms), one row of recall, precision and false-positive rate).
 

@@ -41,6 +41,7 @@ def _office(content: bytes, kind: str) -> Iterator[tuple[str, str, str]]:
     if problem:
         yield "structure", "", problem
         return
+    whole: list[str] = []
     for info in package.infolist():
         name = info.filename
         low = unicodedata.normalize("NFKC", name).lower()
@@ -74,6 +75,9 @@ def _office(content: bytes, kind: str) -> Iterator[tuple[str, str, str]]:
                 yield "structure", name, "DOC-HIDDEN"
         if runs:
             yield "joined", name, "".join(runs)
+            whole += runs
+    if whole:
+        yield "whole", "", "".join(whole)
 
 
 def _pdf(content: bytes) -> Iterator[tuple[str, str, str]]:
@@ -99,7 +103,7 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def document_parts(documents: DataFrame) -> DataFrame:
     """(path, part_no, kind, location, text) of documents (path, content, extension): texts, texts joined over the runs of
-    a part, and structural findings. Hidden sheets, notes, metadata and attribute values count; a null content is empty.
+    a part and over all parts, and structural findings. Hidden sheets, notes, metadata and attribute values count; a null content is empty.
     """
     rows = documents.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.lower("extension").alias("extension"))
     return rows.mapInPandas(_parts, PARTS)
@@ -109,16 +113,17 @@ _STRUCTURE = {"DOC-FORMAT-MISMATCH": "block", "DOC-ACTIVE": "block"}
 
 
 def text_findings(parts: DataFrame) -> DataFrame:
-    """(path, rule, level, count, locations): every match counted, five locations shown; joined texts only where a rule
-    hasn't fired on single ones, since they find what is split over runs.
+    """(path, rule, level, count, locations): every match counted, five locations shown. Texts joined over a part, and then
+    over the whole document, count only where a rule hasn't fired before, since they find what is split over runs or parts.
     """
-    t = parts.where("kind in ('text', 'joined')").withColumn("_t", s.nfkc(F.col("text")))
+    t = parts.where("kind in ('text', 'joined', 'whole')").withColumn("_t", s.nfkc(F.col("text")))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(level).alias("level"), F.regexp_count("_t", F.lit(p)).cast("long").alias("n")) for r, level, p in TEXT_RULES])
     hits = t.select("path", "part_no", "kind", "location", F.explode(rules).alias("f")).select("path", "part_no", "kind", "location", "f.*").where("n > 0")
-    single = hits.where("kind = 'text'")
-    joined = hits.where("kind = 'joined'").join(single.select("path", "rule").distinct(), ["path", "rule"], "left_anti")
+    rank = F.when(F.col("kind") == "text", 0).when(F.col("kind") == "joined", 1).otherwise(2)
+    first = F.min(rank).over(Window.partitionBy("path", "rule"))
+    hits = hits.withColumn("_first", first).where(rank == F.col("_first"))
     order = Window.partitionBy("path", "rule", "level").orderBy("part_no")
-    ranked = single.unionByName(joined).withColumn("_r", F.row_number().over(order))
+    ranked = hits.withColumn("_r", F.row_number().over(order))
     return ranked.groupBy("path", "rule", "level").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.when(F.col("_r") <= 5, F.col("location")))).alias("locations"))
 
 

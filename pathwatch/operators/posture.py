@@ -17,7 +17,12 @@ def first_observations(events: DataFrame) -> DataFrame:
 
 def sensitive_transfers(events: DataFrame) -> DataFrame:
     """DLP-001: each confidential or restricted transfer outside managed tenants, whatever became of it."""
-    rows = first_observations(events).where((F.col("tenant") != "managed") & F.col("data_class").isin("confidential", "restricted"))
+    return sensitive_only(first_observations(events))
+
+
+def sensitive_only(events: DataFrame) -> DataFrame:
+    """DLP-001 over observations that come once each."""
+    rows = events.where((F.col("tenant") != "managed") & F.col("data_class").isin("confidential", "restricted"))
     return rows.select(F.lit("DLP-001").alias("rule"), "source", "actor", F.array("event_id").alias("evidence_ids"), F.col("outcome").alias("observed_outcome"), F.lit("requires_review").alias("verdict"), F.lit(False).alias("leak_confirmed"))
 
 
@@ -97,6 +102,26 @@ def device_inventory(status: DataFrame, asset_id: str) -> DataFrame:
     return rows.select(F.lit(asset_id).alias("id"), F.when(v.rlike(r"^[0-9]{1,6}(\.[0-9]{1,6}){0,5}$"), v).otherwise("unknown").alias("version"), *[F.lit(None).cast("boolean").alias(c) for c in ("internet_exposed", "privileged_path", "sensitive_path")])
 
 
+def inventory_problems(inventory: DataFrame) -> DataFrame:
+    """Inventory rows with the array `problems` of what is wrong with each."""
+    bad = lambda c: ~F.coalesce(c, F.lit(False))
+    named = lambda c: F.col(c).rlike(r"^[^\x00-\x1f]{1,200}$")
+    repeated = F.count("*").over(Window.partitionBy("id")) > 1
+    return inventory.withColumn("problems", reasons((bad(F.col("id").rlike(r"^[^\x00-\x1f]{1,256}$")), "bad_id"), (repeated, "repeated_id"), (bad(named("vendor")), "bad_vendor"), (bad(named("product")), "bad_product"), (bad(named("version")), "bad_version")))
+
+
+def advisory_problems(advisories: DataFrame) -> DataFrame:
+    """Advisories with `problems`: ids are CVE ids, sources are HTTPS addresses, and each names a vendor and a product."""
+    bad = lambda c: ~F.coalesce(c, F.lit(False))
+    named = lambda c: F.col(c).rlike(r"^[^\x00-\x1f]{1,200}$")
+    return advisories.withColumn("problems", reasons((bad(F.col("cve").rlike(r"^CVE-[0-9]{4}-[0-9]{4,19}$")), "bad_cve"), (bad(F.col("source").rlike("^https://")), "bad_source"), (bad(named("vendor")), "bad_vendor"), (bad(named("product")), "bad_product")))
+
+
+def feed_time_problems(feeds: DataFrame, now: int) -> DataFrame:
+    """Feeds (observed_at) with `problems`: a time is there and at most a minute ahead."""
+    return feeds.withColumn("problems", reasons((~F.coalesce(F.col("observed_at") <= now + 60, F.lit(False)), "bad_time")))
+
+
 def kev_entries(raw: DataFrame) -> DataFrame:
     """(cve) of a feed read as JSON with `vulnerabilities`; a malformed id rejects the whole feed."""
     cve = raw.select(F.explode("vulnerabilities.cveID").alias("cve"))

@@ -271,11 +271,6 @@ def det07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(posture.sensitive_transfers(t.dlp(spark, sf_dir))).drop("verdict", "leak_confirmed")
 
 
-@query("det08_repeated_transfers", t.with_tables("dlp", more=_FIRST | {"lagged": "SELECT actor, at, source, event_id, lag(at, 2) OVER w AS start, concat_ws(',', lag(event_id, 2) OVER w, lag(event_id) OVER w, event_id) AS e FROM firsts WHERE tenant IN ('personal', 'unknown') WINDOW w AS (PARTITION BY actor ORDER BY at, source, event_id)"}, sql="SELECT 'DLP-002' AS rule, actor, e AS evidence_ids FROM lagged WHERE at - start <= 86400 QUALIFY row_number() OVER (PARTITION BY actor ORDER BY at, source, event_id) = 1"))
-def det08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(posture.repeated_transfers(t.dlp(spark, sf_dir))).select("rule", "actor", "evidence_ids")
-
-
 def _version_sql(c: str) -> str:
     return f"CASE WHEN regexp_full_match({c}, '[0-9]{{1,6}}(\\.[0-9]{{1,6}}){{0,5}}') THEN list_resize([CAST(x AS INTEGER) FOR x IN string_split({c}, '.')], 6, 0) END"
 
@@ -300,11 +295,6 @@ def det15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posture(spark, sf_dir).select("asset_id", "priority", "status", F.array_join("matches.cve", ",").alias("cves"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("det18_risky_assets")
-def det18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posture.risky_assets(_posture(spark, sf_dir), b"k" * 32, "org0")
-
-
 _CONTROLS = {"asset_id": "concat('c-', cast(c_custkey as varchar(20)))", "observed_at": f"cast({t.NOW} - (c_custkey % 50) * 2400 as bigint)", "mfa_required": "case c_custkey % 3 when 0 then false when 1 then true end", "admin_public": "case c_custkey % 4 when 0 then true when 1 then false when 2 then false end", "supported": "case c_custkey % 5 when 0 then false when 1 then true when 2 then true when 3 then true end"}
 
 
@@ -387,11 +377,6 @@ def fn02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", both.alias("flag"))
 
 
-@query("fn10_pseudonyms")
-def fn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", s.pseudonym(F.col("c_name"), b"a key for tests and comparison only", "actor").alias("pseudonym"))
-
-
 # --- cleaning, joins, aggregates
 
 _TWICE = "SELECT *, 0 AS r FROM reads UNION ALL SELECT * REPLACE (CASE WHEN CAST(substr(id, 4) AS BIGINT) % 10 = 0 THEN concat(file_id, 'x') ELSE file_id END AS file_id), 1 AS r FROM reads WHERE CAST(substr(id, 4) AS BIGINT) % 3 = 0"
@@ -458,11 +443,6 @@ def val01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(clean.event_problems(t.file_access(spark, sf_dir), assets, "asset_id", 1_705_500_000).select("id", "problems"))
 
 
-@query("snk05_snapshot_id")
-def snk05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.fingerprint(t.file_access(spark, sf_dir))
-
-
 # --- evaluation
 
 #: An event is malicious if its number is divisible by 17; scenarios are users' remainders by 4.

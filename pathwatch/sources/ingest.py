@@ -13,8 +13,8 @@ from ..functions import scalars as s
 from ..schemas import ASSETS
 from .profiles import ENUMS, PREFIX, Profile
 
-#: Bytes of a JSON line, and seconds that a row's time may lie ahead.
-LINE_BYTES, AHEAD = 256 * 1024, 300
+#: Bytes of a JSON line, seconds that a row's time may lie ahead, and columns of a table.
+LINE_BYTES, AHEAD, COLUMNS = 256 * 1024, 300, 200
 _JAVA = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp932": "windows-31j", "shift_jis": "Shift_JIS", "euc_jp": "EUC-JP", "latin-1": "ISO-8859-1"}
 
 
@@ -52,17 +52,26 @@ def _decoded(encoding: str):
     return decode
 
 
+def _bounded(fields: list[str]) -> list[str]:
+    if len(fields) > COLUMNS:
+        raise ValueError(f"a table of {len(fields)} columns; {COLUMNS} are the most")
+    return fields
+
+
 def scan(spark: SparkSession, path: str, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """(rows with _source, _row, _v: a variant of the fields; skipped (source, reason, n)). Blank JSON lines don't count."""
+    """(rows with _source, _row, _v: a variant of the fields; skipped (source, reason, n)). Blank JSON lines don't count.
+
+    Files of one folder must have the same columns in the same order; Spark checks each header and stops otherwise.
+    """
     if profile.format == "csv":
         if not profile.skip_rows and profile.encoding in ("utf-8", "utf-8-sig", "latin-1"):
-            df = spark.read.csv(path, header=True, sep=profile.delimiter, encoding=_JAVA[profile.encoding], multiLine=True, mode="PERMISSIVE", escape='"')
-            fields = [c for c in df.columns]
+            df = spark.read.csv(path, header=True, sep=profile.delimiter, encoding=_JAVA[profile.encoding], multiLine=True, mode="PERMISSIVE", escape='"', enforceSchema=False)
+            fields = _bounded([c for c in df.columns])
             rows = df.select(F.col("_metadata.file_name").alias("_source"), F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in fields]).alias("_v"))
         else:
             lines = raw_lines(spark, path, profile).where(F.trim("line") != "")
             head = lines.orderBy("_source", "_row").first()
-            fields = [c.strip('"') for c in (head.line if head else "").split(profile.delimiter)]
+            fields = _bounded([c.strip('"') for c in (head.line if head else "").split(profile.delimiter)])
             schema = ", ".join(f"`{c}` string" for c in fields)
             first = Window.partitionBy("_source").orderBy("_row")
             body = lines.withColumn("_n", F.row_number().over(first)).where("_n > 1")

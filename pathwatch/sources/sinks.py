@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import RuleConfig
 
@@ -13,6 +14,19 @@ def write_snapshot(frames: dict[str, DataFrame], path: str, form: str = "parquet
         df.write.mode("overwrite").format(form).save(f"{path}/{name}")
 
 
+def export(frames: dict[str, DataFrame], path: str, most: int) -> None:
+    """write_snapshot() of a whole dataset of at most `most` rows in all; a larger one is refused before anything is written."""
+    if sum(df.limit(most + 1).count() for df in frames.values()) > most:
+        raise ValueError(f"the dataset has more than {most} rows")
+    write_snapshot(frames, path)
+
+
+def current(rows: DataFrame, history: DataFrame) -> DataFrame:
+    """Rows of the newest snapshot in `history` (snapshot_id, at); of equal times the largest id."""
+    newest = history.agg(F.max(F.struct("at", "snapshot_id")).alias("x")).select(F.col("x.snapshot_id").alias("snapshot_id"))
+    return rows.join(F.broadcast(newest), "snapshot_id")  # one row
+
+
 def write_rules(recommended: DataFrame, base: RuleConfig, path: str) -> RuleConfig:
     """Write the recommended rule settings as one JSON row; without a recommendation nothing is written."""
     best = recommended.first()

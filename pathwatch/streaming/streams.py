@@ -13,7 +13,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import RuleConfig
-from ..operators import clean, rules
+from ..operators import clean, posture, rules
 
 
 def timed(events: DataFrame, lateness: str, column: str = "at") -> DataFrame:
@@ -31,6 +31,11 @@ def identity(logins: DataFrame, config: RuleConfig) -> DataFrame:
     return rules.identity(logins, config)
 
 
+def sensitive_transfers(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """DLP-001 on arrival: each observation once within the watermark, then posture's own test."""
+    return posture.sensitive_only(timed(events, lateness).dropDuplicatesWithinWatermark(["source", "event_id"]))
+
+
 def ingest(batch: DataFrame, stored: Callable[[SparkSession], DataFrame], path: str) -> None:
     """One micro-batch into the events at `path`: new ids are appended, repeats ignored, conflicts written beside."""
     spark = batch.sparkSession

@@ -3,7 +3,7 @@ import datetime
 import duckdb
 import pytest
 
-from pathwatch.plans import registry
+from pathwatch.plans import contents, imports, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
