@@ -141,7 +141,7 @@ def inspect_documents(documents: DataFrame) -> DataFrame:
     partial = F.col("rule").isin("DOC-PARSE-FAILED", "DOC-MEDIA", "DOC-BINARY-PART", "DOC-PARTIAL", "DOC-FORMAT-MISMATCH")
     per = found.groupBy("path").agg(F.bool_or(F.col("level") == "block").alias("block"), F.bool_or(partial).alias("partial"), F.array_sort(F.collect_list(F.struct("rule", "level", "count", "locations"))).alias("findings"))
     texts = parts.where("kind = 'text'").select("path").distinct().withColumn("some", F.lit(True))
-    rows = documents.select("path", F.sha2("content", 256).alias("input_sha256")).join(per, "path", "left").join(texts, "path", "left")
+    rows = documents.select("path", F.sha2("content", 256).alias("input_sha256")).join(per.hint("merge"), "path", "left").join(texts.hint("merge"), "path", "left")
     incomplete = F.coalesce("partial", F.lit(False)) | F.col("some").isNull()
     return rows.select("path", "input_sha256", F.when(F.col("block"), "block").when(incomplete | F.col("findings").isNotNull(), "review").otherwise("no_findings").alias("verdict"), F.when(incomplete, "partial").otherwise("complete").alias("coverage"), F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"))
 

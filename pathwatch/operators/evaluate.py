@@ -15,8 +15,8 @@ THRESHOLDS, WINDOWS = [60, 100, 150, 200, 300, 500, 800], [120, 300, 600]
 def marked(findings: DataFrame, malicious: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Findings with `tp`: whether evidence meets a label. malicious: (keys..., evidence_id)."""
     keys = keys or []
-    hit = findings.select("id", *keys, F.explode("evidence_ids").alias("evidence_id")).join(malicious, [*keys, "evidence_id"], "left_semi").select("id", *keys).distinct().withColumn("tp", F.lit(True))
-    return findings.join(hit, ["id", *keys], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
+    hit = findings.select("id", *keys, F.explode("evidence_ids").alias("evidence_id")).join(malicious.hint("merge"), [*keys, "evidence_id"], "left_semi").select("id", *keys).distinct().withColumn("tp", F.lit(True))
+    return findings.join(hit.hint("merge"), ["id", *keys], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
 
 
 def scores(marked_findings: DataFrame, expected: DataFrame, spans: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def scores(marked_findings: DataFrame, expected: DataFrame, spans: DataFrame) ->
     """
     grid = spans.select("scenario", "days", F.explode(F.array(*[F.lit(r) for r in BEHAVIORAL])).alias("rule"))
     counts = marked_findings.groupBy("scenario", "rule").agg(F.count("*").alias("alerts"), F.count_if("tp").alias("tp"))
-    rows = grid.join(counts, ["scenario", "rule"], "left").join(expected.select("scenario", "rule", F.lit(True).alias("wanted")).distinct(), ["scenario", "rule"], "left")
+    rows = grid.join(counts.hint("merge"), ["scenario", "rule"], "left").join(expected.select("scenario", "rule", F.lit(True).alias("wanted")).distinct().hint("merge"), ["scenario", "rule"], "left")
     alerts, tp, wanted = F.coalesce("alerts", F.lit(0)), F.coalesce("tp", F.lit(0)), F.coalesce("wanted", F.lit(False))
     cell = F.when(wanted & (tp > 0), "tp").when(wanted, "fn").when(alerts > 0, "fp").otherwise("tn")
     return rows.select("scenario", "rule", "days", alerts.alias("alerts"), tp.alias("tp"), (alerts - tp).alias("fp"), (wanted & (tp == 0)).cast("long").alias("fn"), wanted.alias("expected"), cell.alias("cell"))
@@ -61,7 +61,7 @@ def sweep(reads: DataFrame, malicious: DataFrame, thresholds: list[int] | None =
         rows = marked(found, malicious).select("id", "tp", "distinct_files", cells).where("distinct_files >= threshold")
         one = rows.groupBy("threshold").agg(F.count("*").alias("alerts"), F.count_if("tp").alias("tp"))
         grid = reads.sparkSession.range(1).select(F.lit(w).alias("window_seconds"), cells)
-        one = grid.join(one, "threshold", "left").select("window_seconds", "threshold", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("tp", F.lit(0)).alias("tp"))
+        one = grid.join(one.hint("merge"), "threshold", "left").select("window_seconds", "threshold", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("tp", F.lit(0)).alias("tp"))
         out = one if out is None else out.unionByName(one)
     return out.withColumn("fp", F.col("alerts") - F.col("tp"))
 

@@ -113,7 +113,7 @@ def bulk_windows(reads: DataFrame, config: RuleConfig) -> DataFrame:
     """Peaks that reach the threshold, with the reads in their window, in order of time and id."""
     peaks = window_peaks(reads, config.window_seconds, config.distinct_file_threshold)
     inside = (F.col("at") >= F.col("peak_at") - config.window_seconds) & (F.struct("at", "id") <= F.struct(F.col("peak_at").alias("at"), F.col("peak_id").alias("id")))
-    rows = reads.join(peaks, GROUP).where(inside)
+    rows = reads.join(peaks.hint("merge"), GROUP).where(inside)
     sensitive = F.count_distinct(F.when(is_true("sensitive"), F.col("file_id")))
     return rows.groupBy(*GROUP, "peak_at", "peak").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("w"), sensitive.alias("sensitive_files")).select(*GROUP, F.col("peak_at").alias("at"), F.col("peak").alias("distinct_files"), "sensitive_files", F.col("w.id").alias("evidence_ids"), F.col("w")[0]["at"].alias("window_start"))
 
@@ -128,16 +128,16 @@ def latest_login(windows: DataFrame, logins: DataFrame, lookback: int) -> DataFr
     """Each window with the latest successful login of its actor and session at most `lookback` before it; ties: least id."""
     login = logins.where(is_true("success")).select("actor", "session", F.col("id").alias("login_id"), F.col("at").alias("login_at"), "gateway_id", "privileged", "device_trusted", "approved")
     delta = F.col("window_start") - F.col("login_at")
-    pairs = windows.join(login, ["actor", "session"]).where((delta >= 0) & (delta <= lookback))
+    pairs = windows.join(login.hint("merge"), ["actor", "session"]).where((delta >= 0) & (delta <= lookback))
     latest = F.min_by(F.struct(*[c for c in login.columns if c not in ("actor", "session")]), F.struct(-F.col("login_at"), "login_id")).alias("login")
     found = pairs.groupBy(*GROUP).agg(latest).select(*GROUP, "login.*")
-    return windows.join(found, GROUP)
+    return windows.join(found.hint("merge"), GROUP)
 
 
 def correlated(windows: DataFrame, logins: DataFrame, assets: DataFrame, config: RuleConfig) -> DataFrame:
     """AS-004: a bulk window whose latest login is suspicious and came through an exposed, unpatched gateway."""
     rows = latest_login(windows, logins, config.login_lookback_seconds).where(suspicious(config) & (F.col("sensitive_files") >= config.sensitive_file_minimum))
-    rows = rows.join(exposed_pending(assets).withColumnRenamed("id", "gateway_id"), "gateway_id", "left_semi")
+    rows = rows.join(exposed_pending(assets).withColumnRenamed("id", "gateway_id").hint("merge"), "gateway_id", "left_semi")
     evidence = F.concat(F.array(F.concat(F.lit("asset:"), "gateway_id"), F.col("login_id")), "evidence_ids")
     df = rows.select(F.lit("P1").alias("priority"), F.array(F.lit("gateway_login_and_bulk_access_related"), F.lit("same_user_and_session"), F.lit("exploitation_unconfirmed")).alias("reasons"), evidence.alias("evidence_ids"), *GROUP, "gateway_id", "distinct_files", "sensitive_files", "at", F.lit(True).alias("hypothesis"))
     return findings(df, "AS-004", "correlation", "Correlated case: suspected maintenance-account compromise", config)
