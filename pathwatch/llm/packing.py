@@ -41,16 +41,14 @@ def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int]) -> np.n
     """A bin for each piece under capacities of tokens, pieces and attention cost (the sum of squared lengths).
 
     Pieces are taken from the largest. Of the bins that meet every constraint, the one is taken whose residuals, each
-    as a share of its capacity and weighted, have the least norm afterwards; with no such bin a new one is opened. A
-    capacity that the token capacity implies has no weight; the others are weighted by how much of the total they take.
-    A piece that alone exceeds a capacity gets a bin of its own.
+    as a share of its capacity and weighted, have the least norm afterwards; with no such bin a new one is opened. The
+    residuals are weighted by how much of their capacities all pieces take, so that the scarcest counts most. A piece
+    that alone exceeds a capacity gets a bin of its own.
     """
     cap = np.array(capacity, float)
     size = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2], 1) / cap
-    binding = np.array([True, capacity[1] < capacity[0], capacity[2] < capacity[0] ** 2])
-    demand = size.sum(0) * binding
+    demand = size.sum(0)
     weight = demand / demand.max() if len(lengths) else demand
-    weight, size = weight[binding], size[:, binding]
     out = np.empty(len(lengths), np.int64)
     residual, ids, n_open, n_bins = np.empty((len(lengths), size.shape[1])), np.empty(len(lengths), np.int64), 0, 0
     slack = 1e-12
@@ -89,7 +87,7 @@ def pack_sequences(docs: DataFrame, tokens: int = 1024, pieces: int | None = Non
     A document is its token ids and `end_id`; a null text is empty and still has the end id. A document of more than
     `tokens` ids is cut into pieces of that many, the first of which may be shorter. A sequence holds at most `tokens`
     ids, `pieces` pieces and an attention cost (sum of squared piece lengths) of `attention`; the last two default to
-    what the first implies. Pieces are dealt by hash into groups of about 4096, each packed by vector best fit in one
+    what the first implies, and weigh in the choice of a sequence all the same. Pieces are dealt by hash into groups of about 4096, each packed by vector best fit in one
     task; sequence ids are unique over all groups, and offsets in a sequence are gapless from 0. Repeated rows and rows
     with null doc_id are documents like any other. An empty table gives no rows; other columns are ignored.
     """
@@ -97,7 +95,7 @@ def pack_sequences(docs: DataFrame, tokens: int = 1024, pieces: int | None = Non
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long"
     cut = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, tokens, end_id), kinds))
     groups = cut.count() // GROUP + 1
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("grp").applyInPandas(_pack(capacity), kinds + ", sequence_id long, offset long")
 
 
