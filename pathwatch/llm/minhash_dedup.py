@@ -118,6 +118,11 @@ def _weighted(element: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return element[at], doc[at], np.diff(np.append(at, len(doc))).astype(float)
 
 
+def _weight(times: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that comes so many times: 1, and 1 more each time that doubles."""
+    return np.floor(np.log2(times)) + 1
+
+
 def _sign(words: int, bands: int, rows: int, counted: bool):
     k = bands * rows
 
@@ -127,8 +132,8 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
                 buf, offs = text_buffer(part["text"])
                 element, doc, w = shingles(buf, offs, words)
                 if counted:
-                    element, doc, weight = _weighted(element, doc)
-                sig = signatures(element, doc, len(part), k, weight if counted else None)
+                    element, doc, times = _weighted(element, doc)
+                sig = signatures(element, doc, len(part), k, _weight(times) if counted else None)
                 keys = np.zeros((len(part), bands), np.uint64)
                 for j in range(rows):
                     keys = mix(keys * _M(0x9E3779B97F4A7C15) + sig[:, j::rows])
@@ -146,9 +151,9 @@ def _sets(words: int, counted: bool):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                element, doc, weight = _weighted(*shingles(*text_buffer(part["text"]), words)[:2])
-                if counted:  # the n-th time that a shingle comes is an element of its own
-                    times = weight.astype(np.int64)
+                element, doc, times = _weighted(*shingles(*text_buffer(part["text"]), words)[:2])
+                if counted:  # each unit of a shingle's weight is an element of its own
+                    times = _weight(times).astype(np.int64)
                     which = np.repeat(np.arange(len(element)), times)
                     turn = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                     element, doc = mix(element[which] + turn.astype(np.uint64) * _M(0xD1342543DE82EF95)), doc[which]
@@ -203,11 +208,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return verified_pairs(pairs, sets, similarity).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 6, counted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 24, rows: int = 6, counted: bool = True) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, copy_of, class_id, kept.
 
-    Two documents are linked if the Jaccard similarity of their shingles of `words` words (split at ASCII white space,
-    A-Z lower-cased) is at least `similarity`; `counted` weighs a shingle by how often it comes. class_id is the
+    Two documents are linked if the weighted Jaccard similarity of their shingles of `words` words (split at ASCII white
+    space, A-Z lower-cased) is at least `similarity`. A shingle weighs 1, and 1 more each time that the number of its
+    occurrences doubles, so that repeated lines count but don't drown the rest; unless `counted`, all weigh 1. class_id is the
     smallest doc_id that links reach; kept is doc_id = class_id, one document of each class. copy_of is the smallest
     doc_id with the same words. A document of fewer than `words` words is one shingle. A null or empty text, or one of
     white space alone, is in a class of its own; a row with null doc_id has null class_id and is kept. Rows with equal
