@@ -157,14 +157,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, column: str = "quality", t
     how much each counts, and the score is the probability of label 1 for the weighted passage. It is fitted on at most
     `per_class` labelled rows of each class, weighted to the classes' shares; rows whose id's crc32 leaves 1 when divided
     by 3 are held out. A text without words, so a null or empty one, gets the share of label 1. With no usable label of
-    one class every score is that of the other; with none, 0.5. Repeated rows give repeated results, null ids are kept,
+    one class every score is that of the other; with none, 0.5. Of several texts of one sampled id the least counts. Repeated rows give repeated results, null ids are kept,
     an empty table gives no rows, other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen, total = training_labels(labels, column, per_class)
     chosen = written(chosen)  # at most 2 x per_class rows, so they may be broadcast
-    sample = {r.doc_id: r for r in texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_passages, "doc_id long, y int, x array<float>").toLocalIterator()}
-    rows = [sample[i] for i in sorted(sample)]
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = sorted(sample.mapInArrow(_passages, "doc_id long, y int, x array<float>").toLocalIterator(), key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows])
     if len(set(y.tolist())) == 2:
         bags = np.array([len(r.x) // N_FEATURES for r in rows])

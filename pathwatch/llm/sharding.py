@@ -60,6 +60,10 @@ def shard(docs: DataFrame, limit: int = 4 << 20, key: str = "doc_id") -> DataFra
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 4 << 20) -> None:
-    """Write `docs` as one Parquet folder per shard; a shard is written by one task, which `limit` bounds."""
-    spread = shard(docs.select("doc_id", "text"), limit).select("doc_id", "shard").distinct()
-    docs.join(spread.hint("merge"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write `docs` as one Parquet folder per shard; a shard is written by one task, which `limit` bounds.
+
+    Every row is written, those of null doc_id too. A column of `docs` that is called shard is replaced.
+    """
+    spread = shard(docs.select("doc_id", "text"), limit).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard")).distinct()
+    placed = docs.join(spread.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    placed.withColumn("shard", F.col("_shard")).drop("_shard").repartition("shard").write.partitionBy("shard").parquet(path)
