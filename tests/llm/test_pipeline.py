@@ -9,8 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def shingles(t):
+    """Word shingles, once more each time that the number of their occurrences doubles."""
     w = (t or "").encode().lower().split()
-    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    grams = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    return {(g, k) for g, n in grams.items() for k in range(n.bit_length())}
 
 
 def test_stages_equal_brute_force(spark):
