@@ -59,7 +59,7 @@ def templates(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
 def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    All K-grams of words are joined by hash to the places of the notices' and phrases' K-grams; equal hashes of other
+    All K-grams of words whose hash is in a notice or phrase are joined by it to their places there; equal hashes of other
     words are sorted out. Matches vote for the diagonal of their places; a base phrase stands where a diagonal has all
     its K-grams. For notices, neighbouring diagonals merge into spans, and a span counts if its K-grams cover 80 % of
     the notice's words and it is at most 1.3 times as long. score is the largest such share, 1 with a base phrase.
@@ -68,10 +68,13 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
     columns are ignored. The broadcast side is made of the lists in this module or `notices` alone.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.xxhash64("text").alias("tag"), words(F.col("text")).alias("w"))
-    grams = base.select("doc_id", "tag", "w", F.posexplode(gram_hashes(F.col("w"))).alias("pos", "hash"))
-    own = F.concat_ws(" ", F.slice("w", F.col("pos") + 1, K))
-    hits = grams.join(F.broadcast(templates(spark, NOTICES if notices is None else notices)), "hash").where(F.levenshtein(own, "gram") == 0)
+    known = templates(spark, NOTICES if notices is None else notices)
+    hashes = [r.hash for r in known.select("hash").distinct().collect()]  # a few hundred, that the lists fix
+    w = docs.select("doc_id", F.xxhash64("text").alias("tag"), words(F.col("text")).alias("w"))
+    places = F.filter(F.transform(gram_hashes(F.col("w")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))), lambda g: g["hash"].isin(hashes))
+    grams = F.transform(places, lambda g: F.struct(g["pos"].alias("pos"), g["hash"].alias("hash"), F.concat_ws(" ", F.slice("w", g["pos"] + 1, K)).alias("own")))
+    base = written(w.select("doc_id", "tag", F.size("w").cast("long").alias("n_words"), grams.alias("grams")))  # texts are read once
+    hits = base.select("doc_id", "tag", F.explode("grams").alias("g")).select("doc_id", "tag", "g.*").join(F.broadcast(known), "hash").where(F.col("own") == F.col("gram"))
     key = ["doc_id", "tag", "template", "label", "base", "t_words"]
     votes = written(hits.select(*key, (F.col("pos") - F.col("t_pos")).alias("diagonal"), "pos", "t_pos").distinct().groupBy(*key, "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list("t_pos").alias("at")))
 
@@ -88,7 +91,7 @@ def scan_licenses(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
     found = found.unionByName(spans.select("doc_id", "tag", F.lit(0).alias("n_base"), F.lit(None).cast("int").alias("first_word"), F.lit(None).cast("int").alias("last_word"), F.lit(None).cast("array<string>").alias("base_labels"), "labels", F.col("covered").alias("score")))
     none = F.array().cast("array<string>")
     found = found.groupBy("doc_id", "tag").agg(F.sum("n_base").alias("n_base"), F.max("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max(F.coalesce("base_labels", none)).alias("base_labels"), F.max(F.coalesce("labels", none)).alias("labels"), F.max("score").alias("score"))
-    out = base.select("doc_id", "tag", F.size("w").cast("long").alias("n_words")).alias("d").join(found.alias("f").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.tag") == F.col("f.tag")), "left")
+    out = base.select("doc_id", "tag", "n_words").alias("d").join(found.alias("f").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.tag") == F.col("f.tag")), "left")
     joined = lambda *c: F.array_join(F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in c]))), ",")
     return out.select(
         "d.doc_id",
