@@ -23,6 +23,8 @@ for _c in range(0x600):
         _FOLD[_c] = ord(chr(_c).lower())
 #: Characters of benchmark items that are sent to the executors at once; more items take further passes.
 BLOCK_CHARS = 8 << 20
+#: Characters of items, times candidates, that are aligned at once.
+PART_CELLS = 4 << 20
 
 
 def folded(codes: np.ndarray) -> np.ndarray:
@@ -118,6 +120,16 @@ class ItemIndex:
         text, item, band = text[enough], item[enough], band[enough]
         return text, item, band * (self.edits[item] + 1)
 
+    def parts(self, item: np.ndarray) -> Iterator[np.ndarray]:
+        """The candidates in parts of items of like length, so that a part's work arrays are bounded."""
+        size = np.array([len(c) for c in self.codes])[item] + 64 * (self.edits[item] + 1)
+        order = np.argsort(size, kind="stable")
+        first = 0
+        while first < len(order):
+            fits = size[order[first:]] * np.arange(1, len(order) - first + 1) <= PART_CELLS
+            yield order[first : first + max(1, int(fits.sum()))]
+            first += max(1, int(fits.sum()))
+
     def align(self, codes: np.ndarray, bounds: np.ndarray, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, edits) in its text of each item's best match in its band; edits is beyond the budget if none is within."""
         m = np.array([len(c) for c in self.codes])[item]
@@ -167,7 +179,9 @@ def _search(index: ItemIndex):
                 text, item, diagonal = index.regions(codes, bounds)
                 if not len(text):
                     continue
-                start, end, edits = index.align(codes, bounds, text, item, diagonal)
+                start, end, edits = np.zeros((3, len(text)), np.int64)
+                for some in index.parts(item):
+                    start[some], end[some], edits[some] = index.align(codes, bounds, text[some], item[some], diagonal[some])
                 good = np.flatnonzero(edits <= index.edits[item])
                 good = good[np.lexsort((start[good], edits[good], item[good], text[good]))]
                 taken: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
