@@ -102,18 +102,20 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, category string, expect string, text string, parts array<string>").json(path)
 
 
-def measure(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((category, total, detected, missed_ids, false_alarms), one row of recall, precision and false-positive rate).
+def measure(cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((category, total, detected, missed, false_alarms), (category, id, kind) of each wrong case, one row of recall,
+    precision and false-positive rate).
 
     cases: id, category, expect (detect or clean), text or parts.
     """
     text = F.coalesce("text", F.array_join("parts", "")) if "parts" in cases.columns else F.col("text")
     rows = inspect_texts(cases.withColumn("_text", text), "_text").withColumn("hit", F.col("verdict").isin("block", "review"))
     want = F.col("expect") == "detect"
-    per = rows.groupBy("category").agg(F.count("*").alias("total"), F.count_if("hit").alias("detected"), F.array_sort(F.collect_list(F.when(want & ~F.col("hit"), F.col("id")))).alias("missed_ids"), F.array_sort(F.collect_list(F.when(~want & F.col("hit"), F.col("id")))).alias("false_alarms"))
+    per = rows.groupBy("category").agg(F.count("*").alias("total"), F.count_if("hit").alias("detected"), F.count_if(want & ~F.col("hit")).alias("missed"), F.count_if(~want & F.col("hit")).alias("false_alarms"))
+    wrong = rows.where(want != F.col("hit")).select("category", "id", F.when(want, "missed").otherwise("false_alarm").alias("kind"))
     tp, fp = F.count_if(want & F.col("hit")), F.count_if(~want & F.col("hit"))
     pos, neg = F.count_if(want), F.count_if(~want)
-    return per, rows.agg(tp.alias("tp"), fp.alias("fp"), F.round(F.try_divide(tp, pos), 4).alias("recall"), F.round(F.try_divide(tp, tp + fp), 4).alias("precision"), F.round(F.try_divide(fp, neg), 4).alias("false_positive_rate"))
+    return per, wrong, rows.agg(tp.alias("tp"), fp.alias("fp"), F.round(F.try_divide(tp, pos), 4).alias("recall"), F.round(F.try_divide(tp, tp + fp), 4).alias("precision"), F.round(F.try_divide(fp, neg), 4).alias("false_positive_rate"))
 
 
 def prompt_traffic(traffic: DataFrame, hosts: list[str] | None = None) -> DataFrame:

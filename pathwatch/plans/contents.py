@@ -228,8 +228,8 @@ def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = (F.length("text") / 2).cast("int")
     parts = F.when(F.col("doc_id") % 2 == 1, F.array(F.expr("left(text, cast(length(text) / 2 as int))"), F.substring("text", half + 1, F.length("text"))))
     rows = d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"), F.when(F.col("toxic") == 1, "detect").otherwise("clean").alias("expect"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("text"), parts.alias("parts"))
-    per, _ = content.measure(content.read_corpus(spark, landing.lines(rows, F.to_json(F.struct("*")))))
-    return per.select("category", "total", "detected", F.size("missed_ids").cast("long").alias("missed"))
+    per, _, _ = content.measure(content.read_corpus(spark, landing.lines(rows, F.to_json(F.struct("*")))))
+    return per.drop("false_alarms")
 
 
 # --- posture, transfers and rules
@@ -367,7 +367,7 @@ def str01(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.file_access(spark, sf_dir).write.json(source)
     for _ in range(2):  # unchanged exports add nothing
         streams.watch(spark, source, _READ_SCHEMA, path, f"{path}_state", once_only=True).awaitTermination()
-    return spark.read.schema(_READ_SCHEMA).parquet(path).select("id", "at", "actor", "file_id")
+    return streams.ingested(spark, path, _READ_SCHEMA).select("id", "at", "actor", "file_id")
 
 
 @query("str02_overlapping_polls", t.with_tables("logins", sql="SELECT id, at, actor FROM logins"))
@@ -382,10 +382,10 @@ def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source, path = landing.folder(spark), landing.folder(spark)
     reads = t.file_access(spark, sf_dir)
-    _stored(reads).write.parquet(path)
+    streams.ingest(_stored(reads), path)
     reads.write.json(source)
     streams.watch(spark, source, _READ_SCHEMA, path, f"{path}_state", once_only=True).awaitTermination()
-    return spark.read.schema("id string").parquet(f"{path}_conflicts")
+    return streams.ingested(spark, path, "id string", conflicts=True)
 
 
 @query("str04_transfers_on_arrival", t.with_tables("dlp", sql="SELECT 'DLP-001' AS rule, source, actor, event_id AS evidence_ids FROM dlp WHERE tenant <> 'managed' AND data_class IN ('confidential', 'restricted')"))

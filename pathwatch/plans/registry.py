@@ -356,8 +356,7 @@ def det26(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("evl07_corpus_measurement", f"WITH v AS (SELECT d.lang AS category, {_VERDICT.replace('text', 'd.text')} IN ('block', 'review') AS hit, l.toxic = 1 AS want FROM documents d JOIN labels l ON d.doc_id = l.doc_id) SELECT category, count(*) AS total, count(*) FILTER (WHERE hit) AS detected, count(*) FILTER (WHERE want AND NOT hit) AS missed, count(*) FILTER (WHERE hit AND NOT want) AS false_alarms FROM v GROUP BY category")
 def evl07(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.when(F.col("toxic") == 1, "detect").otherwise("clean").alias("expect"), "text")
-    per, _ = content.measure(cases)
-    return per.select("category", "total", "detected", F.size("missed_ids").cast("long").alias("missed"), F.size("false_alarms").cast("long").alias("false_alarms"))
+    return content.measure(cases)[0]
 
 
 @query("fn21_strict_urls", r"SELECT page_id, regexp_full_match(url, 'https://[a-z0-9-]+(\.[a-z0-9-]+)+(:443)?(/[\x21-\x7E]*)?') AND NOT regexp_matches(url, '^https://[0-9.]+(:443)?(/|$)') AND NOT regexp_matches(url, '[@?#%\\]') AND NOT regexp_matches(url, '/\.{1,2}(/|$)') AS strict FROM pages")

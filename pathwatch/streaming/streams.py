@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,27 +36,40 @@ def sensitive_transfers(events: DataFrame, lateness: str = "1 hour") -> DataFram
     return posture.sensitive_only(timed(events, lateness).dropDuplicatesWithinWatermark(["source", "event_id"]))
 
 
-def ingest(batch: DataFrame, stored: Callable[[SparkSession], DataFrame], path: str) -> None:
-    """One micro-batch into the events at `path`: new ids are appended, repeats ignored, conflicts written beside."""
+def ingest(batch: DataFrame, path: str) -> None:
+    """One micro-batch into the events at `path`: new ids are appended, repeats ignored, conflicts kept beside, marked.
+
+    Rows are stored with their body's hash, so that history is compared by id and hash alone. One append writes all, and
+    what it wrote counts as a repeat afterwards: a batch that is run again adds nothing.
+    """
     spark = batch.sparkSession
-    fresh, _, conflicts = clean.new_events(batch, stored(spark))
-    conflicts.write.mode("append").parquet(f"{path}_conflicts")
-    fresh.write.mode("append").parquet(path)
+    once = clean.deduplicated(batch)
+    once = once.withColumn("_body", clean.body_hash(once))
+    old = _read(spark, path, "id string, _body string")
+    new = once.join(old, ["id", "_body"], "left_anti")
+    known = old.select("id").distinct().withColumn("conflict", F.lit(True))
+    new.join(known.hint("merge"), "id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False))).write.mode("append").partitionBy("conflict").parquet(path)
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # the first batch finds no folder
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def ingested(spark: SparkSession, path: str, schema: str, conflicts: bool = False) -> DataFrame:
+    """The events that ingest() stored at `path`, or those whose id was stored before with other content."""
+    rows = _read(spark, path, f"{schema}, conflict boolean")
+    return rows.where(F.col("conflict") if conflicts else ~F.col("conflict")).drop("conflict")
 
 
 def watch(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, once_only: bool = False):
     """Follow files at `source`; a file is read once, so unchanged exports cost nothing. once_only stops at the end."""
     stream = spark.readStream.schema(schema).json(source)
-
-    def stored(session: SparkSession) -> DataFrame:
-        try:
-            return session.read.schema(schema).parquet(path)
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return session.createDataFrame([], schema)
-
-    writer = stream.writeStream.foreachBatch(lambda df, _: ingest(df, stored, path)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, _: ingest(df, path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once_only else writer.trigger(processingTime="60 seconds")).start()
 
 

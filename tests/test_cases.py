@@ -89,10 +89,11 @@ def test_preflight(spark):
 
 def test_measurement_and_bundles(spark):
     cases = spark.createDataFrame([("1", "k", "detect", TOKEN), ("2", "k", "detect", "nothing"), ("3", "k", "clean", "x@y.example"), ("4", "m", "clean", None)], "id string, category string, expect string, text string")
-    per, total = content.measure(cases)
+    per, wrong, total = content.measure(cases)
     row = total.first()
     assert (row.tp, row.fp, row.recall, row.precision, row.false_positive_rate) == (1, 1, 0.5, 0.5, 0.5)
-    assert per.where("category = 'k'").first().missed_ids == ["2"]
+    assert {(r.category, r.missed, r.false_alarms) for r in per.collect()} == {("k", 1, 1), ("m", 0, 0)}
+    assert {(r.id, r.kind) for r in wrong.collect()} == {("2", "missed"), ("3", "false_alarm")}
     parts = spark.createDataFrame([("b", "no_findings", True, ["r"], 0), ("b", "review", True, ["q"], 1), ("c", "no_findings", None, [], 0)], "bundle_id string, verdict string, complete boolean, rules array<string>, findings long")
     assert {r.bundle_id: (r.decision, r.findings) for r in content.bundle_decisions(parts).collect()} == {"b": ("review", 1), "c": ("review", 0)}
     t = spark.createDataFrame([("https://claude.ai/api/chat", "post", '{"m": "' + "x" * 50 + '"}'), ("https://claude.ai/api/chat", "GET", "x" * 50), ("https://other.example/", "POST", "x" * 50), ("https://claude.ai/x", "PUT", "short")], "url string, method string, body string")
