@@ -72,8 +72,8 @@ class Encoder:
     Latin-1 character, alone and among others, against tokenizers.
     """
 
-    #: Distinct cuttings that are remembered; then the memory starts anew.
-    REMEMBER = 300_000
+    #: Distinct cuttings that are remembered, and as many older ones.
+    REMEMBER = 200_000
 
     def __init__(self, path: str, added: bool = False):
         import tiktoken
@@ -97,23 +97,47 @@ class Encoder:
 
             ranks = _ranks(spec, model["end_of_word_suffix"], 512)
             self.words = ranks and tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-            self.split, self.known = regex.compile(WORD_PATTERN).findall, {}
+            self.split, self.known, self.older = regex.compile(WORD_PATTERN + r"|\n").findall, {}, {}
+            if self.words:
+                self.ended = np.zeros(max(ranks.values()) + 1, bool)
+                self.ended[[i for t, i in ranks.items() if t.endswith(WORD_END)]] = True
 
     def encode(self, text: str) -> bytes:
         if not (self.whole or self.words) or any(t in text for t in self.added):
             return self._ids(text)
         if self.whole:
             return np.ascontiguousarray(self.whole.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes() if _latin(text) else self._ids(text)
-        parts, known = text.replace("\n", " ").split(" "), self.known
+        parts = text.replace("\n", " ").split(" ")
         try:
-            return b"".join([known[p] for p in parts])
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            if len(known) > self.REMEMBER:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = _bytes(self.words.encode_ordinary("".join([w + " " for w in self.split(p.lower())]))) if _latin(p) else self._ids(p)
-            return b"".join([known[p] for p in parts])
+            if len(self.known) > self.REMEMBER:
+                self.known, self.older = {}, self.known
+            self._learn([p for p in dict.fromkeys(parts) if p not in self.known])
+            return b"".join(map(self.known.__getitem__, parts))
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of cuttings, all Latin-1 ones by one call; each word's last token ends it."""
+        latin = []
+        for p in parts:
+            if p in self.older:
+                self.known[p] = self.older[p]
+            elif _latin(p):
+                latin.append(p)
+            else:
+                self.known[p] = self._ids(p)
+        words, cuts, n = self.split("\n".join(latin).lower()), [], 0
+        for w in words:
+            if w == "\n":
+                cuts.append(n)
+            else:
+                n += 1
+        ids = np.array(self.words.encode_ordinary("".join([w + " " for w in words if w != "\n"])), "<u4")
+        ends = np.concatenate([[0], np.flatnonzero(self.ended[ids]) + 1])[[*cuts, n]]
+        raw, first = ids.tobytes(), 0
+        for p, end in zip(latin, ends.tolist()):
+            self.known[p] = raw[4 * first : 4 * end]
+            first = end
 
     def _ids(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
