@@ -167,8 +167,7 @@ def _deep_nodes(rows: pd.DataFrame, min_words: int) -> pd.DataFrame:
     size = np.diff(np.append(begin, len(hit)))
     hit = hit[begin]
     own = rows.iloc[chunk[hit]]
-    starts = [[x] for x in own["start"].to_numpy() + within[hit]]
-    return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "tag": own["tag"].to_numpy(), "starts": starts, "n": size})
+    return pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "tag": own["tag"].to_numpy(), "start": own["start"].to_numpy() + within[hit], "n": size})
 
 
 def _in_parts(rows: pd.DataFrame, min_words: int, words_at_once: int) -> Iterator[pd.DataFrame]:
@@ -259,7 +258,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, max_suffixes: int = 1
             parts = written(parts.join(_shared(parts, max_suffixes).hint("merge"), "anchor").select(*_RUN, "large"))
             fits, large = fits.unionByName(parts.where("not large").drop("large")), parts.where("large")
     trees = fits.repartition("anchor").sortWithinPartitions("anchor")
-    repeats = trees.mapInPandas(_subtrees(min_words), "doc_id long, tag long, starts array<long>, n long")
+    repeats = trees.mapInPandas(_subtrees(min_words), "doc_id long, tag long, start long, n long").select("doc_id", "tag", F.array("start").alias("starts"), "n")
     if large.limit(1).count():
         deep = written(large.select(*_RUN).mapInArrow(_whole(min_words), "anchor long, second long, doc_id long, tag long, starts array<long>"))
         nodes = deep.groupBy("anchor", "second").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")

@@ -67,6 +67,9 @@ def test_substring_dedup(spark, corpus, max_suffixes):
         want.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
     assert got == sorted(map(repr, want))
     assert dedup_substrings(frame(spark, [])).count() == 0
+    near = prose(300, 60).split()  # a shared prefix, but no window in common
+    apart = [(1, " ".join(near)), (2, " ".join(w if j % 30 else "other" for j, w in enumerate(near)))]
+    assert [r.n_removed for r in dedup_substrings(frame(spark, apart), max_suffixes=max_suffixes).collect()] == [0, 0]
 
 
 @pytest.mark.parametrize("counted", [False, True])
