@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions import scalars as s
-from ..operators import audit, content, correlate, documents, evaluate, posture
+from ..operators import audit, content, documents, evaluate, posture
 from ..sources import sinks
 from ..streaming import streams
 from . import adapters as t
 from . import landing
 from .imports import KEY, hmac_sql, pick
-from .registry import _BULK, _CONTROLS, _JOURNAL, _PERSONAL_RE, _POSTURE, _PREFLIGHT, _SECRET_RE, _SWEEP, CONFIG, _journal, _posture, _scored, _sweep, joined, query, table
+from .registry import _BULK, _EVL, _JOURNAL, _PERSONAL_RE, _POSTURE, _PREFLIGHT, _SECRET_RE, _SWEEP, CONFIG, _journal, _posture, _scored, _sweep, joined, query, table
 
 _CONFIDENTIAL_RE = s.CONFIDENTIAL
 _INJECTION_RE = s.INJECTION
@@ -337,6 +337,25 @@ def join15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.current(lines, history).withColumnRenamed("snapshot_id", "l_orderkey")
 
 
+#: The sweep's tables under names that the scores don't use.
+_SWEPT = {re.sub("$", "_s", k): re.sub(r"\b(counts|peaks|marks|cells)\b", r"\1_s", v) for k, v in _SWEEP.items()}
+_TOTAL = {"total": "SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(alerts - tp) AS BIGINT) AS fp, count(*) FILTER (WHERE expected AND tp = 0) AS missed, count(*) FILTER (WHERE expected) AS expected FROM scored"}
+
+
+@query("evl06_observations", t.with_tables("reads", "logins", more=_BULK | _EVL | _TOTAL | _SWEPT | {"best": "SELECT * FROM cells_s WHERE tp >= 1 ORDER BY alerts - tp, threshold, window_seconds DESC LIMIT 1"}, sql="SELECT concat(tp, ' true and ', fp, ' false alerts; ', missed, ' of ', expected, ' expected detections missed.') AS sentence FROM total UNION ALL SELECT 'More than half of the alerts are false.' FROM total WHERE tp < fp UNION ALL SELECT concat('Recommended: threshold ', threshold, ', window ', window_seconds, ' s.') FROM best"))
+def evl06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = evaluate.observations(evaluate.totals(_scored(spark, sf_dir)), evaluate.recommendation(_sweep(spark, sf_dir), 1))
+    return spark.createDataFrame([(x,) for x in sentences], "sentence string")
+
+
+@query("snk02_markdown_report", t.with_tables("reads", "logins", more=_BULK | _EVL | _TOTAL | _SWEPT, sql="SELECT concat('| ', rule, ' | ', CAST(sum(alerts) AS BIGINT), ' | ', CAST(sum(tp) AS BIGINT), ' | ', CAST(sum(alerts - tp) AS BIGINT), ' | ', count(*) FILTER (WHERE expected AND tp = 0), ' |') AS line FROM scored GROUP BY rule UNION ALL SELECT concat('| ', window_seconds, ' | ', threshold, ' | ', alerts, ' | ', tp, ' | ', alerts - tp, ' |') FROM cells_s UNION ALL SELECT concat('| missed | ', missed, ' |') FROM total"))
+def snk02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _scored(spark, sf_dir)
+    per_rule = scored.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("alerts", "tp", "fp", "fn")])
+    report = sinks.markdown(evaluate.totals(scored), per_rule, _sweep(spark, sf_dir))
+    return spark.createDataFrame([(x,) for x in report.splitlines() if re.match(r"\| (AS-|[0-9]|missed)", x)], "line string")
+
+
 # --- streams, drained
 
 
