@@ -169,15 +169,43 @@ class ItemIndex:
         return best_start, best_end, best_cost
 
 
-def _search(index: ItemIndex):
+def _short_items(rows: list[tuple[int, str]], q: int) -> dict[int, dict[bytes, list[int]]]:
+    """Items of fewer than q characters, which have no q-gram to count, by length and then by their characters."""
+    found: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for i, t in rows:
+        codes = folded(np.frombuffer(t.encode("utf-32-le"), "<u4")).astype("<u4")
+        if len(codes) < q:
+            found[len(codes)][codes.tobytes()].append(i)
+    return {n: dict(x) for n, x in found.items()}
+
+
+def _exact(short: dict[int, dict[bytes, list[int]]], codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, 0) where short items stand as they are, without those that overlap an earlier one."""
+    for n, items in short.items():
+        if len(codes) < n:
+            continue
+        keys = np.array(sorted(int(_grams(np.frombuffer(c, "<u4"), n)[0]) for c in items), np.uint64)
+        at = np.flatnonzero(np.isin(_grams(codes, n), keys))
+        text = np.searchsorted(bounds, at, "right") - 1
+        ends: dict[tuple[int, int], int] = {}
+        for a, t in zip(at.tolist(), text.tolist()):
+            if a + n <= bounds[t + 1]:
+                for i in items.get(codes[a : a + n].astype("<u4").tobytes(), ()):
+                    if ends.get((t, i), -1) <= a:
+                        ends[t, i] = a + n
+                        yield t, i, a - int(bounds[t]), a - int(bounds[t]) + n, 0
+
+
+def _search(index: ItemIndex, short: dict[int, dict[bytes, list[int]]]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 buf, offs = text_buffer(part["text"])
                 codes = folded(np.frombuffer(buf[:-8].tobytes().decode().encode("utf-32-le"), "<u4"))
                 bounds = np.concatenate([[0], np.cumsum((buf[:-8] & 0xC0) != 0x80)])[offs]
+                exact = list(_exact(short, codes, bounds))
                 text, item, diagonal = index.regions(codes, bounds)
-                if not len(text):
+                if not len(text) and not exact:
                     continue
                 start, end, edits = np.zeros((3, len(text)), np.int64)
                 for some in index.parts(item):
@@ -191,8 +219,9 @@ def _search(index: ItemIndex):
                     if all(end[g] <= a or start[g] >= b for a, b in spans):
                         spans.append((start[g], end[g]))
                         rows.append(g)
-                doc = part["doc_id"].take(pa.array(text[rows], pa.int64()))
-                cols = [doc, pa.array([index.ids[i] for i in item[rows]], pa.int64()), *(pa.array(c[rows], pa.int64()) for c in (start, end, edits))]
+                ids = np.array([index.ids[i] for i in item[rows]], np.int64)
+                cols = [np.concatenate([c, x]) for c, x in zip((text[rows], ids, start[rows], end[rows], edits[rows]), np.array(exact, np.int64).reshape(-1, 5).T)]
+                cols = [part["doc_id"].take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "start", "end", "edits"])
 
     return search
@@ -204,19 +233,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float =
     An item of n characters is found where a stretch of the text is within min(n * rate, (n - q) / q) edits of it, both
     rounded down; capitals are compared as small letters and any white space as a space. start and end count characters
     of the text. Of overlapping matches of one item the closest is given. Null texts and ids on either side give
-    nothing (a null doc_id is given as null), and items of fewer than q characters are not searched for. Repeated rows
+    nothing (a null doc_id is given as null); an item of fewer than q characters is found only as it is, an empty one not at all. Repeated rows
     give repeated results; an empty table gives no rows; other columns are ignored.
 
     Items are sent to all executors in blocks of about `block_chars` characters, each with a pass over the texts, so
     what is broadcast is bounded however large the benchmark is.
     """
-    items = benchmark.where(F.length("text") >= q).where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = benchmark.where(F.length("text") > 0).where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, out = total // block_chars + 1, None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for block in range(blocks):
         rows = sorted((r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toLocalIterator())
-        index = ItemIndex.build(rows, q, rate)
-        found = texts.mapInArrow(_search(index), "doc_id long, item_id long, start long, end long, edits long")
+        index = ItemIndex.build([r for r in rows if len(r[1]) >= q], q, rate)
+        found = texts.mapInArrow(_search(index, _short_items(rows, q)), "doc_id long, item_id long, start long, end long, edits long")
         out = found if out is None else out.unionAll(found)
     return out
