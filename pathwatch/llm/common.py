@@ -5,12 +5,34 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession) -> str:
+#: Folders written within the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are written within it are removed at its end; results that outlive it are written `kept`."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch(spark: SparkSession, kept: bool = False) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -18,16 +40,19 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="pathwatch-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pathwatch/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/pathwatch/{uuid.uuid4().hex}"
+    if _SCOPES and not kept:
+        _SCOPES[-1].append(path)
+    return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once as Parquet in the shared folder and read back.
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of `df`, written once as Parquet in the shared folder (or at `path`) and read back.
 
     Lineage ends there, so that a lost executor costs no recomputation, and Spark knows the table's size.
     """
     spark = df.sparkSession
-    path = scratch(spark)
+    path = path or scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -95,6 +95,19 @@ class GatedAttention:
         logit = z @ p["c"] + p["b"]
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "first": first, "score": 1 / (1 + np.exp(-logit.clip(-30, 30)))}
 
+    def gradients(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted cross-entropy of whole bags by each parameter."""
+        p, f = self.p, self.forward(x, bags)
+        h, t, g, a, first = f["h"], f["t"], f["g"], f["a"], f["first"]
+        d_logit = weight * (f["score"] - y)
+        d_z = np.repeat(d_logit, bags)[:, None] * p["c"]
+        d_a = (d_z * h).sum(1)
+        d_e = a * (d_a - np.repeat(self._sums(a * d_a, first), bags))
+        d_tg = d_e[:, None] * p["u"]
+        d_t, d_g = d_tg * g * (1 - t**2), d_tg * t * g * (1 - g)
+        d_h = (d_z * a[:, None] + d_t @ p["V"].T + d_g @ p["G"].T) * (1 - h**2)
+        return {"W": f["x"].T @ d_h, "w0": d_h.sum(0), "V": h.T @ d_t, "G": h.T @ d_g, "u": (t * g).T @ d_e, "c": f["z"].T @ d_logit, "b": d_logit.sum(keepdims=True)}
+
     @classmethod
     def fit(cls, x: np.ndarray, bags: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden: int = 24, gate: int = 12, rounds: int = 160, rate: float = 0.02, decay: float = 1e-4) -> GatedAttention:
         """Weighted cross-entropy by Adam over the whole sample, from fixed random starts; the gradients are written out."""
@@ -104,16 +117,7 @@ class GatedAttention:
         weight = weight / weight.sum()
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
         for step in range(1, rounds + 1):
-            f = self.forward(x, bags)
-            h, t, g, a, first = f["h"], f["t"], f["g"], f["a"], f["first"]
-            d_logit = weight * (f["score"] - y)
-            d_z = np.repeat(d_logit, bags)[:, None] * p["c"]
-            d_a = (d_z * h).sum(1)
-            d_e = a * (d_a - np.repeat(self._sums(a * d_a, first), bags))
-            d_tg = d_e[:, None] * p["u"]
-            d_t, d_g = d_tg * g * (1 - t**2), d_tg * t * g * (1 - g)
-            d_h = (d_z * a[:, None] + d_t @ p["V"].T + d_g @ p["G"].T) * (1 - h**2)
-            grads = {"W": f["x"].T @ d_h, "w0": d_h.sum(0), "V": h.T @ d_t, "G": h.T @ d_g, "u": (t * g).T @ d_e, "c": f["z"].T @ d_logit, "b": d_logit.sum(keepdims=True)}
+            grads = self.gradients(x, bags, y, weight)
             for k, d in grads.items():
                 d = d + decay * p[k]
                 m, v = moments[k]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("pathwatch.llm")
-from pathwatch.llm import packing, tokens  # noqa: E402
+from pathwatch.llm import common, packing, tokens  # noqa: E402
 from pathwatch.llm.common import connected_components  # noqa: E402
 from pathwatch.llm.decontamination import find_leaks  # noqa: E402
 from pathwatch.llm.embedding_dedup import near_duplicate_vectors  # noqa: E402
@@ -18,7 +18,7 @@ from pathwatch.llm.labelled import held_out  # noqa: E402
 from pathwatch.llm.license_scan import scan_licenses  # noqa: E402
 from pathwatch.llm.minhash_dedup import near_duplicates, signatures  # noqa: E402
 from pathwatch.llm.orc_tokens import read_tokens, tokenize_to_orc, write_tokens  # noqa: E402
-from pathwatch.llm.quality import score_quality  # noqa: E402
+from pathwatch.llm.quality import GatedAttention, score_quality  # noqa: E402
 from pathwatch.llm.sharding import shard, write_shards  # noqa: E402
 from pathwatch.llm.substring_dedup import dedup_substrings  # noqa: E402
 from pathwatch.llm.toxicity import BlockMaxIndex, score_toxicity  # noqa: E402
@@ -373,6 +373,46 @@ def test_learned_scores(spark, score, column, cut):
     assert score(frame(spark, []), table).count() == 0
 
 
+def test_attention_and_gradients_equal_slow_ones():
+    r = np.random.default_rng(6)
+    bags = np.array([1, 4, 2, 6])
+    x, y, weight = r.standard_normal((13, 5)), np.array([1, 0, 0, 1]), np.array([0.1, 0.2, 0.3, 0.4])
+    shapes = {"W": (5, 4), "w0": (4,), "V": (4, 3), "G": (4, 3), "u": (3,), "c": (4,), "b": (1,)}
+    model = GatedAttention(x.mean(0), x.std(0), {k: r.standard_normal(v) for k, v in shapes.items()})
+
+    def scores():
+        p, out, first = model.p, [], 0
+        for n in bags:
+            h = [np.tanh((row - model.mean) / model.scale @ p["W"] + p["w0"]) for row in x[first : first + n]]
+            e = [math.exp((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["G"])))) @ p["u"]) for v in h]
+            z = sum(w / sum(e) * v for w, v in zip(e, h))
+            out.append(float(1 / (1 + np.exp(-(z @ p["c"] + p["b"])))[0]))
+            first += n
+        return out
+
+    f = model.forward(x, bags)
+    assert np.allclose(f["score"], scores()) and np.allclose(np.add.reduceat(f["a"], f["first"]), 1)
+    loss = lambda: -sum(w * (t * math.log(s) + (1 - t) * math.log(1 - s)) for w, t, s in zip(weight, y, scores()))
+    for k, grad in model.gradients(x, bags, y, weight).items():
+        for i in np.ndindex(grad.shape):
+            kept, sides = model.p[k][i], []
+            for step in (1e-5, -1e-5):
+                model.p[k][i] = kept + step
+                sides.append(loss())
+            model.p[k][i] = kept
+            assert math.isclose((sides[0] - sides[1]) / 2e-5, grad[i], abs_tol=1e-7)
+
+
+def test_scopes_remove_what_was_written(spark):
+    with common.scope(spark):
+        path = common.scratch(spark, kept=True)
+        inner = common.written(spark.range(3))
+        kept = common.written(inner.where("id > 0"), path)
+    assert kept.count() == 2
+    with pytest.raises(Exception, match="(?i)path|file"):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(2)
     x = r.random((500, 40)) * (r.random((500, 40)) < 0.15)
