@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathwatch.llm.common import table, written
+from pathwatch.llm.common import remove, scope, scratch, table, written
 from pathwatch.llm.decontamination import find_leaks
 from pathwatch.llm.minhash_dedup import near_duplicates
 from pathwatch.llm.packing import pack_sequences
@@ -57,7 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage wrote on its way goes once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = scratch(spark, kept=True)
+        with scope(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
