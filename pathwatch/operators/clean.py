@@ -85,6 +85,15 @@ def as_of(assets: DataFrame, logins: DataFrame, reads: DataFrame) -> DataFrame:
     return e.crossJoin(a).select(F.greatest("last_at", "seen").alias("as_of"), "first_at", "last_at")  # one row each
 
 
+#: What rows of each record are ordered by.
+ORDERS = {"asset": ["id"], "event": ["at", "id"], "provenance": ["label", "sha256"]}
+
+
+def in_order(rows: DataFrame, record: str) -> DataFrame:
+    """Rows of a record in its canonical order."""
+    return rows.orderBy(*ORDERS[record])
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (snapshot_id): equal for equal rows in any order, by a sum of row hashes, so nothing is gathered."""
     h = body_hash(df)

@@ -451,12 +451,19 @@ def cln07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select(F.lit("fresh").alias("outcome"), "id").unionAll(repeats.select(F.lit("repeat"), "id")).unionAll(conflicts.select(F.lit("conflict"), "id"))
 
 
+@query("srt01_canonical_order", t.with_tables("reads", "assets", sql="SELECT 'event' AS record, id FROM (SELECT * FROM reads ORDER BY at, id LIMIT 1000) UNION ALL SELECT 'asset', id FROM (SELECT * FROM assets ORDER BY id LIMIT 1000)"))
+def srt01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thousand of each record, which shows the order."""
+    first = [clean.in_order(df, record).limit(1000).select(F.lit(record).alias("record"), "id") for df, record in ((t.file_access(spark, sf_dir), "event"), (t.assets(spark, sf_dir), "asset"))]
+    return first[0].unionAll(first[1])
+
+
 @query("flt05_finding_by_id", t.with_tables("assets", sql="SELECT concat('asset:', id) AS id, kind FROM assets WHERE id = 'as-7'"))
 def flt05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.finding(t.assets(spark, sf_dir).select(F.concat(F.lit("asset:"), "id").alias("id"), "kind"), "asset:as-7")
 
 
-@query("clean01_with_shadows", t.with_tables("reads", "logins", "assets", sql=f"SELECT id, kind, patch_state, observed_at FROM assets UNION ALL SELECT DISTINCT id, 'unknown', 'unknown', {t.AS_OF} FROM (SELECT concat(gateway_id, 'x') AS id FROM logins UNION ALL SELECT asset_id FROM reads) WHERE id NOT IN (SELECT id FROM assets)"))
+@query("join01_with_shadows", t.with_tables("reads", "logins", "assets", sql=f"SELECT id, kind, patch_state, observed_at FROM assets UNION ALL SELECT DISTINCT id, 'unknown', 'unknown', {t.AS_OF} FROM (SELECT concat(gateway_id, 'x') AS id FROM logins UNION ALL SELECT asset_id FROM reads) WHERE id NOT IN (SELECT id FROM assets)"))
 def shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     logins = t.logins(spark, sf_dir).withColumn("gateway_id", F.concat("gateway_id", F.lit("x")))
     return clean.with_shadows(t.assets(spark, sf_dir), logins, t.file_access(spark, sf_dir), t.AS_OF).select("id", "kind", "patch_state", "observed_at")
