@@ -44,3 +44,44 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n_base, 0) AS n
   CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(m.covered, 0.0) END AS score
 FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN m ON d.doc_id = m.doc_id
 """
+
+#: crc32 of distinct texts: `crc` (s, h), from `crc_in` (s); bytes come from the text's hexadecimal form, the table from its rule.
+_CRC = """
+crc_table AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+crc AS (SELECT s, xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(s)), lambda k: CAST(concat('0x', hex(encode(s))[2 * k + 1:2 * k + 2]) AS BIGINT))), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM crc_in CROSS JOIN crc_table)
+"""
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Near words come from equal rests: a word without its i-th letter is another word, or another word without that letter.
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+crc_in AS (SELECT DISTINCT concat(doc_id, ':', run) AS s FROM runs),
+{_CRC},
+typed AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, c FROM runs JOIN crc ON s = concat(doc_id, ':', run)),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+rests AS (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM rests a JOIN rests b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT r.word, v.word, v.n FROM rests r JOIN v ON r.rest = v.word
+  UNION SELECT v.word, r.word, r.n FROM rests r JOIN v ON r.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word),
+tops AS (SELECT near.word, min(near.near) AS near FROM near JOIN best ON near.word = best.word AND near_n = top GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN near END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best ON v.word = best.word LEFT JOIN tops ON v.word = tops.word),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON chain.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain ON f.word = chain.word JOIN (SELECT word FROM f WHERE form IS NULL) e ON root = e.word
+"""
+
+IMPORTANCE_RESAMPLING = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w, row_number() OVER () AS r FROM documents),
+sw AS (SELECT r, unnest(w) AS s FROM d), tw AS (SELECT unnest({_WORDS.format('text')}) AS s FROM benchmark),
+crc_in AS (SELECT DISTINCT s FROM (SELECT s FROM sw UNION ALL SELECT s FROM tw)),
+{_CRC},
+b AS (SELECT s, h % 10000 AS bucket FROM crc),
+sc AS (SELECT bucket, count(*) AS s FROM sw JOIN b ON sw.s = b.s GROUP BY bucket), tc AS (SELECT bucket, count(*) AS t FROM tw JOIN b ON tw.s = b.s GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM sw) + 10000)::DOUBLE / ((coalesce(sc.s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tw) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sc FULL JOIN tc USING (bucket)),
+x AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM sw JOIN b ON sw.s = b.s JOIN g ON b.bucket = g.bucket GROUP BY r),
+z AS (SELECT doc_id, r, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST(concat('0x', substr(sha256(concat('2024:', doc_id)), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN x USING (r)),
+p AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM p WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM p LEFT JOIN k USING (r)
+"""

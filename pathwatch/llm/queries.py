@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .common import table
+from .decomposition import decompose
 from .decontamination import find_leaks
 from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
@@ -15,7 +16,9 @@ from .minhash_dedup import near_duplicates
 from .orc_tokens import tokenize_to_orc
 from .packing import pack_sequences
 from .quality import score_quality
+from .resampling import resample
 from .sharding import shard
+from .spelling import spelling_variants
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity
 
@@ -60,6 +63,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), typo=31)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decompose(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -71,10 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_power_of_two_packing": op13_power_of_two_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op5_sharding": oracle.SHARDING,
     "op10_license_scan": oracle.LICENSE_SCAN,
+    "op11_spelling_variants": oracle.SPELLING_VARIANTS,
+    "op12_importance_resampling": oracle.IMPORTANCE_RESAMPLING,
 }
