@@ -1,12 +1,19 @@
-"""Documents as bytes: text and structure of Office packages, byte checks of PDF, and findings over parts."""
+"""Documents as bytes: text and structure of Office packages, byte checks of PDF, and findings over parts.
+
+Python takes a package apart and says what each part holds, each text once; all rules, counts, locations and verdicts are
+Spark's, over one shuffle by document.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.etree.ElementTree import ParseError, XMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,136 +21,303 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 
-PARTS = "path string, part_no int, kind string, location string, text string"
-REQUIRED = {"xlsx": ("[Content_Types].xml", "xl/workbook.xml"), "pptx": ("[Content_Types].xml", "ppt/presentation.xml")}
+PARTS = "doc long, path string, format string, part int, at long, kind string, location string, entry string, name string, depth long, text string"
+#: Parts that a package must have besides its main part, the main part of each format and its content type.
+CONTENT_TYPES, RELATIONSHIPS = "[Content_Types].xml", "_rels/.rels"
+TYPES_ROOT = "{http://schemas.openxmlformats.org/package/2006/content-types}Types"
+MAIN = {
+    "xlsx": ("xl/workbook.xml", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"),
+    "pptx": ("ppt/presentation.xml", "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml"),
+}
 TEXT_RULES = [("DOC-SECRET", "block", s.SECRET), ("DOC-PII", "review", s.PERSONAL), ("DOC-CLASS", "review", s.CONFIDENTIAL), ("DOC-INJECTION", "review", s.INJECTION)]
-RATIO, PART_BYTES = 1000, 64 << 20
+#: Elements whose texts belong together, those whose attributes say something, parts that are read as units.
+SCOPES = {"si", "is", "p", "c", "comment"}
+TOLD = {"Types", "Override", "Relationship", "sheet", "row", "col", "sld"}
+UNIT = r"^(xl/worksheets/sheet|ppt/slides/slide)\d+\.xml$"
+MACRO = r"(?i:macroEnabled|vbaProject|activeX)"
+#: A package beyond these is not unpacked: expansion of a part, bytes of a part, bytes of all parts.
+RATIO, PART_BYTES, EXPANDED = 1000, 64 << 20, 256 << 20
+#: Rows that a task holds before it hands them on.
+CHUNK = 20_000
+
+#: Findings after which nothing else is said of a document, which counts as unreadable.
+UNREADABLE = {"DOC-SIZE": "block", "DOC-FORMAT-MISMATCH": "block", "DOC-UNSUPPORTED": "review", "DOC-PARSE-FAILED": "review"}
+#: Findings that leave something unread.
+PARTIAL = ["DOC-ACTIVE-CONTENT", "DOC-IMAGE-UNINSPECTED", "DOC-BINARY-UNINSPECTED", "DOC-NO-CONTENT", "DOC-PDF-REVISION-HISTORY", "DOC-PDF-TRAILING-CONTENT", "DOC-PDF-TEXT-UNINSPECTED"]
+
+
+class _Part:
+    """Target of an XML parser that tells what a part says, as it is read.
+
+    rows: (place, kind, name, depth, text), where place is four times the element's number plus 0 for the joined text of
+    a scope, 1 for an element's text, 2 for what follows it and 3 for its attributes.
+    """
+
+    def __init__(self) -> None:
+        self.rows, self.run, self.whole, self.open, self.scopes = [], [], [], [], []
+        self.number, self.slot = 0, 2
+
+    def doctype(self, *_: object) -> None:
+        raise ParseError("a document type could define entities")
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        self._flush()
+        here, name = 4 * self.number, tag.rsplit("}", 1)[-1]
+        self.number += 1
+        told = name in TOLD and (name not in ("row", "col") or "hidden" in attributes)
+        if told:
+            self.rows.append((here, "element", tag if name == "Types" else name, len(self.open), json.dumps(attributes)))
+        self.rows += [(here + 3, "attribute", name, len(self.open), v) for v in attributes.values() if v]
+        self.open.append(here)
+        if name in SCOPES:
+            self.scopes.append((here, []))
+        self.slot = here + 1
+
+    def data(self, text: str) -> None:
+        self.run.append(text)
 
+    def end(self, _: str) -> None:
+        self._flush()
+        here = self.open.pop()
+        if self.scopes and self.scopes[-1][0] == here:
+            self.rows.append((here, "joined", "", 0, "".join(self.scopes.pop()[1])))
+        self.slot = here + 2
 
-def _bad_package(package: zipfile.ZipFile, kind: str) -> str | None:
-    names = [unicodedata.normalize("NFKC", i.filename) for i in package.infolist()]
-    if any(n.startswith("/") or ".." in n.split("/") or "\\" in n for n in names) or len({n.lower() for n in names}) < len(names):
-        return "DOC-PARSE-FAILED"
+    def _flush(self) -> None:
+        text, self.run = "".join(self.run), []
+        if text:
+            self.rows.append((self.slot, "text", "", len(self.open), text))
+            self.whole.append(text)
+            for _, pieces in self.scopes:
+                pieces.append(text)
+
+    def close(self) -> list[tuple]:
+        self._flush()
+        return [(-1, "joined", "", 0, "".join(self.whole)), *sorted(self.rows, key=lambda r: r[0])]
+
+
+def _read(package: zipfile.ZipFile, entry: zipfile.ZipInfo) -> list[tuple]:
+    part = _Part()
+    parser = XMLParser(target=part)
+    with package.open(entry) as f:
+        while block := f.read(1 << 20):
+            parser.feed(block)
+    return parser.close()
+
+
+def _unsafe(package: zipfile.ZipFile) -> bool:
+    """Whether names or sizes speak against unpacking: paths that leave the package, names that differ in case only, links,
+    encryption, other compressions, expansion beyond bounds."""
+    total, seen = 0, set()
     for i in package.infolist():
-        if i.flag_bits & 1 or i.file_size > PART_BYTES or i.file_size > RATIO * max(1, i.compress_size):
-            return "DOC-PARSE-FAILED"
-    return None if all(n in names for n in REQUIRED[kind]) else "DOC-FORMAT-MISMATCH"
+        name = unicodedata.normalize("NFKC", i.filename).casefold()
+        path = i.filename.startswith("/") or ".." in i.filename.split("/") or any(c in "\\:" or ord(c) < 32 for c in i.filename)
+        link = (i.external_attr >> 16) & 0o170000 == 0o120000
+        total += i.file_size
+        large = i.file_size > PART_BYTES or total > EXPANDED or i.file_size > RATIO * max(1, i.compress_size)
+        if path or name in seen or link or i.flag_bits & 1 or large or i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            return True
+        seen.add(name)
+    return not seen
 
 
-def _office(content: bytes, kind: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, location, text) of each text and structural fact of one package."""
+def _office(content: bytes, kind: str) -> Iterator[tuple]:
+    """(part, at, kind, location, entry, name, depth, text) of one package: its entries, and what its XML parts say."""
+    failed = (0, -2, "problem", "package", "", "", 0, "DOC-PARSE-FAILED")
     try:
         package = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        yield "structure", "", "DOC-FORMAT-MISMATCH"
-        return
-    problem = _bad_package(package, kind)
-    if problem:
-        yield "structure", "", problem
-        return
-    whole: list[str] = []
-    for info in package.infolist():
-        name = info.filename
-        low = unicodedata.normalize("NFKC", name).lower()
-        if any(x in low for x in ("vbaproject", "activex", "macrosheets", "embeddings/")):
-            yield "structure", name, "DOC-ACTIVE"
-        if "/media/" in low:
-            yield "structure", name, "DOC-MEDIA"
-        elif not low.endswith((".xml", ".rels", "/")):
-            yield "structure", name, "DOC-BINARY-PART"
-        if not low.endswith((".xml", ".rels")):
-            continue
-        raw = package.read(info)
-        if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-            yield "structure", name, "DOC-PARSE-FAILED"
-            continue
-        try:
-            root = ElementTree.fromstring(raw)
-        except ElementTree.ParseError:
-            yield "structure", name, "DOC-PARSE-FAILED"
-            continue
-        runs: list[str] = []
-        for node in root.iter():
-            texts = [node.text or "", node.tail or "", *node.attrib.values()]
-            for t in texts[:2]:
-                if t.strip():
-                    runs.append(t)
-            yield from (("text", name, t) for t in texts if t.strip())
-            if node.attrib.get("TargetMode") == "External":
-                yield "structure", name, "DOC-EXTERNAL"
-            if node.attrib.get("hidden") in ("1", "true") or node.attrib.get("state") in ("hidden", "veryHidden") or node.attrib.get("show") == "0":
-                yield "structure", name, "DOC-HIDDEN"
-        if runs:
-            yield "joined", name, "".join(runs)
-            whole += runs
-    if whole:
-        yield "whole", "", "".join(whole)
-
-
-def _pdf(content: bytes) -> Iterator[tuple[str, str, str]]:
-    if not content.startswith(b"%PDF-"):
-        yield "structure", "", "DOC-FORMAT-MISMATCH"
-        return
+        if _unsafe(package):
+            yield failed
+            return
+        entries = package.infolist()
+        names = [i.filename for i in entries]
+        first = [names.index(n) if n in names else -1 for n in (CONTENT_TYPES, RELATIONSHIPS, MAIN[kind][0])]
+        if min(first) < 0:
+            yield 0, -2, "problem", "package", "", "", 0, "DOC-FORMAT-MISMATCH"
+            return
+        whole: list[str] = []
+        for n in [*first[:2], *(n for n in range(len(entries)) if n not in first[:2])]:
+            entry, location = entries[n], f"part:{n + 1}"
+            low = unicodedata.normalize("NFKC", entry.filename).lower()
+            if entry.is_dir():
+                continue
+            yield n + 1, -2, "entry", location, entry.filename, "", 0, low
+            if low.endswith((".xml", ".rels")):
+                try:
+                    rows = _read(package, entry)
+                except (ParseError, zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, ValueError):
+                    yield failed if n in first[:2] else (n + 1, *failed[1:])
+                    return
+                yield from ((n + 1, at, what, location, entry.filename, name, depth, text) for at, what, name, depth, text in rows)
+                whole += [(n, x[4]) for x in rows if x[1] in ("text", "attribute")]
+        yield 2**31 - 1, 0, "joined", "cross_part_text", "", "", 0, "".join(t for _, t in sorted(whole, key=lambda x: x[0]))
+    except (zipfile.BadZipFile, zlib.error, EOFError, ValueError, NotImplementedError):
+        yield failed
+
+
+def _pdf(content: bytes) -> Iterator[tuple]:
+    found = ["DOC-PDF-TEXT-UNINSPECTED"]
     if content.count(b"%%EOF") > 1 or content.count(b"startxref") > 1:
-        yield "structure", "", "DOC-REVISIONS"
+        found.append("DOC-PDF-REVISION-HISTORY")
     end = content.rfind(b"%%EOF")
     if end < 0 or content[end + 5 :].strip():
-        yield "structure", "", "DOC-TRAILING-BYTES"
-    yield "structure", "", "DOC-PARTIAL"
+        found.append("DOC-PDF-TRAILING-CONTENT")
+    yield from ((1, i, "structure", "pdf:structure", "", "", 0, rule) for i, rule in enumerate(found))
+
+
+def _document(content: bytes, kind: str) -> Iterator[tuple]:
+    magic = {"xlsx": b"PK\x03\x04", "pptx": b"PK\x03\x04", "pdf": b"%PDF-"}.get(kind)
+    problem = "DOC-SIZE" if not content else "DOC-UNSUPPORTED" if not magic else None if content.startswith(magic) else "DOC-FORMAT-MISMATCH"
+    yield 0, -3, "document", "", "", "", len(content), hashlib.sha256(content).hexdigest()
+    if problem:
+        yield 0, -2, "problem", "package", "", "", 0, problem
+    else:
+        yield from _pdf(content) if kind == "pdf" else _office(content, kind)
 
 
 def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns, rows = [c.split()[0] for c in PARTS.split(", ")], []
     for frame in frames:
-        rows = []
-        for path, content, kind in zip(frame["path"], frame["content"], frame["extension"]):
-            found = _office(content, kind) if kind in REQUIRED else _pdf(content) if kind == "pdf" else iter([("structure", "", "DOC-FORMAT-MISMATCH")])
-            rows += [(path, i, *x) for i, x in enumerate(found)]
-        yield pd.DataFrame(rows, columns=["path", "part_no", "kind", "location", "text"])
+        for doc, path, content, kind in zip(frame["doc"], frame["path"], frame["content"], frame["extension"]):
+            named = kind if kind in ("xlsx", "pptx", "pdf") and content else "unknown"
+            for row in _document(content, kind):
+                rows.append((doc, path, named, *row))
+                if len(rows) >= CHUNK:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def document_parts(documents: DataFrame) -> DataFrame:
-    """(path, part_no, kind, location, text) of documents (path, content, extension): texts, texts joined over the runs of
-    a part and over all parts, and structural findings. Hidden sheets, notes, metadata and attribute values count; a null content is empty.
+    """What documents (path, content, extension) hold: doc (a number of the row), path, format, part, at, kind, location, entry,
+    name, depth, text.
+
+    kind: `document` (depth: bytes, text: SHA-256), `entry` of a package (text: its name in small letters),
+    `text` and `attribute` (each text of an element and attribute value once), `joined` (texts of a scope, a part or all
+    parts, which may be split over elements), `element` (text: attributes as JSON, where they say something), `structure` and
+    `problem` (text: a finding). part and at give the order in the document. Hidden sheets, notes and metadata count. A null
+    content is empty, a null extension unsupported.
     """
-    rows = documents.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.lower("extension").alias("extension"))
+    kind = F.regexp_replace(F.lower(F.coalesce("extension", F.lit(""))), r"^\.", "")
+    rows = documents.select(F.monotonically_increasing_id().alias("doc"), "path", F.coalesce("content", F.lit(b"")).alias("content"), kind.alias("extension"))
     return rows.mapInPandas(_parts, PARTS)
 
 
-_STRUCTURE = {"DOC-FORMAT-MISMATCH": "block", "DOC-ACTIVE": "block"}
+def _hit(rule: str, level: str, n: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), n.cast("long").alias("n"))
+
+
+def _one(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("int")
+
+
+def _hits(parts: DataFrame) -> DataFrame:
+    """`parts` with the findings of each row as `hits`."""
+    spoken = F.col("kind").isin("text", "attribute", "joined")
+    t = parts.withColumn("_t", s.nfkc(F.when(spoken, F.col("text")))).withColumn("_a", F.from_json(F.when(F.col("kind") == "element", F.col("text")), "map<string,string>"))
+    is_, entry = (lambda k: F.col("kind") == k), F.col("kind") == "entry"
+    on = lambda *names: is_("element") & F.col("name").isin(*names)
+    media = F.col("text").contains("/media/")
+    hidden = on("sheet", "row", "col") & (F.coalesce(F.col("_a.state").isin("hidden", "veryHidden"), F.lit(False)) | F.coalesce(F.col("_a.hidden").isin("1", "true"), F.lit(False)))
+    hits = [_hit(rule, level, F.regexp_count("_t", F.lit(p))) for rule, level, p in TEXT_RULES]
+    hits += [
+        _hit("DOC-ACTIVE-CONTENT", "block", _one(entry & F.col("text").rlike(s.ACTIVE)) + _one(is_("attribute") & (F.col("name") == "Override") & F.col("text").rlike(MACRO))),
+        _hit("DOC-IMAGE-UNINSPECTED", "review", _one(entry & media)),
+        _hit("DOC-BINARY-UNINSPECTED", "review", _one(entry & ~media & ~F.col("text").rlike(r"\.(xml|rels)$"))),
+        _hit("DOC-EXTERNAL-REFERENCE", "review", _one(on("Relationship") & (F.col("_a.TargetMode") == "External"))),
+        _hit("DOC-HIDDEN-CONTENT", "review", _one(hidden | on("sld") & F.coalesce(F.col("_a.show").isin("0", "false"), F.lit(False)))),
+        *[_hit(rule, "review", _one(is_("structure") & (F.col("text") == rule))) for rule in PARTIAL if rule.startswith("DOC-PDF")],
+    ]
+    return t.withColumn("hits", F.filter(F.array(*hits), lambda h: h.n > 0)).drop("_t")
+
+
+def _facts() -> dict[str, Column]:
+    """What a row with attributes `_a` tells of its document: whether it is a unit, and how its package names the main part."""
+    attribute = lambda n: F.coalesce(F.col(f"_a.{n}"), F.lit(""))
+    by_format = lambda i: F.when(F.col("format") == "xlsx", MAIN["xlsx"][i]).otherwise(MAIN["pptx"][i])
+    within = lambda entry, name, depth: (F.col("kind") == "element") & (F.col("entry") == entry) & (F.col("name") == name) & (F.col("depth") == depth)
+    override = within(CONTENT_TYPES, "Override", 1) & (attribute("PartName") == F.concat(F.lit("/"), by_format(0)))
+    office = within(RELATIONSHIPS, "Relationship", 1) & attribute("Type").endswith("/officeDocument")
+    target = (F.regexp_replace(attribute("Target"), "^/+", "") == by_format(0)) & attribute("TargetMode").isin("", "Internal")
+    return {
+        "units": _one((F.col("kind") == "entry") & F.col("text").rlike(UNIT)),
+        "roots": _one(within(CONTENT_TYPES, TYPES_ROOT, 0)),
+        "overrides": _one(override),
+        "good_overrides": _one(override & (attribute("ContentType") == by_format(1))),
+        "offices": _one(office),
+        "good_offices": _one(office & target),
+    }
+
 
+def _ordered(rows: DataFrame, facts: list[Column]) -> DataFrame:
+    """(doc, rule, level, count, locations) and `facts` from rows with a finding `h` or none: every match counts, the first
+    five locations are shown.
 
-def text_findings(parts: DataFrame) -> DataFrame:
-    """(path, rule, level, count, locations): every match counted, five locations shown. Texts joined over a part, and then
-    over the whole document, count only where a rule hasn't fired before, since they find what is split over runs or parts.
+    What only a join of texts holds counts once, and only where it comes before any other match of its rule.
     """
-    t = parts.where("kind in ('text', 'joined', 'whole')").withColumn("_t", s.nfkc(F.col("text")))
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(level).alias("level"), F.regexp_count("_t", F.lit(p)).cast("long").alias("n")) for r, level, p in TEXT_RULES])
-    hits = t.select("path", "part_no", "kind", "location", F.explode(rules).alias("f")).select("path", "part_no", "kind", "location", "f.*").where("n > 0")
-    rank = F.when(F.col("kind") == "text", 0).when(F.col("kind") == "joined", 1).otherwise(2)
-    first = F.min(rank).over(Window.partitionBy("path", "rule"))
-    hits = hits.withColumn("_first", first).where(rank == F.col("_first"))
-    order = Window.partitionBy("path", "rule", "level").orderBy("part_no")
-    ranked = hits.withColumn("_r", F.row_number().over(order))
-    return ranked.groupBy("path", "rule", "level").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.when(F.col("_r") <= 5, F.col("location")))).alias("locations"))
+    order = Window.partitionBy("doc", "h.rule", "h.level").orderBy("part", "at")
+    adds = F.when(F.col("kind") != "joined", F.col("h.n")).when(F.row_number().over(order) == 1, 1).otherwise(0)
+    counted = rows.withColumn("adds", adds.cast("long"))
+    counted = counted.withColumn("before", F.sum("adds").over(order) - F.col("adds"))
+    shown = F.array_repeat("location", F.least("adds", 5 - F.col("before")).cast("int"))
+    shown = F.when((F.col("before") < 5) & (F.col("adds") > 0), F.struct("part", "at", shown.alias("locations")))
+    per = counted.groupBy("doc", F.col("h.rule").alias("rule"), F.col("h.level").alias("level")).agg(F.sum("adds").alias("count"), F.array_sort(F.collect_list(shown)).alias("shown"), *facts)
+    return per.withColumn("locations", F.flatten("shown.locations")).drop("shown")
 
 
-def structure_findings(parts: DataFrame) -> DataFrame:
-    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _STRUCTURE.items() for x in kv]), F.col("text")), F.lit("review"))
-    rows = parts.where("kind = 'structure'").select("path", F.col("text").alias("rule"), level.alias("level"), "location")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("path", "rule").orderBy("location")))
-    return ranked.groupBy("path", "rule", "level").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.when(F.col("_r") <= 5, F.col("location")))).alias("locations"))
+def findings(parts: DataFrame) -> DataFrame:
+    """Per document of document_parts(): path, format, input_sha256, bytes_scanned, units, findings.
+
+    findings is an array of (rule, level, count, locations), in order of rule. A document that can't be read has one
+    finding alone: what is wrong with the package, else that its main part isn't what it says, else that a part fails.
+    Only rows that tell something are shuffled, once, by document.
+    """
+    told = {n: c for n, c in _facts().items()}
+    document = F.when(F.col("kind") == "document", F.struct("path", "format", F.col("text").alias("input_sha256"), F.col("depth").cast("long").alias("bytes_scanned")))
+    problem = F.when(F.col("kind") == "problem", F.struct("part", F.col("text").alias("rule")))
+    rows = _hits(parts).select("doc", "part", "at", "kind", "location", "hits", document.alias("document"), problem.alias("problem"), *[c.alias(n) for n, c in told.items()])
+    rows = rows.where((F.size("hits") > 0) | F.col("document").isNotNull() | F.col("problem").isNotNull() | F.expr(" + ".join(told) + " > 0"))
+    # What holds of a row counts with its first finding only.
+    rows = rows.repartition("doc").select("doc", "part", "at", "kind", "location", "document", "problem", *told, F.posexplode_outer("hits").alias("k", "h"))
+    sums = [F.sum(F.when(F.coalesce("k", F.lit(0)) == 0, F.col(n))).alias(n) for n in told]
+    per = _ordered(rows, [F.max("document").alias("document"), F.min("problem").alias("problem"), *sums])
+    found = F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "level", "count", "locations"))))
+    docs = per.groupBy("doc").agg(F.max("document").alias("document"), F.min("problem").alias("problem"), found.alias("found"), *[F.sum(n).alias(n) for n in told]).select("document.*", "problem", "found", *told)
+
+    office = F.col("format").isin(*MAIN)
+    fake = office & ~F.expr("roots = 1 and overrides = 1 and good_overrides = 1 and offices = 1 and good_offices = 1")
+    wrong = F.when(F.col("problem.part") == 0, F.col("problem.rule")).when(fake, "DOC-FORMAT-MISMATCH").otherwise(F.col("problem.rule"))
+    level = F.create_map(*[F.lit(x) for kv in UNREADABLE.items() for x in kv])
+    single = lambda rule, level, locations: F.array(F.struct(rule.alias("rule"), level.alias("level"), F.lit(1).cast("long").alias("count"), locations.cast("array<string>").alias("locations")))
+    no_content = single(F.lit("DOC-NO-CONTENT"), F.lit("review"), F.array(F.lit("package")))
+    docs = docs.withColumn("wrong", wrong)
+    unread = F.col("wrong").isNotNull()
+    all_ = F.when(unread, single(F.col("wrong"), level[F.col("wrong")], F.array())).when(office & (F.col("units") == 0), F.array_sort(F.concat("found", no_content))).otherwise(F.col("found"))
+    return docs.select("path", "format", "input_sha256", "bytes_scanned", F.when(unread, 0).otherwise(F.col("units")).alias("units"), all_.alias("findings"))
+
+
+#: Fixed in every report: what made it, what it did not do, and that it releases nothing.
+REPORT = {"scanner": "documents-1", "ocr_performed": False, "malware_scan_performed": False, "network_isolation_verified": False, "release_authorized": False, "report_schema": "pathwatch.document-report.v1"}
 
 
 def inspect_documents(documents: DataFrame) -> DataFrame:
-    """(path, input_sha256, verdict, coverage, findings) of each document. Nothing to read is partial, never clean."""
-    parts = document_parts(documents)
-    found = text_findings(parts).unionByName(structure_findings(parts))
-    partial = F.col("rule").isin("DOC-PARSE-FAILED", "DOC-MEDIA", "DOC-BINARY-PART", "DOC-PARTIAL", "DOC-FORMAT-MISMATCH")
-    per = found.groupBy("path").agg(F.bool_or(F.col("level") == "block").alias("block"), F.bool_or(partial).alias("partial"), F.array_sort(F.collect_list(F.struct("rule", "level", "count", "locations"))).alias("findings"))
-    texts = parts.where("kind = 'text'").select("path").distinct().withColumn("some", F.lit(True))
-    rows = documents.select("path", F.sha2("content", 256).alias("input_sha256")).join(per.hint("merge"), "path", "left").join(texts.hint("merge"), "path", "left")
-    incomplete = F.coalesce("partial", F.lit(False)) | F.col("some").isNull()
-    return rows.select("path", "input_sha256", F.when(F.col("block"), "block").when(incomplete | F.col("findings").isNotNull(), "review").otherwise("no_findings").alias("verdict"), F.when(incomplete, "partial").otherwise("complete").alias("coverage"), F.coalesce("findings", F.array().cast(per.schema["findings"].dataType)).alias("findings"))
+    """A report of each row of documents (path, content, extension): path, input_sha256, format, verdict, coverage, units,
+    bytes_scanned, findings, and what holds for all reports.
+
+    coverage is unreadable, partial or supported_text_complete. Only a complete one without findings is no_findings.
+    """
+    f = findings(document_parts(documents))
+    wrong = F.exists("findings", lambda x: x.rule.isin(*UNREADABLE))
+    part = F.exists("findings", lambda x: x.rule.isin(*PARTIAL))
+    coverage = F.when(wrong, "unreadable").when(part, "partial").otherwise("supported_text_complete")
+    verdict = F.when(F.exists("findings", lambda x: x.level == "block"), "block").when((coverage != "supported_text_complete") | (F.size("findings") > 0), "review").otherwise("no_findings")
+    return f.select("path", "input_sha256", "format", verdict.alias("verdict"), coverage.alias("coverage"), "units", "bytes_scanned", "findings", *[F.lit(v).alias(k) for k, v in REPORT.items()])
+
+
+def finding_rows(documents: DataFrame) -> DataFrame:
+    """(path, rule, level, count, locations): the findings of each row of documents."""
+    return findings(document_parts(documents)).select("path", F.explode("findings").alias("f")).select("path", "f.*")
 
 
 def redacted(text: Column) -> Column:

@@ -30,27 +30,101 @@ _INJECTION_RE = s.INJECTION
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
-def _package(texts: list[str], hidden: bool, external: bool, media: bool, active: bool) -> bytes:
+_SHEET, _SLIDE = "xl/worksheets/sheet{}.xml", "ppt/slides/slide{}.xml"
+_REL = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+
+
+def _frame(kind: str = "xlsx", override: str | None = None, target: str | None = None) -> dict[str, str]:
+    """The parts that name a package's main part, and the main part."""
+    main, mime = documents.MAIN[kind]
+    override = f'<Override PartName="/{main}" ContentType="{mime}"/>' if override is None else override
+    return {
+        documents.CONTENT_TYPES: f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">{override}</Types>',
+        documents.RELATIONSHIPS: _REL.format(f'<Relationship Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="{target or main}"/>'),
+        main: '<workbook><sheet state="visible"/></workbook>',
+    }
+
+
+def _zipped(parts: dict[str, str], method: int = zipfile.ZIP_DEFLATED) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", "<Types/>")
-        z.writestr("xl/workbook.xml", '<workbook><sheet state="hidden"/></workbook>' if hidden else "<workbook/>")
-        for i, text in enumerate(texts):
-            z.writestr(f"xl/part{i}.xml", f"<sst><t>{escape(_CONTROL.sub(' ', text))}</t></sst>")
-        if external:
-            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship TargetMode="External"/></Relationships>')
-        if media:
-            z.writestr("xl/media/image1.png", "png")
-        if active:
-            z.writestr("xl/vbaProject.bin", "macro")
+        for name, body in parts.items():
+            z.writestr(name, body, compress_type=method if "sheet" in name else zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
+def _cell(text: str) -> str:
+    return f"<worksheet><c><v>{escape(_CONTROL.sub(' ', text))}</v></c></worksheet>"
+
+
+def _package(texts: list[str], hidden: bool, external: bool, media: bool, active: bool) -> bytes:
+    """A workbook with a sheet for each text that isn't blank."""
+    parts = _frame()
+    if hidden:
+        parts["xl/workbook.xml"] = '<workbook><sheet state="hidden"/></workbook>'
+    parts |= {_SHEET.format(i + 1): _cell(text) for i, text in enumerate(texts) if text.strip()}
+    if external:
+        parts["xl/_rels/workbook.xml.rels"] = _REL.format('<Relationship TargetMode="External" Target="x"/>')
+    if media:
+        parts["xl/media/image1.png"] = "png"
+    if active:
+        parts["xl/vbaProject.bin"] = "macro"
+    return _zipped(parts)
+
+
 @F.pandas_udf(BinaryType())
 def _packed(left: pd.Series, right: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([_package([x for x in (a, b) if x is not None], n % 5 == 0, n % 7 == 0, n % 11 == 0, n % 13 == 0) for a, b, n in zip(left, right, k)], dtype=object)
 
 
+#: Faults that a package can have, in order of the remainder that chooses them.
+_FAULTS = [
+    "none", "no content types", "no override", "override names another type", "relationship names another part", "external main part", "macro override", "other compression",
+    "names differ in case", "path leaves the package", "no sheet", "split over attributes", "expands too far", "entity", "hidden slide", "hidden row",
+]
+
+
+def _faulty(text: str, fault: str) -> bytes:
+    kind = "pptx" if fault == "hidden slide" else "xlsx"
+    main, mime = documents.MAIN[kind]
+    parts = _frame(kind)
+    if fault == "no content types":
+        del parts[documents.CONTENT_TYPES]
+    elif fault == "no override":
+        parts = _frame(override="")
+    elif fault == "override names another type":
+        parts = _frame(override=f'<Override PartName="/{main}" ContentType="application/xml"/>')
+    elif fault == "relationship names another part":
+        parts = _frame(target="xl/other.xml")
+    elif fault == "external main part":
+        parts[documents.RELATIONSHIPS] = parts[documents.RELATIONSHIPS].replace("/></R", ' TargetMode="External"/></R')
+    elif fault == "macro override":
+        parts = _frame(override=f'<Override PartName="/{main}" ContentType="{mime}"/><Override PartName="/xl/a.xml" ContentType="application/vnd.ms-office.vbaProject"/>')
+    if fault == "hidden slide":
+        parts[_SLIDE.format(1)] = f'<sld show="0"><t>{escape(_CONTROL.sub(" ", text))}</t></sld>'
+    elif fault == "hidden row":
+        parts[_SHEET.format(1)] = _cell(text).replace("<c>", '<row hidden="1"/><row hidden="0"/><c>')
+    elif fault != "no sheet":
+        parts[_SHEET.format(1)] = _cell(text)
+    extra = {
+        "names differ in case": {"XL/Workbook.xml": "<x/>"},
+        "path leaves the package": {"../x.xml": "<x/>"},
+        "split over attributes": {"docProps/a.xml": '<x a=" pass"/>', "docProps/b.xml": '<x a="word=hunter2hunter2"/>'},
+        "expands too far": {"xl/large.xml": " " * 200_000},
+        "entity": {"xl/e.xml": '<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'},
+    }
+    return _zipped(parts | extra.get(fault, {}), zipfile.ZIP_BZIP2 if fault == "other compression" else zipfile.ZIP_DEFLATED)
+
+
+@F.pandas_udf(BinaryType())
+def _packed_faulty(text: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([_faulty(t, _FAULTS[n % len(_FAULTS)]) for t, n in zip(text, k)], dtype=object)
+
+
+#: A third of the texts gets a secret, a fifth two personal addresses and a mark, all made of the row's own key and text.
+_PLANTED = "concat(text, case when doc_id % 3 = 0 then concat(' api_key=', md5(text)) else '' end, case when doc_id % 5 = 0 then concat(' x', doc_id, '@example.invalid, y', doc_id, '@example.invalid confidential') else '' end)"
+
+
 _PDF = "case when doc_id % 20 = 19 then '%PDF-1.4 one %%EOF two %%EOF x' when doc_id % 30 = 9 then 'no magic %%EOF' else '%PDF-1.4 one %%EOF' end"
 _PATH = "concat('d', cast(doc_id as varchar(20)), case doc_id % 10 when 9 then '.pdf' else '.xlsx' end)"
 
@@ -66,28 +140,30 @@ def _files(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
 
 
 _CLEAN = r"regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')"
+_BLANK = "trim(text, ' ' || chr(9) || chr(10) || chr(13)) = ''"
 _BOOKS = f"SELECT *, {_PATH} AS path FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 9"
 _RULE_SQL = {"DOC-SECRET": ("block", _SECRET_RE), "DOC-PII": ("review", _PERSONAL_RE), "DOC-CLASS": ("review", _CONFIDENTIAL_RE), "DOC-INJECTION": ("review", _INJECTION_RE)}
-_STRUCT_SQL = " UNION ALL ".join(f"SELECT path, '{rule}' AS rule, '{level}' AS level, 1 AS count FROM books WHERE doc_id % {n} = 0" for rule, level, n in [("DOC-HIDDEN", "review", 5), ("DOC-EXTERNAL", "review", 7), ("DOC-MEDIA", "review", 11), ("DOC-BINARY-PART", "review", 13), ("DOC-ACTIVE", "block", 13)])
+_STRUCT_SQL = " UNION ALL ".join(f"SELECT path, '{rule}' AS rule, '{level}' AS level, 1 AS count FROM books WHERE doc_id % {n} = 0" for rule, level, n in [("DOC-HIDDEN-CONTENT", "review", 5), ("DOC-EXTERNAL-REFERENCE", "review", 7), ("DOC-IMAGE-UNINSPECTED", "review", 11), ("DOC-BINARY-UNINSPECTED", "review", 13), ("DOC-ACTIVE-CONTENT", "block", 13)]) + f" UNION ALL SELECT path, 'DOC-NO-CONTENT' AS rule, 'review' AS level, 1 AS count FROM books WHERE {_BLANK}"
 _PDF_SQL = f"SELECT {_PATH} AS path, doc_id % 20 = 19 AS odd, doc_id % 30 = 9 AND doc_id % 20 <> 19 AS bad FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 9"
 
 
 @query("doc01_extracted_texts", f"WITH books AS ({_BOOKS}) SELECT path, sha256({_CLEAN}) AS digest FROM books WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def doc01(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = documents.document_parts(_files(spark, sf_dir))
-    return parts.where("kind = 'text' and location = 'xl/part0.xml'").select("path", F.sha2("text", 256).alias("digest"))
+    return parts.where(f"kind = 'text' and entry = '{_SHEET.format(1)}'").select("path", F.sha2("text", 256).alias("digest"))
 
 
 @query("src16_document_files", f"WITH books AS ({_BOOKS}) SELECT path, sha256({_CLEAN}) AS digest FROM books WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As doc01, of a landed table of bytes that is read back."""
     parts = documents.document_parts(landing.parquet(_files(spark, sf_dir)))
-    return parts.where("kind = 'text' and location = 'xl/part0.xml'").select("path", F.sha2("text", 256).alias("digest"))
+    return parts.where(f"kind = 'text' and entry = '{_SHEET.format(1)}'").select("path", F.sha2("text", 256).alias("digest"))
 
 
 @query("doc02_structure_findings", f"WITH books AS ({_BOOKS}), pdfs AS ({_PDF_SQL}) {_STRUCT_SQL}")
 def doc02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.structure_findings(documents.document_parts(_files(spark, sf_dir).where("extension = 'XLSX'"))).select("path", "rule", "level", "count")
+    found = documents.finding_rows(_files(spark, sf_dir).where("extension = 'XLSX'"))
+    return found.where(~F.col("rule").isin(*_RULE_SQL)).select("path", "rule", "level", "count")
 
 
 def _text_rules(where: str) -> str:
@@ -96,24 +172,24 @@ def _text_rules(where: str) -> str:
 
 @query("doc03_text_findings", f"WITH books AS ({_BOOKS}) {_text_rules('regexp_matches(text, RE)')}")
 def doc03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents.text_findings(documents.document_parts(_files(spark, sf_dir)))
-    return found.select("path", "rule", "level")
+    found = documents.finding_rows(_files(spark, sf_dir).where("extension = 'XLSX'"))
+    return found.where(F.col("rule").isin(*_RULE_SQL)).select("path", "rule", "level")
 
 
 @query("doc04_split_over_parts", f"WITH books AS ({_BOOKS}) {_text_rules('regexp_matches(text, RE) OR regexp_matches(left(text, CAST(floor(length(text) / 2) AS INTEGER)), RE) OR regexp_matches(substr(text, CAST(floor(length(text) / 2) AS INTEGER) + 1), RE)')}")
 def doc04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents.text_findings(documents.document_parts(_files(spark, sf_dir, split=True)))
-    return found.select("path", "rule", "level")
+    found = documents.finding_rows(_files(spark, sf_dir, split=True).where("extension = 'XLSX'"))
+    return found.where(F.col("rule").isin(*_RULE_SQL)).select("path", "rule", "level")
 
 
-@query("doc05_document_verdicts", f"WITH books AS ({_BOOKS}), v AS (SELECT path, doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS any_text, {' OR '.join(f'regexp_matches(text, {chr(39)}{p}{chr(39)})' for _, (_, p) in _RULE_SQL.items())} AS found, regexp_matches(text, '{_SECRET_RE}') AS secret FROM books) SELECT path, CASE WHEN secret OR doc_id % 13 = 0 THEN 'block' WHEN found OR NOT any_text OR doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'review' ELSE 'no_findings' END AS verdict, CASE WHEN NOT any_text AND doc_id % 5 <> 0 AND doc_id % 7 <> 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'partial' ELSE 'complete' END AS coverage FROM v")
+@query("doc05_document_verdicts", f"WITH books AS ({_BOOKS}), v AS (SELECT path, doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS any_text, {' OR '.join(f'regexp_matches(text, {chr(39)}{p}{chr(39)})' for _, (_, p) in _RULE_SQL.items())} AS found, regexp_matches(text, '{_SECRET_RE}') AS secret FROM books) SELECT path, CASE WHEN secret OR doc_id % 13 = 0 THEN 'block' WHEN found OR NOT any_text OR doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'review' ELSE 'no_findings' END AS verdict, CASE WHEN NOT any_text OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'partial' ELSE 'supported_text_complete' END AS coverage FROM v")
 def doc05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.inspect_documents(_files(spark, sf_dir).where("extension = 'XLSX'")).select("path", "verdict", "coverage")
 
 
-@query("doc06_pdf_structure", f"WITH p AS ({_PDF_SQL}) SELECT path, unnest(CASE WHEN bad THEN ['DOC-FORMAT-MISMATCH'] WHEN odd THEN ['DOC-REVISIONS', 'DOC-TRAILING-BYTES', 'DOC-PARTIAL'] ELSE ['DOC-PARTIAL'] END) AS rule FROM p")
+@query("doc06_pdf_structure", f"WITH p AS ({_PDF_SQL}) SELECT path, unnest(CASE WHEN bad THEN ['DOC-FORMAT-MISMATCH'] WHEN odd THEN ['DOC-PDF-REVISION-HISTORY', 'DOC-PDF-TRAILING-CONTENT', 'DOC-PDF-TEXT-UNINSPECTED'] ELSE ['DOC-PDF-TEXT-UNINSPECTED'] END) AS rule FROM p")
 def doc06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.structure_findings(documents.document_parts(_files(spark, sf_dir).where("extension = 'pdf'"))).select("path", "rule")
+    return documents.finding_rows(_files(spark, sf_dir).where("extension = 'pdf'")).select("path", "rule")
 
 
 @query("doc07_redacted_previews", f"SELECT conv_id, turn, CASE WHEN regexp_matches(x, '{_SECRET_RE}') OR regexp_matches(x, '{_PERSONAL_RE}') THEN '[withheld]' ELSE regexp_replace(x, '{_CONFIDENTIAL_RE}', '[redacted]', 'g') END AS preview FROM (SELECT conv_id, turn, concat(text, CASE WHEN turn % 2 = 0 THEN ' 社外秘 Confidential' ELSE '' END) AS x FROM conversations WHERE text IS NOT NULL)")
@@ -123,11 +199,47 @@ def doc07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", documents.redacted(text).alias("preview"))
 
 
-@query("doc08_document_reports", f"SELECT {_PATH} AS path, sha256({_PDF}) AS input_sha256, CASE WHEN doc_id % 30 = 9 AND doc_id % 20 <> 19 THEN 'block' ELSE 'review' END AS verdict, 'partial' AS coverage FROM documents WHERE text IS NOT NULL AND doc_id % 10 = 9")
+@query("doc08_document_reports", f"WITH p AS ({_PDF_SQL}) SELECT {_PATH} AS path, sha256({_PDF}) AS input_sha256, 'pdf' AS format, CASE WHEN bad THEN 'block' ELSE 'review' END AS verdict, CASE WHEN bad THEN 'unreadable' ELSE 'partial' END AS coverage, CAST(0 AS BIGINT) AS units, CAST(strlen({_PDF}) AS BIGINT) AS bytes_scanned, 'documents-1' AS scanner, false AS ocr_performed, false AS malware_scan_performed, false AS network_isolation_verified, false AS release_authorized, 'pathwatch.document-report.v1' AS report_schema FROM documents JOIN p ON p.path = {_PATH} WHERE text IS NOT NULL AND doc_id % 10 = 9")
 def doc08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.inspect_documents(_files(spark, sf_dir).where("extension = 'pdf'")).drop("findings")
 
 
+def _fault(*names: str) -> str:
+    return f"doc_id % {len(_FAULTS)} IN ({', '.join(str(_FAULTS.index(n)) for n in names)})"
+
+
+_WRONG = {"DOC-PARSE-FAILED": ("review", ("other compression", "names differ in case", "path leaves the package", "expands too far", "entity")), "DOC-FORMAT-MISMATCH": ("block", ("no content types", "no override", "override names another type", "relationship names another part", "external main part"))}
+_ODD = {"DOC-ACTIVE-CONTENT": ("block", "part:1", "macro override"), "DOC-NO-CONTENT": ("review", "package", "no sheet"), "DOC-HIDDEN-CONTENT": ("review", "part:4", "hidden slide", "hidden row")}
+
+
+def _faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr(_PLANTED).alias("text"))
+    return d.select(F.concat(F.lit("f"), "doc_id").alias("path"), _packed_faulty("text", "doc_id").alias("content"), F.when(F.col("doc_id") % len(_FAULTS) == _FAULTS.index("hidden slide"), ".pptx").otherwise("xlsx").alias("extension"))
+
+
+#: In a text that one cell holds, a rule counts its matches and once more what the part as a whole says, before them.
+_FAULTY_SQL = f"""
+WITH d AS (SELECT doc_id, concat('f', doc_id) AS path, {_PLANTED} AS text FROM documents WHERE text IS NOT NULL),
+told AS (SELECT * FROM d WHERE NOT ({_fault(*[f for _, fs in _WRONG.values() for f in fs])}) AND NOT {_fault("no sheet")}),
+hits AS ({" UNION ALL ".join(f"SELECT doc_id, path, '{rule}' AS rule, '{level}' AS level, len(regexp_extract_all(text, '{pattern}')) AS n FROM told" for rule, (level, pattern) in _RULE_SQL.items())})
+SELECT path, rule, level, CAST(n + 1 AS BIGINT) AS count, array_to_string(list_transform(range(least(5, n + 1)), lambda i: 'part:4'), ',') AS locations FROM hits WHERE n > 0
+UNION ALL SELECT path, rule, level, 1, 'cross_part_text' FROM hits WHERE n = 0 AND rule = 'DOC-SECRET' AND {_fault("split over attributes")}
+UNION ALL {" UNION ALL ".join(f"SELECT path, '{rule}', '{level}', 1, '' FROM d WHERE {_fault(*faults)}" for rule, (level, faults) in _WRONG.items())}
+UNION ALL {" UNION ALL ".join(f"SELECT path, '{rule}', '{level}', 1, '{at}' FROM d WHERE {_fault(*faults)}" for rule, (level, at, *faults) in _ODD.items())}
+"""
+
+
+@query("doc09_package_checks", _FAULTY_SQL)
+def doc09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages with each fault and with planted secrets: every finding with its count and locations."""
+    return joined(documents.finding_rows(_faulty_files(spark, sf_dir)))
+
+
+@query("doc10_package_reports", f"WITH f AS ({_FAULTY_SQL}) SELECT concat('f', doc_id) AS path, CASE WHEN bool_or(level = 'block') THEN 'block' WHEN count(rule) > 0 THEN 'review' ELSE 'no_findings' END AS verdict, CASE WHEN coalesce(bool_or(rule IN ('DOC-PARSE-FAILED', 'DOC-FORMAT-MISMATCH')), false) THEN 'unreadable' WHEN coalesce(bool_or(rule IN ('DOC-ACTIVE-CONTENT', 'DOC-NO-CONTENT')), false) THEN 'partial' ELSE 'supported_text_complete' END AS coverage, CAST(CASE WHEN {_fault(*[f for _, fs in _WRONG.values() for f in fs])} OR {_fault('no sheet')} THEN 0 ELSE 1 END AS BIGINT) AS units, CASE WHEN {_fault('hidden slide')} THEN 'pptx' ELSE 'xlsx' END AS format FROM documents LEFT JOIN f ON f.path = concat('f', doc_id) WHERE text IS NOT NULL GROUP BY doc_id")
+def doc10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.inspect_documents(_faulty_files(spark, sf_dir)).select("path", "verdict", "coverage", "units", "format")
+
+
 # --- texts, traffic and decisions
 
 _WIDE = ("abcdefghijklmnopqrstuvwxyz", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ")

@@ -109,15 +109,46 @@ def package(parts):
 
 
 def test_documents(spark):
-    base = {"[Content_Types].xml": "<Types/>", "xl/workbook.xml": '<workbook><sheet state="hidden" name="x"/></workbook>'}
-    split = package(base | {"xl/s.xml": "<a><t>pass</t><t>word=hunter2hunter2</t></a>"})
-    rows = [("clean", package({**base, "xl/workbook.xml": "<w><t>fine</t></w>"}), "xlsx"), ("split", split, "xlsx"), ("macro", package(base | {"xl/vbaProject.bin": "x"}), "xlsx"), ("bad", b"no zip", "xlsx"), ("dtd", package(base | {"xl/d.xml": "<!DOCTYPE a><a/>"}), "xlsx"), ("pdf", b"%PDF-1.4 %%EOF x %%EOF", "pdf"), ("null", None, "pdf")]
-    got = {r.path: r for r in documents.inspect_documents(spark.createDataFrame(rows, "path string, content binary, extension string")).collect()}
-    assert (got["clean"].verdict, got["clean"].coverage) == ("no_findings", "complete")
-    assert got["split"].verdict == "block" and {f.rule for f in got["split"].findings} == {"DOC-HIDDEN", "DOC-SECRET"}
-    assert got["macro"].verdict == "block" and got["bad"].verdict == "block" and got["null"].verdict == "block"
-    assert (got["dtd"].verdict, got["dtd"].coverage) == ("review", "partial")
-    assert {f.rule for f in got["pdf"].findings} == {"DOC-REVISIONS", "DOC-PARTIAL"}
+    from pathwatch.plans.contents import _frame
+
+    sheet = {"xl/worksheets/sheet1.xml": "<worksheet><c><v>fine</v></c></worksheet>"}
+    base = _frame() | sheet
+    hidden = base | {"xl/workbook.xml": '<workbook><sheet state="hidden" name="x"/></workbook>'}
+    three = "<worksheet><c><v>a@b.example c@d.example e@f.example</v></c><c><is><t>g@h.</t><t>example</t></is></c><c k='i@j.example l@m.example'/></worksheet>"
+    rows = [
+        ("clean", package(base), "xlsx"),
+        ("split", package(hidden | {"xl/s.xml": "<a><t>pass</t><t>word=hunter2hunter2</t></a>"}), "xlsx"),
+        ("parts", package(base | {"docProps/a.xml": '<x a=" pass"/>', "docProps/b.xml": '<x a="word=hunter2hunter2"/>'}), "xlsx"),
+        ("counts", package(base | {"xl/worksheets/sheet1.xml": three}), "XLSX"),
+        ("macro", package(base | {"xl/vbaProject.bin": "x"}), "xlsx"),
+        ("notes", package(_frame("pptx") | {"ppt/slides/slide1.xml": "<sld/>", "ppt/notesSlides/notesSlide1.xml": "<n><t>api_key=synthetic-note-key</t></n>"}), "pptx"),
+        ("bad", b"no zip", "xlsx"),
+        ("cut", package(base)[:-30], "xlsx"),
+        ("dtd", package(base | {"xl/d.xml": "<!DOCTYPE a><a/>"}), "xlsx"),
+        ("dtd16", package(base | {"xl/d.xml": '<?xml version="1.0" encoding="utf-16"?><!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>'.encode("utf-16")}), "xlsx"),
+        ("both", package(base | {"xl/d.xml": "<a", "[Content_Types].xml": "<Types/>"}), "xlsx"),
+        ("fake", package({"[Content_Types].xml": "<Types/>", "xl/workbook.xml": "<workbook/>", "xl/worksheets/sheet1.xml": "<worksheet/>"}), "xlsx"),
+        ("old", b"fake", "xls"),
+        ("other", package(base), "pdf"),
+        ("pdf", b"%PDF-1.4 %%EOF x %%EOF", "pdf"),
+        ("null", None, "pdf"),
+        ("clean", package(base), "xlsx"),
+        (None, package(base), None),
+    ]
+    made = spark.createDataFrame(rows, "path string, content binary, extension string")
+    reports = documents.inspect_documents(made).collect()
+    got = {r.path: r for r in reports}
+    assert len(reports) == len(rows) and len(got["clean"].input_sha256) == 64 and not got["clean"].release_authorized
+    assert (got["clean"].verdict, got["clean"].coverage, got["clean"].units, got["clean"].findings) == ("no_findings", "supported_text_complete", 1, [])
+    assert got["split"].verdict == "block" and [(f.rule, f["count"], f.locations) for f in got["split"].findings] == [("DOC-HIDDEN-CONTENT", 1, ["part:3"]), ("DOC-SECRET", 1, ["part:5"])]
+    assert [(f.rule, f["count"], f.locations) for f in got["parts"].findings] == [("DOC-SECRET", 1, ["cross_part_text"])]
+    assert [tuple(f) for f in got["counts"].findings] == [("DOC-PII", "review", 6, ["part:4"] * 5)]  # the part first, three in a cell, two in an attribute; the split one isn't first
+    assert got["macro"].verdict == got["notes"].verdict == "block" and got["macro"].coverage == "partial"
+    wrong = {p: ([f.rule for f in got[p].findings], got[p].verdict) for p in got if got[p].coverage == "unreadable"}
+    failed, fake = (["DOC-PARSE-FAILED"], "review"), (["DOC-FORMAT-MISMATCH"], "block")
+    assert wrong == {"bad": fake, "cut": failed, "dtd": failed, "dtd16": failed, "both": fake, "fake": fake, "old": (["DOC-UNSUPPORTED"], "review"), "other": fake, "null": (["DOC-SIZE"], "block"), None: (["DOC-UNSUPPORTED"], "review")}
+    assert {f.rule for f in got["pdf"].findings} == {"DOC-PDF-REVISION-HISTORY", "DOC-PDF-TEXT-UNINSPECTED"} and got["pdf"].coverage == "partial"
+    assert documents.inspect_documents(made.limit(0)).count() == 0
     preview = spark.range(1).select(documents.redacted(F.lit("a restricted note")).alias("a"), documents.redacted(F.lit("a@b.example")).alias("b")).first()
     assert tuple(preview) == ("a [redacted] note", "[withheld]")
 
