@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..config import RuleConfig
 from ..functions import scalars as s
 from ..operators import clean, posture, rules
-from ..sources import idp, ingest, sinks, strict
+from ..sources import idp, ingest, records, sinks, strict
 from ..sources.profiles import Profile, built_in
 from . import adapters as t
 from . import landing
@@ -45,7 +47,38 @@ def src01(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.expr(_NOTES.replace("chr(10)", "'\\n'").replace('\\"', '"')).alias("note"))
     profile = Profile.load({"profile_version": 1, "name": "notes", "format": "csv", "record": "file_access", "delimiter": ";", "map": {"at": {"field": "x"}, "actor": {"field": "x"}, "session": {"field": "x"}, "asset_id": {"field": "x"}, "file_id": {"field": "x"}}})
     found, _ = ingest.scan(spark, landing.csv(rows, ";"), profile)
-    return found.select("_v.*")
+    return found.select(*[F.col("_v")[c].alias(c) for c in ("s_suppkey", "s_name", "note")])
+
+
+@F.pandas_udf(BinaryType())
+def _cp932(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t.encode("cp932"))
+
+
+def _quoted(*columns: str) -> Column:
+    """A record of fields in double quotes."""
+    return F.concat_ws("|", *[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns])
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """Suppliers as files of a hundred keys at most, in Shift_JIS below a line of their own: files of even numbers have their
+    columns in another order, and one more."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.expr(_NOTES.replace("chr(10)", "'\\n'").replace('\\"', '"')).alias("note"), F.lit("ソ|表").alias("more"))
+    numbered = rows.withColumn("f", F.expr("s_suppkey div 100"))
+    even = F.col("f") % 2 == 0
+    line = F.when(even, _quoted("note", "more", "s_suppkey", "s_name")).otherwise(_quoted("s_suppkey", "s_name", "note"))
+    head = F.when(even, F.lit("note|more|s_suppkey|s_name")).otherwise(F.lit("s_suppkey|s_name|note"))
+    files = numbered.groupBy("f").agg(F.concat_ws("\n", F.lit('一覧 "'), F.first(head), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text"))  # a hundred rows a file
+    path = landing.folder(spark)
+    files.select("f", _cp932("text").cast("string").alias("value")).write.partitionBy("f").text(path)
+    return f"{path}/f=*"
+
+
+@query("src17_files_of_other_headers", f"SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, {_NOTES} AS note, CASE WHEN s_suppkey // 100 % 2 = 0 THEN 'ソ|表' END AS more FROM supplier")
+def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose columns differ in order and number, in another encoding, with line breaks and delimiters in quotes."""
+    found = records.delimited(spark, _mixed_files(spark, sf_dir), "cp932", "|", 1)
+    return found.select(*[F.col("_v")[c].alias(c) for c in ("s_suppkey", "s_name", "note", "more")])
 
 
 _LINES = "case event_id % 2000 when 3 then 'long' else case event_id % 10 when 0 then 'broken' when 1 then 'list' when 2 then 'blank' else 'good' end end"
@@ -69,7 +102,7 @@ def src02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fn07_dotted_paths", t.with_tables("ev", sql=f"SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS missing FROM ev WHERE {_LINES} = 'good'"))
 def fn07(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = ingest.scan(spark, _jsonl(spark, sf_dir), _FILE_PROFILE)
-    look = ingest._lookup(rows, _FILE_PROFILE)
+    look = ingest._lookup(_FILE_PROFILE)
     return rows.select(look("event_id").cast("long").alias("event_id"), look("u.user_id").alias("user_id"), look("u.none.deeper").alias("missing"))
 
 

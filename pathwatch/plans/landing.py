@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="pathwatch-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pathwatch/{uuid.uuid4().hex}"
+from ..tables import folder, written
 
 
 def lines(df: DataFrame, line: Column) -> str:
@@ -34,7 +20,4 @@ def csv(df: DataFrame, sep: str = ",") -> str:
     return path
 
 
-def parquet(df: DataFrame) -> DataFrame:
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+parquet = written

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import scalars as s
 from ..schemas import ASSETS
+from . import records
 from .profiles import ENUMS, PREFIX, Profile
 
-#: Bytes of a JSON line, seconds that a row's time may lie ahead, and columns of a table.
-LINE_BYTES, AHEAD, COLUMNS = 256 * 1024, 300, 200
-_JAVA = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp932": "windows-31j", "shift_jis": "Shift_JIS", "euc_jp": "EUC-JP", "latin-1": "ISO-8859-1"}
+#: Bytes of a JSON line, and seconds that a row's time may lie ahead.
+LINE_BYTES, AHEAD = 256 * 1024, 300
 
 
 @dataclass
@@ -30,53 +28,21 @@ class Parsed:
 
 
 def raw_lines(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
-    """(_source, _row, line) of text files in the profile's encoding, a byte-order mark and `skip_rows` lines removed.
-
-    UTF-8 without skipping is split by Spark; other files are decoded as a whole, one task a file.
-    """
-    if profile.encoding in ("utf-8", "utf-8-sig") and not profile.skip_rows and profile.format == "jsonl":
+    """(_source, _row, line) of text files in the profile's encoding, a byte-order mark and `skip_rows` lines removed."""
+    if profile.encoding in ("utf-8", "utf-8-sig") and not profile.skip_rows:
         df = spark.read.text(path).select(F.col("_metadata.file_name").alias("_source"), F.col("value").alias("line"))
-        return df.select("_source", F.monotonically_increasing_id().alias("_row"), F.ltrim(F.col("line"), F.lit("﻿")).alias("line"))
-    body = F.decode("content", _JAVA[profile.encoding]) if profile.encoding in ("utf-8", "utf-8-sig", "latin-1") else _decoded(profile.encoding)(F.col("content"))
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("_source"), F.regexp_replace(body, "^﻿", "").alias("body"))
-    lines = F.split("body", r"\r\n|\n|\r")
-    return files.select("_source", F.posexplode(F.slice(lines, profile.skip_rows + 1, F.greatest(F.size(lines) - profile.skip_rows, F.lit(0)))).alias("_row", "line"))
-
-
-def _decoded(encoding: str):
-    """Decoding that Spark's own function refuses; whole files come as Arrow batches."""
-    @F.pandas_udf(StringType())
-    def decode(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: b.decode(encoding, "replace"))
-
-    return decode
-
-
-def _bounded(fields: list[str]) -> list[str]:
-    if len(fields) > COLUMNS:
-        raise ValueError(f"a table of {len(fields)} columns; {COLUMNS} are the most")
-    return fields
+        return df.select("_source", F.monotonically_increasing_id().alias("_row"), F.ltrim(F.col("line"), F.lit("\ufeff")).alias("line"))
+    return records.decoded(spark, path, profile.encoding, profile.skip_rows)
 
 
 def scan(spark: SparkSession, path: str, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """(rows with _source, _row, _v: a variant of the fields; skipped (source, reason, n)). Blank JSON lines don't count.
+    """(rows with _source, _row, _v: a map of fields, or a variant of JSON; skipped (source, reason, n)). Blank lines don't count.
 
-    Files of one folder must have the same columns in the same order; Spark checks each header and stops otherwise.
+    Each delimited file has its own header, and columns are matched by name.
     """
     if profile.format == "csv":
-        if not profile.skip_rows and profile.encoding in ("utf-8", "utf-8-sig", "latin-1"):
-            df = spark.read.csv(path, header=True, sep=profile.delimiter, encoding=_JAVA[profile.encoding], multiLine=True, mode="PERMISSIVE", escape='"', enforceSchema=False)
-            fields = _bounded([c for c in df.columns])
-            rows = df.select(F.col("_metadata.file_name").alias("_source"), F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in fields]).alias("_v"))
-        else:
-            lines = raw_lines(spark, path, profile).where(F.trim("line") != "")
-            head = lines.orderBy("_source", "_row").first()
-            fields = _bounded([c.strip('"') for c in (head.line if head else "").split(profile.delimiter)])
-            schema = ", ".join(f"`{c}` string" for c in fields)
-            first = Window.partitionBy("_source").orderBy("_row")
-            body = lines.withColumn("_n", F.row_number().over(first)).where("_n > 1")
-            rows = body.select("_source", F.col("_row").cast("long").alias("_row"), F.from_csv("line", schema, {"sep": profile.delimiter}).alias("_v"))
-        return rows, rows.sparkSession.createDataFrame([], "source string, reason string, n long")
+        rows = records.delimited(spark, path, profile.encoding, profile.delimiter, profile.skip_rows)
+        return rows, spark.createDataFrame([], "source string, reason string, n long")
     lines = raw_lines(spark, path, profile).where(F.trim("line") != "")
     v = F.try_parse_json("line")
     reason = F.when(F.octet_length("line") > LINE_BYTES, "line_too_long").when(v.isNull(), "not_json").when(~F.startswith(F.ltrim("line"), F.lit("{")), "not_an_object")
@@ -85,12 +51,10 @@ def scan(spark: SparkSession, path: str, profile: Profile) -> tuple[DataFrame, D
     return marked.where("reason is null").drop("reason"), skipped
 
 
-def _lookup(rows: DataFrame, profile: Profile):
-    names = set(rows.schema["_v"].dataType.names) if profile.format == "csv" else set()
-
+def _lookup(profile: Profile):
     def column(name: str) -> Column:
         if profile.format == "csv":
-            return F.col("_v")[name] if name in names else F.lit(None).cast("string")
+            return F.col("_v")[name]
         path = "$" + "".join(f"['{p}']" for p in name.split("."))
         return F.try_variant_get("_v", path, "string")
 
@@ -99,7 +63,7 @@ def _lookup(rows: DataFrame, profile: Profile):
 
 def parse(rows: DataFrame, profile: Profile) -> Parsed:
     """Typed rows of scanned ones. A row is skipped for the first required target it lacks, in the profile's order."""
-    lookup = _lookup(rows, profile)
+    lookup = _lookup(profile)
     targets = profile.targets
     derive = "derive" in profile.map["id"]
     typed = rows.select("_source", "_row", *[profile.value(t, lookup).alias(t) for t in targets if not (t == "id" and derive)], *[profile.raw_value(t, lookup).alias(f"_raw_{t}") for t, (k, _) in targets.items() if k == "id" and not (t == "id" and derive)])
