@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, written
@@ -123,6 +123,11 @@ def _weight(times: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(times)) + 1
 
 
+def _digests(raw: bytes, offs: np.ndarray) -> list[bytes]:
+    """What names a text: its words, whatever the white space between."""
+    return [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(offs[:-1], offs[1:])]
+
+
 def _sign(words: int, bands: int, rows: int, counted: bool):
     k = bands * rows
 
@@ -139,7 +144,7 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
                     keys = mix(keys * _M(0x9E3779B97F4A7C15) + sig[:, j::rows])
                 keys = mix(keys + np.arange(bands, dtype=np.uint64))
                 raw = w.buf.tobytes()
-                digests = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(offs[:-1], offs[1:])]
+                digests = _digests(raw, offs)
                 flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(w.counts(), pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_words", "digest", "bands"])
@@ -151,14 +156,17 @@ def _sets(words: int, counted: bool):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                element, doc, times = _weighted(*shingles(*text_buffer(part["text"]), words)[:2])
+                buf, offs = text_buffer(part["text"])
+                element, doc, w = shingles(buf, offs, words)
+                element, doc, times = _weighted(element, doc)
                 if counted:  # each unit of a shingle's weight is an element of its own
                     times = _weight(times).astype(np.int64)
                     which = np.repeat(np.arange(len(element)), times)
                     turn = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                     element, doc = mix(element[which] + turn.astype(np.uint64) * _M(0xD1342543DE82EF95)), doc[which]
                 bounds = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(bounds, pa.array(element.view(np.int64), pa.int64()))], ["doc_id", "shingles"])
+                digests = pa.array(_digests(w.buf.tobytes(), offs), pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(bounds, pa.array(element.view(np.int64), pa.int64()))], ["digest", "shingles"])
 
     return sets
 
@@ -176,12 +184,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """(doc, n, shingles, parts): of each set (doc_id, shingles) its size and what other sets hold of it, too.
+    """(doc, n, shingles, parts): of each set (doc, shingles) its size and what other sets hold of it, too.
 
     Shingles of one document alone can't be in common, so a set of which less than `similarity` is shared has no link
     and is left out.
     """
-    flat = sets.select(F.col("doc_id").alias("doc"), F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    flat = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     common = flat.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
     kept = flat.join(common.hint("merge"), "g").groupBy("doc", "n").agg(F.collect_list("g").alias("shingles"))
     return kept.where(F.size("shingles") >= similarity * F.col("n") - 1e-9).select("doc", "n", "shingles").mapInArrow(_parts, "doc long, n int, shingles array<long>, parts array<int>")
@@ -215,9 +223,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     space, A-Z lower-cased) is at least `similarity`. A shingle weighs 1, and 1 more each time that the number of its
     occurrences doubles, so that repeated lines count but don't drown the rest; unless `counted`, all weigh 1. class_id is the
     smallest doc_id that links reach; kept is doc_id = class_id, one document of each class. copy_of is the smallest
-    doc_id with the same words. A document of fewer than `words` words is one shingle. A null or empty text, or one of
-    white space alone, is in a class of its own; a row with null doc_id has null class_id and is kept. Rows with equal
-    doc_id are one document. An empty table gives no rows; other columns are ignored.
+    doc_id with the same words as the row. A document of fewer than `words` words is one shingle. A null or empty text, or one of
+    white space alone, is in a class of its own, whatever else its doc_id has; a row with null doc_id has null class_id and is kept. Rows with equal
+    doc_id are one document: whatever any of their texts is linked with is in the document's class. An empty table gives no rows; other columns are ignored.
 
     With 24 bands of 6 coordinates two documents of similarity 0.8 share a bucket with probability 0.9993, of 0.5 in a
     third of cases; every proposal is then verified exactly. Equal texts are merged before signatures are compared.
@@ -228,19 +236,28 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(base.mapInArrow(_sign(words, bands, rows, counted), "doc_id long, n_words long, digest binary, bands array<long>"))
-    classes = signed.where("n_words > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    exploded = written(classes.select("doc", F.explode("bands").alias("key")))
+    some = signed.where("n_words > 0 and doc_id is not null")
+    # A text is a node of its own, since one doc_id may have several texts, and one text several doc_ids.
+    texts = some.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("doc", F.monotonically_increasing_id()))
+    exploded = written(texts.select("doc", F.explode("bands").alias("key")))
     shared = exploded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     members = written(exploded.join(shared.hint("merge"), "key"))
 
-    texts = base.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = written(shared_sets(written(texts.mapInArrow(_sets(words, counted), "doc_id long, shingles array<long>")), similarity))
+    named = texts.select("doc", "digest", "copy_of")
+    wanted = written(named.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"))
+    read = base.join(wanted.select(F.col("copy_of").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words, counted), "digest binary, shingles array<long>")
+    read = read.join(wanted.select("digest", "doc").hint("merge"), "digest").groupBy("doc").agg(F.first("shingles").alias("shingles"))
+    sets = written(shared_sets(written(read), similarity))
 
     facts = sets.select("doc", "n", "parts", (F.size("shingles") / F.col("n")).alias("share"))
     state = written(members.join(facts.hint("merge"), "doc").select("key", "doc", "n", "parts", "share"))
     hub = F.max(F.struct("share", (-F.col("doc")).alias("_"), "doc", "n", "parts")).alias("rep")
     hubs = state.groupBy("key").agg(hub, F.count("*").alias("members")).where("members > 1").select("key", "rep")
     links = written(_linked(state.join(hubs.hint("merge"), "key").where((F.col("doc") != F.col("rep.doc")) & _can_link(similarity)), sets, similarity))
+    ids = some.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    ids = some.join(ids.hint("merge"), "doc_id").join(named.hint("merge"), "digest").select("doc_id", "doc").distinct()
+    links = written(links.unionAll(ids.withColumn("a", F.min("doc").over(Window.partitionBy("doc_id"))).where("a < doc").select("a", F.col("doc").alias("b"))))
     components = written(connected_components(links))
 
     of = components.select(F.col("node").alias("doc"), F.col("component").alias("comp"))
@@ -253,8 +270,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     if more.limit(1).count():
         components = written(connected_components(links.unionAll(more)))
 
-    copies = signed.select("doc_id", "n_words", "digest").join(classes.select("digest", "doc").hint("merge"), "digest", "left")
-    copies = copies.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_words") > 0, F.col("doc")).otherwise(F.col("doc_id"))).alias("copy_of"))
-    of = components.select(F.col("node").alias("copy_of"), "component")
-    out = copies.join(of.hint("merge"), "copy_of", "left").select("doc_id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"))
+    classes = named.join(components.select(F.col("node").alias("doc"), "component").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    classes = classes.join(classes.groupBy("component").agg(F.min("copy_of").alias("class_id")).hint("merge"), "component").select("digest", "copy_of", "class_id")
+    out = signed.select("doc_id", "n_words", "digest").join(classes.hint("merge"), "digest", "left")
+    one = lambda c: F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_words") > 0, F.col(c)).otherwise(F.col("doc_id")))
+    out = out.select("doc_id", one("copy_of").alias("copy_of"), one("class_id").alias("class_id"))
     return out.select("doc_id", "copy_of", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))

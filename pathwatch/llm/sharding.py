@@ -12,8 +12,13 @@ BITS, STEP = 60, 12
 
 
 def hash60(key: Column) -> Column:
-    """The first 60 bits of the MD5 of a key's text; of an empty text for null."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    """The first 60 bits of the MD5 of a key's text."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def row_hash(key: str) -> Column:
+    """hash60 of a row's key; rows without one are dealt by their text."""
+    return hash60(F.coalesce(F.col(key).cast("long").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))))
 
 
 def shard_directory(sizes: DataFrame, limit: int) -> DataFrame:
@@ -44,26 +49,36 @@ def shard_directory(sizes: DataFrame, limit: int) -> DataFrame:
     return leaves.select("depth", "prefix", F.when(F.col("depth") == 0, "all").otherwise(bits).alias("shard"), "rows", "bytes")
 
 
-def shard(docs: DataFrame, limit: int = 4 << 20, key: str = "doc_id") -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_bytes, shard, depth, shard_rows, shard_bytes.
-
-    n_bytes counts the text's UTF-8 bytes (null: 0). Every shard holds at most `limit` bytes, unless rows of equal hash,
-    such as repeated rows or one very long text, exceed it alone; such a shard has depth 60 or the single row's depth,
-    and shard_bytes shows it. Null keys hash as an empty text. An empty table gives no rows; other columns are ignored.
-    """
-    rows = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).withColumn("hash", hash60(F.col("doc_id"))))
+def _sharded(docs: DataFrame, limit: int, key: str) -> DataFrame:
+    """shard() with each row's hash."""
+    rows = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), row_hash(key).alias("hash")))
     leaves = written(shard_directory(rows.select("hash", F.col("n_bytes").alias("bytes")), limit))
     depths = [r.depth for r in leaves.select("depth").distinct().collect()]  # at most 61
     at = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in sorted(depths)]) if depths else F.array().cast("array<int>")))
     at = at.withColumn("prefix", F.expr(f"shiftright(hash, {BITS} - depth)"))
-    return at.join(leaves.hint("merge"), ["depth", "prefix"]).select("doc_id", "n_bytes", "shard", "depth", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    return at.join(leaves.hint("merge"), ["depth", "prefix"]).select("doc_id", "n_bytes", "shard", "depth", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "hash")
+
+
+def shard(docs: DataFrame, limit: int = 4 << 20, key: str = "doc_id") -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_bytes, shard, depth, shard_rows, shard_bytes.
+
+    n_bytes counts the text's UTF-8 bytes (null: 0). Every shard holds at most `limit` bytes, unless rows of equal hash
+    exceed it alone: rows of one doc_id, equal texts without one, or one text longer than that. Such a shard has depth 60,
+    and shard_bytes shows it. Rows with null doc_id are dealt by their text. An empty table gives no rows; other columns
+    are ignored.
+    """
+    return _sharded(docs, limit, key).drop("hash")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 4 << 20) -> None:
-    """Write `docs` as one Parquet folder per shard; a shard is written by one task, which `limit` bounds.
+    """Write `docs` as one Parquet folder per shard. A shard that fits `limit` is one file, written by one task; one whose
+    rows have equal hashes, so that it can't be split, is dealt over as many tasks as limits it takes.
 
     Every row is written, those of null doc_id too. A column of `docs` that is called shard is replaced.
     """
-    spread = shard(docs.select("doc_id", "text"), limit).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard")).distinct()
-    placed = docs.join(spread.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    placed.withColumn("shard", F.col("_shard")).drop("_shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    found = _sharded(docs.select("doc_id", "text"), limit, "doc_id")
+    spread = found.groupBy(F.col("hash").alias("_hash")).agg(F.first("shard").alias("_shard"), F.ceil(F.first("shard_bytes") / limit).alias("_tasks"))
+    placed = docs.withColumn("_hash", row_hash("doc_id")).join(spread.hint("merge"), "_hash").withColumn("shard", F.col("_shard"))
+    # Rows are counted through, so that equal ones spread, too.
+    placed = placed.withColumn("_turn", F.pmod(F.monotonically_increasing_id(), F.greatest("_tasks", F.lit(1))))
+    placed.repartition("shard", "_turn").drop("_hash", "_shard", "_tasks", "_turn").write.partitionBy("shard").parquet(path)

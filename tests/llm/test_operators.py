@@ -99,6 +99,39 @@ def test_near_duplicates(spark, corpus, counted):
     assert near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_one_id_on_several_texts_keeps_all_their_links(spark):
+    a, b, c = prose(80, 120), prose(81, 120), prose(82, 120)
+    near = lambda t, k: " ".join(f"z{k}" if j == 60 else w for j, w in enumerate(t.split()))
+    rows = [(5, a), (5, b), (1, near(a, 1)), (2, near(b, 2)), (9, c), (8, c), (7, near(c, 3)), (7, a), (6, None), (6, near(b, 4)), (30, prose(83, 120)), (30, ""), (30, prose(83, 120))]
+    for seed in range(4):
+        turned = random.Random(seed).sample(rows, len(rows))
+        got = near_duplicates(frame(spark, turned)).collect()
+        assert len(got) == len(rows)
+        assert {(r.doc_id, r.class_id) for r in got if r.doc_id not in (6, 30)} == {(i, 1) for i in (5, 1, 2, 9, 8, 7)}
+        assert {(r.class_id, r.kept) for r in got if r.doc_id == 6} == {(1, False), (6, True)}  # the null text is its own class
+        assert {(r.class_id, r.kept) for r in got if r.doc_id == 30} == {(30, True)}
+        assert {r.copy_of for r in got if r.doc_id in (8, 9)} == {8}
+
+
+def test_a_bucket_of_many_components(spark):
+    """Documents that share a band's signature without being linked, in groups that are: no link between any two may be lost."""
+    base = prose(90, 200).split()
+    rows = []
+    for g in range(12):
+        r = random.Random(g)
+        own = [w if r.random() > 0.045 else f"g{g}" for w in base]
+        rows += [(100 * g + k, " ".join(w if random.Random(1000 * g + 10 * k + j).random() > 0.004 else f"k{k}" for j, w in enumerate(own))) for k in range(6)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(frame(spark, rows), bands=60, rows=3).collect()}
+    bags = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in bags}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in bags:
+        for j in bags:
+            if i < j and len(bags[i] & bags[j]) / len(bags[i] | bags[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in bags} and 4 < len(set(got.values())) < len(rows)
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     element = r.integers(0, 2**63, 60).astype(np.uint64)
@@ -241,6 +274,23 @@ def test_shards(spark, corpus, tmp_path):
     assert shard(frame(spark, [])).count() == 0
 
 
+def test_rows_without_an_id_and_repeated_ids_are_split(spark, tmp_path):
+    nulls = frame(spark, [(None, prose(i, 200)) for i in range(20)])
+    got = shard(nulls, 3000).collect()
+    assert len(got) == 20 and max(r.shard_bytes for r in got) <= 3000 and len({r.shard for r in got}) > 5
+    same = frame(spark, [(7, prose(1, 200))] * 20 + [(None, "equal text " * 90)] * 20 + [(8, "long " * 2000), (None, None)])
+    got = {(r.doc_id, r.n_bytes > 5000): r for r in shard(same, 3000).collect()}
+    assert got[7, False].depth == got[8, True].depth == 60 and got[7, False].shard_rows == 20
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small tasks aren't run as one
+    write_shards(same, str(tmp_path / "s"), 3000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(back.select("doc_id", "text").collect()) == Counter(same.select("doc_id", "text").collect())
+    files = back.where("doc_id = 7").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r["count"] for r in files) < 20
+    write_shards(frame(spark, []), str(tmp_path / "none"), 3000)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((300, 24))
