@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
+from heapq import nsmallest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import case_id
 from .rules import is_false, is_true
 
 LOGIN_KINDS = ["vpn_login", "idp_login"]
@@ -15,21 +18,74 @@ WHO = ["organization", "actor"]
 EVIDENCE = 32
 
 
+def _summaries(rule: str, n_keys: int, schema: pa.Schema):
+    """One row for each key from rows sorted by key and id (keys, id, text of the id in JSON, place, at).
+
+    A key's ids go through one SHA-256 as they come, and of their places only the first EVIDENCE are held, so a key's
+    evidence is never in memory as a whole. Rows of equal id are one, at their least place and time.
+    """
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        now, state = None, None
+
+        def end_id() -> None:
+            if state and state["id"] is not None:
+                state["hash"].update((b"," if state["n"] else b"") + state["json"].encode())
+                state["n"] += 1
+                state["first"].append((*state["place"], state["id"]))
+                if len(state["first"]) > 64 * EVIDENCE:
+                    state["first"] = nsmallest(EVIDENCE, state["first"])
+
+        def end_key() -> None:
+            end_id()
+            if state:
+                state["hash"].update(b"]]")
+                shown = [i for _, _, i in nsmallest(EVIDENCE, state["first"])]
+                out.append((*now, state["hash"].hexdigest()[:24], shown, state["n"], state["lo"], state["hi"]))
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(n_keys + 4)]
+            for *key, i, text, place, at in zip(*columns):
+                if key != now:
+                    end_key()
+                    now, state = key, {"hash": hashlib.sha256(f'["{rule}",['.encode()), "n": 0, "id": None, "first": [], "lo": at, "hi": at}
+                if i != state["id"]:
+                    end_id()
+                    state |= {"id": i, "json": text, "place": (place, at)}
+                state["place"] = min(state["place"], (place, at))
+                state["lo"], state["hi"] = min(state["lo"], at), max(state["hi"], at)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out.clear()
+        end_key()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return summarize
+
+
 def case(rows: DataFrame, keys: list[str], rule: str, priority: str) -> DataFrame:
-    """One case per key from evidence rows (keys, id, at, place): distinct ids in order of place and time, the first 32 shown.
+    """One case per key from evidence rows (keys: texts; id, at, place): distinct ids in order of place and time, the first 32 shown.
 
-    The id digests all ids in sorted order.
+    The id digests all ids in sorted order, as case_id() does for an array of them. Rows are sorted by key and id, and each
+    key's ids pass by one at a time: no array of a key's evidence is built, however much there is. Rows without an id or a
+    time are no evidence.
     """
-    rows = rows.groupBy(*keys, "id").agg(F.min(F.struct("place", "at")).alias("p"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    ids = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("e"), F.min("lo").alias("first_at"), F.max("hi").alias("last_at"))
-    return ids.select(
-        case_id(rule, F.col("e.id")).alias("id"),
+    text = F.expr("substring(to_json(array(id)), 2, length(to_json(array(id))) - 2)")
+    rows = rows.where("id is not null and at is not null").select(*keys, "id", text.alias("json"), F.col("place").cast("int").alias("place"), F.col("at").cast("long").alias("at"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
+    named = [(k, pa.string()) for k in keys] + [("id", pa.string()), ("evidence_ids", pa.list_(pa.string())), ("evidence_count", pa.int64()), ("first_at", pa.int64()), ("last_at", pa.int64())]
+    kinds = ", ".join(f"{k} string" for k in keys) + ", id string, evidence_ids array<string>, evidence_count long, first_at long, last_at long"
+    found = rows.mapInArrow(_summaries(rule, len(keys), pa.schema(named)), kinds)
+    return found.select(
+        "id",
         F.lit(rule).alias("rule"),
         F.lit(priority).alias("priority"),
         *WHO,
-        F.slice("e.id", 1, EVIDENCE).alias("evidence_ids"),
-        F.size("e").cast("long").alias("evidence_count"),
-        (F.size("e") > EVIDENCE).alias("evidence_truncated"),
+        "evidence_ids",
+        "evidence_count",
+        (F.col("evidence_count") > EVIDENCE).alias("evidence_truncated"),
         "first_at",
         "last_at",
         *[F.lit(False).alias(c) for c in ("leak_confirmed", "intrusion_confirmed", "automatic_action")],

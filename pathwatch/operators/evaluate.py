@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RuleConfig
@@ -51,18 +51,21 @@ def case_metrics(scored: DataFrame) -> DataFrame:
 def sweep(reads: DataFrame, malicious: DataFrame, thresholds: list[int] | None = None, windows: list[int] | None = None) -> DataFrame:
     """(window_seconds, threshold, alerts, tp, fp) of bulk access for each cell of the grid.
 
-    A peak depends on the window alone, so each window is swept once; thresholds are then filters over its peaks.
+    All windows are counted over one sort of the reads. A peak depends on its window alone, so thresholds are filters over
+    peaks; it is a true alert if the latest labelled read up to it lies in its window.
     """
-    thresholds, out = thresholds or THRESHOLDS, None
+    thresholds, windows = thresholds or THRESHOLDS, windows or WINDOWS
+    labelled = malicious.select(F.col("evidence_id").alias("id")).distinct().withColumn("bad", F.lit(True))
+    counted = rules.window_counts(reads.join(labelled.hint("merge"), "id", "left"), windows, min(thresholds), ["bad"])
+    upto = Window.partitionBy(*rules.GROUP, "slice").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("last_bad", F.max(F.when(F.col("bad"), F.col("at"))).over(upto)).where("slice = own")
+    best = [F.min(F.struct((-F.col(f"n_{w}")).alias("c"), "at", "id", F.coalesce(F.col("last_bad") >= F.col("at") - w, F.lit(False)).alias("tp"))).alias(f"b_{w}") for w in windows]
+    peaks = counted.groupBy(*rules.GROUP).agg(*best)
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("window_seconds"), (-F.col(f"b_{w}.c")).alias("peak"), F.col(f"b_{w}.tp").alias("tp")) for w in windows])).alias("p")
     cells = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    for w in windows or WINDOWS:
-        config = RuleConfig(window_seconds=w, distinct_file_threshold=min(thresholds))
-        found = rules.bulk_access(rules.bulk_windows(reads, config), config)
-        rows = marked(found, malicious).select("id", "tp", "distinct_files", cells).where("distinct_files >= threshold")
-        one = rows.groupBy("threshold").agg(F.count("*").alias("alerts"), F.count_if("tp").alias("tp"))
-        grid = reads.sparkSession.range(1).select(F.lit(w).alias("window_seconds"), cells)
-        one = grid.join(one.hint("merge"), "threshold", "left").select("window_seconds", "threshold", F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("tp", F.lit(0)).alias("tp"))
-        out = one if out is None else out.unionByName(one)
+    found = peaks.select(each).select("p.*", cells).where("peak >= threshold").groupBy("window_seconds", "threshold").agg(F.count("*").alias("alerts"), F.count_if("tp").alias("tp"))
+    grid = reads.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_seconds")).select("window_seconds", cells)
+    out = grid.join(found.hint("merge"), ["window_seconds", "threshold"], "left").select("window_seconds", "threshold", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("alerts", "tp")])
     return out.withColumn("fp", F.col("alerts") - F.col("tp"))
 
 

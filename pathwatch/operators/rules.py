@@ -87,25 +87,44 @@ def identity(logins: DataFrame, config: RuleConfig) -> DataFrame:
 GROUP = ["actor", "session", "asset_id"]
 
 
+#: A group is swept in slices of time of so many windows each, so that no task needs a whole group.
+SLICE = 16
+
+
+def window_counts(reads: DataFrame, windows: list[int], threshold: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """Each read of a complete group with n_<window>: how many distinct files its group's trailing window holds, for each of `windows`.
+
+    A window reaches back so many seconds, both ends included. A read adds a file unless the same file was read within
+    the window before it, and a file leaves when no later read renews it; counts are running sums of these steps, for all
+    windows over one sort and without sets. Time is cut into slices, and a slice also gets the reads of the widest window
+    before it, which is all that its counts depend on: a group of many reads is many tasks. Slices of fewer files than
+    `threshold` are dropped. `keep` names further columns, and rows come with `slice` for windows over them.
+    """
+    widest = max(windows)
+    length = SLICE * max(widest, 1)
+    own = F.floor(F.col("at") / length)
+    near_end = F.col("at") + widest >= (own + 1) * length
+    rows = reads.where(" and ".join(f"{c} is not null" for c in GROUP)).select(*GROUP, "file_id", "at", "id", *(keep or []), own.alias("own"), F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))).alias("slice"))
+    group = [*GROUP, "slice"]
+    by_file, whole = Window.partitionBy(*group, "file_id").orderBy("at", "id"), Window.partitionBy(*group)
+    rows = rows.repartition(*group).withColumn("before", F.lag("at").over(by_file)).withColumn("after", F.lead("at").over(by_file))
+    rows = rows.withColumn("files", F.count_if(F.col("before").isNull()).over(whole)).where(F.col("files") >= threshold)
+    upto = whole.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    enters = {w: F.count_if(F.col("before").isNull() | (F.col("at") - F.col("before") > w)).over(upto) for w in windows}
+    gone = {w: F.count_if(F.col("after").isNull() | (F.col("after") - F.col("at") > w)).over(whole.orderBy("at").rangeBetween(Window.unboundedPreceding, -w - 1)) for w in windows}
+    rows = rows.select("*", *[c.alias(f"n_{w}") for w, c in enters.items()])
+    rows = rows.select(*[c for c in rows.columns if not c.startswith("n_")], *[(F.col(f"n_{w}") - c).alias(f"n_{w}") for w, c in gone.items()])
+    return rows.drop("before", "after", "files")
+
+
 def window_peaks(reads: DataFrame, window_seconds: int, threshold: int = 1) -> DataFrame:
     """(actor, session, asset_id, peak_at, peak_id, peak): the first read at which the trailing window holds the most files.
 
-    The window reaches back `window_seconds`, both ends included, and counts distinct files. A read adds a file unless
-    the same file was read within the window before it, and a file leaves when no later read renews it; a running sum of
-    these steps is the exact count, in one sort of each group and no sets. Groups of fewer files than `threshold` are
-    dropped before, which no peak can miss.
+    Peaks of slices are merged by their maximum; reads with null keys belong to no group.
     """
-    enough = reads.groupBy(*GROUP).agg(F.count_distinct("file_id").alias("files")).where(F.col("files") >= threshold).drop("files")
-    reads = reads.join(enough, GROUP, "left_semi").select(*GROUP, "file_id", "at", "id")
-    by_file = Window.partitionBy(*GROUP, "file_id").orderBy("at", "id")
-    before, after = F.lag("at").over(by_file), F.lead("at").over(by_file)
-    steps = reads.select(*GROUP, "at", "id", F.when(before.isNull() | (F.col("at") - before > window_seconds), 1).otherwise(0).alias("enter"), (after.isNull() | (after - F.col("at") > window_seconds)).alias("leaves"))
-    here = F.struct(F.col("at"), F.lit(0).alias("turn"), F.col("enter").alias("step"))
-    gone = F.struct((F.col("at") + window_seconds).alias("at"), F.lit(1).alias("turn"), F.lit(-1).alias("step"))
-    steps = steps.select(*GROUP, "id", F.explode(F.when(F.col("leaves"), F.array(here, gone)).otherwise(F.array(here))).alias("s")).select(*GROUP, "id", "s.*")
-    running = F.sum("step").over(Window.partitionBy(*GROUP).orderBy("at", "turn", "id").rowsBetween(Window.unboundedPreceding, 0))
-    best = F.min(F.struct((-F.col("count")).alias("c"), "at", "id")).alias("b")
-    peaks = steps.withColumn("count", running).where("turn = 0").groupBy(*GROUP).agg(best)
+    counted = window_counts(reads, [window_seconds], threshold).where("slice = own")
+    best = F.min(F.struct((-F.col(f"n_{window_seconds}")).alias("c"), "at", "id")).alias("b")
+    peaks = counted.groupBy(*GROUP).agg(best)
     return peaks.select(*GROUP, F.col("b.at").alias("peak_at"), F.col("b.id").alias("peak_id"), (-F.col("b.c")).cast("long").alias("peak")).where(F.col("peak") >= threshold)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import threading
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -20,7 +21,7 @@ from ..streaming import streams
 from . import adapters as t
 from . import landing
 from .imports import KEY, hmac_sql, pick
-from .registry import _BULK, _EVL, _JOURNAL, _PERSONAL_RE, _POSTURE, _PREFLIGHT, _SECRET_RE, _SWEEP, CONFIG, _journal, _posture, _scored, _sweep, joined, query, table
+from .registry import _BULK, _EVL, _JOURNAL, _PERSONAL_RE, _POSTURE, _PREFLIGHT, _SECRET_RE, _STALE, _SWEEP, CONFIG, _journal, _posture, _scored, _sweep, joined, query, table
 
 _CONFIDENTIAL_RE = s.CONFIDENTIAL
 _INJECTION_RE = s.INJECTION
@@ -526,8 +527,8 @@ def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(_drained(found).select("rule", "source", "actor", "evidence_ids"))
 
 
-@query("str05_identity_on_arrival", t.with_tables("logins", sql="SELECT actor, gateway_id, at, id AS evidence_ids FROM logins WHERE success AND privileged IS TRUE AND (device_trusted IS FALSE OR approved IS FALSE)"))
-def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("det03_on_arrival", t.with_tables("logins", sql="SELECT actor, gateway_id, at, id AS evidence_ids FROM logins WHERE success AND privileged IS TRUE AND (device_trusted IS FALSE OR approved IS FALSE)"))
+def det03_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query whose failures are counted by kind; none may have ended it."""
     watcher = streams.Failures()
     spark.streams.addListener(watcher)
@@ -551,10 +552,44 @@ def _with_state(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
         spark.conf.set(_ROCKS[0], old) if old else spark.conf.unset(_ROCKS[0])
 
 
-@query("str06_bulk_access_with_state", t.with_tables("reads", more=_BULK, sql="SELECT actor, session, asset_id, n AS distinct_files FROM peaks"))
-def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("det04_with_state", t.with_tables("reads", more=_BULK, sql="SELECT actor, session, asset_id, n AS distinct_files FROM peaks"))
+def det04_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run() -> DataFrame:
         found = streams.bulk_access(_stream(t.file_access(spark, sf_dir)), CONFIG, "40 days")
         return _drained(found, "update").groupBy("actor", "session", "asset_id").agg(F.max("distinct_files").alias("distinct_files"))
 
     return _with_state(spark, run)
+
+
+@query("str05_supervised_polling", t.with_tables("reads", sql="SELECT 'ingested' AS what, count(*) AS n FROM reads UNION ALL SELECT 'poll_failed ValueError', 2"))
+def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that fails twice: both failures are journal rows, and the third poll reads what they left."""
+    source, path, stop, turns = landing.folder(spark), landing.folder(spark), threading.Event(), []
+    t.file_access(spark, sf_dir).write.json(source)
+
+    def store(df: DataFrame, to: str) -> None:
+        turns.append(1)
+        if len(turns) < 3:
+            raise ValueError("token=secret must not be kept")
+        streams.ingest(df, to)
+        stop.set()
+
+    streams.keep_watching(spark, source, _READ_SCHEMA, path, f"{path}_state", f"{path}_journal", 0.01, stop, store)
+    failed = spark.read.schema("action string, error_type string").parquet(f"{path}_journal")
+    failed = failed.groupBy(F.concat_ws(" ", "action", "error_type").alias("what")).agg(F.count("*").alias("n"))
+    return streams.ingested(spark, path, "id string").agg(F.lit("ingested").alias("what"), F.count("*").alias("n")).unionAll(failed)
+
+
+@query("str06_silent_sources", _STALE)
+def str06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What det21 finds in batch, from event-time timers that one tick drives."""
+    nation = table(spark, sf_dir, "nation")
+    expected = nation.select(F.concat(F.lit("src"), (F.col("n_nationkey") % 8).cast("string")).alias("source"), F.lit(t.NOW).cast("long").alias("at")).distinct()
+    tick = nation.limit(1).select(F.lit(t.NOW).cast("long").alias("at"))
+
+    def run() -> DataFrame:
+        found = streams.silent_sources(_stream(t.control_events(spark, sf_dir).select("source", "at")), _stream(expected), _stream(tick))
+        last = _drained(found, "update").groupBy("source").agg(F.max_by(F.struct("state", "last_seen"), F.struct("at", "state")).alias("x"))
+        return last.where("x.state = 'silent'").select("source", "x.last_seen")
+
+    return _with_state(spark, run)

@@ -260,7 +260,10 @@ def det13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(correlate.baseline_deviation(t.control_events(spark, sf_dir), _baselines(spark, sf_dir), t.NOW))
 
 
-@query("det21_stale_sources", t.with_tables("control", sql=f"SELECT x.source, coalesce(max(c.at), 0) AS last_seen FROM (SELECT DISTINCT concat('src', CAST(n_nationkey % 8 AS VARCHAR)) AS source FROM nation) x LEFT JOIN control c ON c.source = x.source GROUP BY x.source HAVING {t.NOW} - coalesce(max(c.at), 0) > 300"))
+_STALE = t.with_tables("control", sql=f"SELECT x.source, coalesce(max(c.at), 0) AS last_seen FROM (SELECT DISTINCT concat('src', CAST(n_nationkey % 8 AS VARCHAR)) AS source FROM nation) x LEFT JOIN control c ON c.source = x.source GROUP BY x.source HAVING {t.NOW} - coalesce(max(c.at), 0) > 300")
+
+
+@query("det21_stale_sources", _STALE)
 def det21(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), (F.col("n_nationkey") % 8).cast("string")).alias("source"))
     return correlate.stale_sources(t.control_events(spark, sf_dir), expected, t.NOW)

@@ -1,16 +1,22 @@
-"""The detections on streams: ingest with duplicates and conflicts, rules on arrival, bulk access with state, silence."""
+"""The detections on streams: ingest with duplicates and conflicts, supervised polls, rules on arrival, bulk access with state, silence."""
 
 from __future__ import annotations
 
-from collections import Counter, deque
-from collections.abc import Iterator
+import builtins
+import re
+import threading
+import time
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..config import RuleConfig
 from ..operators import clean, posture, rules
@@ -108,25 +114,22 @@ class BulkWindows(StatefulProcessor):
         self.reads = handle.getListState("reads", _READ)
         self.best = handle.getValueState("best", _PEAK)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        new = sorted((int(at), i, f) for frame in rows for at, i, f in zip(frame["at"], frame["id"], frame["file_id"]))
-        held = sorted((r[0], r[1], r[2]) for r in self.reads.get())
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(at), i, f) for frame in rows for at, i, f in zip(frame["at"], frame["id"], frame["file_id"])]
+        reads = pd.DataFrame([*new, *((r[0], r[1], r[2]) for r in self.reads.get())], columns=["at", "id", "file"]).sort_values(["at", "id"], ignore_index=True)
         best = self.best.get()
-        peak = before = best[0] if best else 0
-        peak_at, window, files = None, deque(), Counter()
-        for at, i, f in sorted(held + new):
-            window.append((at, i, f))
-            files[f] += 1
-            while at - window[0][0] > self.window:
-                old = window.popleft()[2]
-                files[old] -= 1
-                if not files[old]:
-                    del files[old]
-            if len(files) > peak:
-                peak, peak_at = len(files), at
-        last = max(window[-1][0], best[1] if best else 0)
+        before = best[0] if best else 0
+        # As in rules.window_counts(): a file enters where it wasn't read within the window, and leaves when no read renews it.
+        same = reads.groupby("file", dropna=False)["at"]
+        enters = ~(reads["at"] - same.shift(1) <= self.window)
+        leaves = np.sort(reads["at"][~(same.shift(-1) - reads["at"] <= self.window)].to_numpy() + self.window)
+        counts = enters.cumsum().to_numpy() - np.searchsorted(leaves, reads["at"].to_numpy(), "left")
+        top = int(counts.argmax())
+        peak, peak_at = (int(counts[top]), int(reads["at"][top])) if counts[top] > before else (before, None)
+        last = max(int(reads["at"].iloc[-1]), best[1] if best else 0)
         # A late row may fall in windows that end up to a window before the newest read.
-        self.reads.put([r for r in sorted(held + new) if r[0] >= last - 2 * self.window])
+        kept = reads[reads["at"] >= last - 2 * self.window]
+        self.reads.put([(int(at), i, f) for at, i, f in kept.itertuples(index=False)])
         self.best.update((peak, last))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
@@ -135,7 +138,7 @@ class BulkWindows(StatefulProcessor):
             state = "open" if before < self.threshold else "update"
             yield pd.DataFrame({"actor": [key[0]], "session": [key[1]], "asset_id": [key[2]], "state": [state], "distinct_files": [peak], "at": [peak_at]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         best = self.best.get()
         self.reads.clear()
         self.best.clear()
@@ -161,29 +164,97 @@ def correlate(logins: DataFrame, crossings: DataFrame, lookback: int, lateness:
 
 
 class Silence(StatefulProcessor):
-    """Emits a source once it has been silent for `after` seconds of processing time."""
+    """Tells when a source falls silent and when it resumes, by event time, so that the same input gives the same rows.
+
+    Rows are of kind event, expected (a source that must be seen, whenever that was said) or tick. A source is silent once
+    a later event of its own or the watermark is more than `after` seconds past its last event; ticks move the watermark
+    when nothing else comes.
+    """
 
     def __init__(self, after: int):
         self.after = after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("at", LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        at = max(int(frame["at"].max()) for frame in rows)
-        held = self.last.get()
-        self.last.update((max(at, held[0] if held else at),))
+        self.last = handle.getValueState("last", StructType([StructField("at", LongType()), StructField("silent", BooleanType())]))
+
+    def _row(self, source: str, last: int, state: str, at: int) -> pd.DataFrame:
+        return pd.DataFrame({"source": [source], "last_seen": [last], "state": [state], "at": [at]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        last, silent = self.last.get() or (0, False)
+        out = []
+        for at in sorted({int(at) for frame in rows for at in frame["at"][frame["kind"] == "event"] if at > last}):
+            if last and not silent and at - last > self.after:  # the gap lies between rows of this batch
+                out.append(self._row(key[0], last, "silent", last + self.after))
+                silent = True
+            if silent:
+                out.append(self._row(key[0], at, "resumed", at))
+            last, silent = at, False
+        self.last.update((last, silent))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.after * 1000)
-        return iter(())
+        if not silent:
+            self.handle.registerTimer((last + self.after) * 1000 + 1)
+        yield from out
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"source": [key[0]], "last_seen": [self.last.get()[0]]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.update((last, True))
+        yield self._row(key[0], last, "silent", last + self.after)
 
     def close(self) -> None: ...
 
 
-def silent_sources(events: DataFrame, after: int = 300) -> DataFrame:
-    return events.select("source", "at").groupBy("source").transformWithStateInPandas(Silence(after), "source string, last_seen long", "Update", "ProcessingTime")
+def silent_sources(events: DataFrame, expected: DataFrame, ticks: DataFrame, after: int = 300, lateness: str = "0 seconds") -> DataFrame:
+    """(source, last_seen, state, at) in update mode: sources that fall silent or resume; last_seen is 0 if never seen.
+
+    events: (source, at); expected: (source, at: when it was said); ticks: (at). All are streams; an event later than
+    `lateness` behind the newest row is late. Needs the RocksDB state store.
+    """
+    rows = events.select("source", "at", F.lit("event").alias("kind")).where("source is not null")
+    rows = rows.unionByName(expected.select("source", "at", F.lit("expected").alias("kind")))
+    rows = rows.unionByName(ticks.select(F.lit(None).cast("string").alias("source"), "at", F.lit("tick").alias("kind")))
+    return timed(rows, lateness).groupBy("source").transformWithStateInPandas(Silence(after), "source string, last_seen long, state string, at long", "Update", "EventTime")
+
+
+_BUILT_IN_ERROR = re.compile(r"^(?:\w+\.)*([A-Z]\w*)(?::|$)", re.MULTILINE)
+
+
+def failure_kind(error: BaseException) -> str:
+    """The kind of an error, never its text: the Python class that ended a query's own function, else Spark's condition or the class."""
+    if isinstance(error, PySparkException):
+        named = [n for n in _BUILT_IN_ERROR.findall(str(error)) if isinstance(getattr(builtins, n, None), type) and issubclass(getattr(builtins, n), BaseException)]
+        return named[-1] if named else error.getCondition() or type(error).__name__
+    return type(error).__name__
+
+
+def record_failure(spark: SparkSession, path: str, kind: str) -> None:
+    """A row (action, error_type, at) in the journal of polls at `path`."""
+    rows = spark.createDataFrame([("poll_failed", kind, int(time.time()))], "action string, error_type string, at long")
+    rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def supervised(poll: Callable[[], None], record: Callable[[str], None], interval: float = 60.0, stop: threading.Event | None = None, longest: float = 3600.0) -> None:
+    """Poll until `stop` is set. A failure is recorded by its kind alone and doubles the pause, up to `longest`; a success resets it."""
+    stop, pause = stop or threading.Event(), interval
+    while not stop.is_set():
+        try:
+            poll()
+            pause = interval
+        except Exception as error:  # whatever it is, polling goes on
+            record(failure_kind(error))
+            pause = min(2 * pause, longest)
+        stop.wait(pause)
+
+
+def keep_watching(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, journal: str, interval: float = 60.0, stop: threading.Event | None = None, store: Callable[[DataFrame, str], None] = ingest) -> None:
+    """watch() as polls under supervision. Each poll takes up at the checkpoint, so what a failed one left is read again."""
+
+    def poll() -> None:
+        stream = spark.readStream.schema(schema).json(source)
+        stream.writeStream.foreachBatch(lambda df, _: store(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    supervised(poll, lambda kind: record_failure(spark, journal, kind), interval, stop)

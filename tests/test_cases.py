@@ -1,12 +1,14 @@
 import hashlib
 import hmac
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from pathwatch.config import RuleConfig
+from pathwatch.functions import scalars as s
 from pathwatch.operators import audit, content, correlate, documents, evaluate, posture
 from pathwatch.schemas import ADVISORIES, AUDIT, BASELINES, CONTROL_EVENTS, CONTROLS, DLP, GRANTS, INVENTORY, MANIFEST, REQUESTS
 from pathwatch.sources import sinks
@@ -196,3 +198,24 @@ def test_negative_only_evaluation(spark, tmp_path):
     assert "nothing is recommended" in evaluate.observations(total, evaluate.recommendation(cells, 2))[-1]
     assert sinks.write_rules(best, RuleConfig(), str(tmp_path / "rules")).distinct_file_threshold == 200
     assert "| 600 | 200 |" in sinks.markdown(total, scored, cells)
+
+
+def test_cases_of_much_evidence(spark):
+    """A million ids of one actor give the id that an array of them would, the first 32 of them, and one row."""
+    n = 1_000_000
+    ids = F.concat(F.lit('e"ü/'), F.col("id").cast("string"))
+    rows = spark.range(0, n, 1, 8).select(F.lit("o").alias("organization"), F.lit("a").alias("actor"), ids.alias("id"), (F.lit(n) - F.col("id")).alias("at"), (F.col("id") % 2).cast("int").alias("place"))
+    got = correlate.case(rows.unionAll(rows.where("at < 100").withColumn("at", F.col("at") + 5)), ["organization", "actor"], "AN-X", "P1").collect()
+    text = "[" + ",".join(sorted((json.dumps(f'e"ü/{i}', ensure_ascii=False) for i in range(n)), key=lambda x: json.loads(x).encode())) + "]"
+    assert len(got) == 1 and got[0].id == hashlib.sha256(f'["AN-X",{text}]'.encode()).hexdigest()[:24]
+    assert (got[0].evidence_count, got[0].evidence_truncated, got[0].first_at, got[0].last_at) == (n, True, 1, n)
+    assert got[0].evidence_ids == [f'e"ü/{i}' for i in range(n - 2, n - 66, -2)]
+
+
+def test_cases_have_the_ids_of_arrays(spark):
+    rows = spark.createDataFrame([("o", "a", i, at, p) for i, at, p in [("b", 2, 0), ("a", 3, 0), ("b", 1, 1), ("c\n\u2028\t/", 9, 0)]] + [("o", "b", "x", 1, 0), ("o", None, "x", 1, 0), ("o", "b", None, 1, 0)], "organization string, actor string, id string, at long, place int")
+    got = {r.actor: r for r in correlate.case(rows, ["organization", "actor"], "AN-X", "P1").collect()}
+    want = spark.range(1).select(s.case_id("AN-X", F.array(F.lit("b"), F.lit("c\n\u2028\t/"), F.lit("a"))).alias("x")).first().x
+    assert got["a"].id == want and got["a"].evidence_ids == ["b", "a", "c\n\u2028\t/"] and (got["a"].first_at, got["a"].last_at) == (1, 9)
+    assert set(got) == {"a", "b", None} and got["b"].evidence_count == 1
+    assert correlate.case(rows.limit(0), ["organization", "actor"], "AN-X", "P1").count() == 0

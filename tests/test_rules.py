@@ -103,3 +103,23 @@ def test_latest_login_ties_take_the_least_id(spark):
     l = logins(spark, [("b", 90, "a", "s", "g", True, None, None, None), ("a", 90, "a", "s", "g", True, None, None, None), ("c", 101, "a", "s", "g", True, None, None, None)])
     assert rules.latest_login(windows, l, 60).select("login_id").first()[0] == "a"
     assert rules.latest_login(windows, l.where(F.lit(False)), 60).count() == 0
+
+
+@pytest.mark.parametrize("windows", [[60], [0, 7, 200]])
+def test_window_counts_of_a_hot_group_in_slices(spark, windows):
+    """One group with most rows over many slices, ties in time and rows at slice borders, against sets."""
+    r = random.Random(9)
+    rows = [(f"r{i:04}", r.choice([r.randrange(9000), 16 * max(windows) * r.randrange(5)]), "a" if r.random() < 0.9 else "b", "s", "x", f"f{r.randrange(30)}") for i in range(900)]
+    df = spark.createDataFrame([*rows, ("n", 5, None, "s", "x", "f1")], "id string, at long, actor string, session string, asset_id string, file_id string")
+    got = rules.window_counts(df, windows).where("slice = own").collect()
+    assert len(got) == len(rows)
+    at = {}
+    for w in windows:
+        for i, t, actor, *_ in rows:
+            at[i, w] = len({f for j, u, a, _, _, f in rows if a == actor and t - w <= u and (u, j) <= (t, i)})
+    assert {(x.id, w): x[f"n_{w}"] for x in got for w in windows} == at
+    best = {a: min(((-at[i, windows[-1]], t, i) for i, t, b, *_ in rows if b == a)) for a in ("a", "b")}
+    peaks = rules.window_peaks(df, windows[-1], 2).collect()
+    assert {(p.actor, -p.peak, p.peak_at, p.peak_id) for p in peaks} == {(a, *b) for a, b in best.items() if -b[0] >= 2}
+    tasks = rules.window_counts(df, windows).where("actor = 'a'").select("slice").distinct().count()
+    assert tasks > 2
