@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,79}$"
 CONTROL_IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,95}$"
@@ -151,6 +152,16 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
+@F.pandas_udf(StringType())
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.str.casefold()
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding, in which a sharp s is ss. ASCII needs no Python."""
+    return F.coalesce(_casefold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), F.lower(c))
+
+
 #: Patterns of content that must not leave.
 SECRET = r"""-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|(?i:\b(?:api[_-]?key|password|secret|access[_-]?token)\s*[:=]\s*["']?[^\s"']{8,})"""
 PERSONAL = r"""(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,10}|(?<!\d)0[789]0[- ]?\d{4}[- ]?\d{4}(?!\d)"""
@@ -159,6 +170,28 @@ INJECTION = r"(?is:ignore.{0,60}(?:previous|system).{0,30}instructions|システ
 ACTIVE = r"(?i:vbaproject|activex|macrosheets|embeddings/)"
 
 
+def _holds(c: Column, *texts: str) -> Column:
+    return reduce(Column.__or__, [F.contains(c, F.lit(t)) for t in texts])
+
+
+def may_match(c: Column, pattern: str) -> Column:
+    """Whether a text has what the fixed pattern can't match without: plain searches, so that few texts meet the expression."""
+    if pattern == SECRET:
+        low = F.lower(c)
+        named = _holds(low, "password", "secret", "api") | (F.contains(low, F.lit("access")) & F.contains(low, F.lit("token")))
+        return _holds(c, "PRIVATE KEY-----", "AKIA", *[f"gh{x}_" for x in "pousr"]) | (_holds(c, ":", "=") & named)
+    if pattern == PERSONAL:
+        return _holds(c, "@", "070", "080", "090")
+    if pattern == INJECTION:
+        return _holds(F.lower(c), "ignore", "システム", "これまでの指示を無視")
+    return F.lit(True)
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """c.rlike(pattern) for a fixed pattern, which only texts that may match meet; null for null."""
+    return may_match(c, pattern) & c.rlike(pattern)
+
+
 def strict_url(url: Column) -> Column:
     """Whether a URL is in the allow-form: https, ASCII, dotted small-letter host, no port but 443, no dot segments."""
     shape = url.rlike(r"^https://[a-z0-9-]+(\.[a-z0-9-]+)+(:443)?(/[\x21-\x7E]*)?$")
@@ -180,31 +213,45 @@ def endpoint_label(url: Column, hosts: list[str] | None = None, path: str = r"(?
 LEAF_BUDGET, LEAF_DEPTH = 262_144, 12
 
 
-def _leaves(value: object, depth: int, out: list[str]) -> None:
+def _leaves(value: object, depth: int, out: list[str]) -> bool:
+    """Gather the strings below `value`; whether all of them were reached."""
     if isinstance(value, str):
         out.append(value)
-    elif isinstance(value, (list, dict)) and depth < LEAF_DEPTH:
-        for x in value if isinstance(value, list) else value.values():
-            _leaves(x, depth + 1, out)
+    elif isinstance(value, (list, dict)):
+        inner = value if isinstance(value, list) else list(value.values())
+        if depth >= LEAF_DEPTH:
+            return not inner
+        return all([_leaves(x, depth + 1, out) for x in inner])
+    return True
 
 
-@F.pandas_udf(StringType())
-def leaf_strings(bodies: pd.Series) -> pd.Series:
-    """All strings in a JSON body, one a line; another text as it is; null stays null, which is not clean but unread."""
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("cut", BooleanType())]))
+def leaves(bodies: pd.Series) -> pd.DataFrame:
+    """(text, cut): all strings in a JSON body, one a line, another text as it is, and whether anything was left out.
+
+    A null body has null text, which is not clean but unread. What lies deeper or further than is looked at is cut, which
+    is never clean either.
+    """
     import json
 
-    def one(body: str | None) -> str | None:
+    def one(body: str | None) -> tuple[str | None, bool]:
         if body is None:
-            return None
+            return None, False
         try:
             value = json.loads(body)
-        except ValueError:
-            return body[:LEAF_BUDGET]
+        except (ValueError, RecursionError):
+            return body[:LEAF_BUDGET], len(body) > LEAF_BUDGET
         found: list[str] = []
-        _leaves(value, 0, found)
-        return "\n".join(found)[:LEAF_BUDGET]
+        whole = _leaves(value, 0, found)
+        text = "\n".join(found)
+        return text[:LEAF_BUDGET], not whole or len(text) > LEAF_BUDGET
+
+    return pd.DataFrame([one(b if isinstance(b, str) else None) for b in bodies], columns=["text", "cut"])
+
 
-    return bodies.map(one, na_action=None).astype(object).where(bodies.notna(), None)
+def leaf_strings(bodies: Column) -> Column:
+    """The text of leaves()."""
+    return leaves(bodies)["text"]
 
 
 def explanation(reasons: Column, evidence: Column) -> Column:

@@ -24,12 +24,18 @@ RULES = {
 }
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows with `_repeated`: whether their event_id comes more than once. Only ids are counted, so texts aren't sorted with them."""
+    again = rows.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").select("event_id", F.lit(True).alias("_again"))
+    return rows.join(again.hint("merge"), "event_id", "left").withColumn("_repeated", F.coalesce("_again", F.lit(False))).drop("_again")
+
+
 def request_problems(requests: DataFrame) -> DataFrame:
     """Requests with the array `problems` of what is wrong with each."""
     bad = lambda c: ~F.coalesce(c, F.lit(False))
     agent = F.startswith("action", F.lit("agent."))
-    repeated = F.count("*").over(Window.partitionBy("event_id")) > 1
-    return requests.withColumn("problems", reasons((bad(F.col("event_id").rlike(r"^EV-[0-9]{1,12}$")), "bad_event_id"), (repeated, "repeated_event_id"), (bad(F.col("action").isin(ACTIONS)), "bad_action"), (bad(F.col("data_class").isin(DATA_CLASSES)), "bad_data_class"), (bad(F.octet_length("text") <= TEXT_BYTES), "text_too_long"), (agent != F.col("tool").isNotNull(), "tool_only_for_agents")))
+    rows = _repeated(requests)
+    return rows.withColumn("problems", reasons((bad(F.col("event_id").rlike(r"^EV-[0-9]{1,12}$")), "bad_event_id"), (F.col("_repeated"), "repeated_event_id"), (bad(F.col("action").isin(ACTIONS)), "bad_action"), (bad(F.col("data_class").isin(DATA_CLASSES)), "bad_data_class"), (bad(F.octet_length("text") <= TEXT_BYTES), "text_too_long"), (agent != F.col("tool").isNotNull(), "tool_only_for_agents"))).select(*requests.columns, "problems")
 
 
 def grant_problems(grants: DataFrame) -> DataFrame:
@@ -57,8 +63,8 @@ def preflight(requests: DataFrame, grants: DataFrame) -> DataFrame:
         "PG-007": ~human & F.col("granted").isNotNull() & cls.isin("public", "internal") & ~covered,
         "PG-002": cls.isin("confidential", "restricted"),
         "PG-004": cls == "unknown",
-        "PG-003": F.col("_text").rlike(s.SECRET),
-        "PG-006": F.col("_text").rlike(s.PERSONAL),
+        "PG-003": s.matches(F.col("_text"), s.SECRET),
+        "PG-006": s.matches(F.col("_text"), s.PERSONAL),
     }
     df = df.withColumn("rule_ids", reasons(*[(c, k) for k, c in tests.items()]))
     blocking = F.array(*[F.lit(k) for k, (_, blocks) in RULES.items() if blocks])
@@ -68,8 +74,7 @@ def preflight(requests: DataFrame, grants: DataFrame) -> DataFrame:
 
 def replay(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """preflight() over past requests, whose execution isn't known; a repeated id is an error."""
-    once = F.count("*").over(Window.partitionBy("event_id")) == 1
-    checked = requests.withColumn("event_id", F.when(once, F.col("event_id")).otherwise(F.raise_error(F.lit("an event id comes twice"))))
+    checked = _repeated(requests).withColumn("event_id", F.when(~F.col("_repeated"), F.col("event_id")).otherwise(F.raise_error(F.lit("an event id comes twice")))).select(*requests.columns)
     return preflight(checked, grants).withColumn("state", F.lit("historical_execution_unknown"))
 
 
@@ -86,15 +91,16 @@ def decision_findings(decisions: DataFrame) -> DataFrame:
     return rows.select(s.finding_id("PREFLIGHT", F.array("event_id")).alias("id"), F.lit("PREFLIGHT").alias("rule"), F.when(F.col("decision") == "block", "P1").otherwise("P2").alias("priority"), F.col("rule_ids").alias("reasons"), F.array("event_id").alias("evidence_ids"), F.lit("preflight").alias("kind"))
 
 
-def verdict(text: Column) -> Column:
-    """block for a secret, review for personal data, else no_findings; unread for null, which is never clean."""
-    return F.when(text.isNull(), "unread").when(text.rlike(s.SECRET), "block").when(text.rlike(s.PERSONAL), "review").otherwise("no_findings")
+def verdict(text: Column, cut: Column | None = None) -> Column:
+    """block for a secret, review for personal data or a text that was `cut`, else no_findings; unread for null, which is never clean."""
+    found = s.matches(text, s.PERSONAL) if cut is None else s.matches(text, s.PERSONAL) | F.coalesce(cut, F.lit(True))
+    return F.when(text.isNull(), "unread").when(s.matches(text, s.SECRET), "block").when(found, "review").otherwise("no_findings")
 
 
-def inspect_texts(texts: DataFrame, column: str = "text", normalize: bool = True) -> DataFrame:
-    """Rows with their `verdict`; texts are NFKC-normalized first unless told not to."""
+def inspect_texts(texts: DataFrame, column: str = "text", normalize: bool = True, cut: str | None = None) -> DataFrame:
+    """Rows with their `verdict`; texts are NFKC-normalized first unless told not to. `cut` names a flag of what was left out of a text."""
     c = s.nfkc(F.col(column)) if normalize else F.col(column)
-    return texts.withColumn("verdict", verdict(c))
+    return texts.withColumn("_text", c).withColumn("verdict", verdict(F.col("_text"), F.col(cut) if cut else None)).drop("_text")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -121,12 +127,14 @@ def measure(cases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def prompt_traffic(traffic: DataFrame, hosts: list[str] | None = None) -> DataFrame:
     """Requests (url, method, body) that may carry prompts: a listed host, a method with a body, and 40 characters of text.
 
-    `text` is null for a body without text: it can't be inspected, which isn't clean.
+    `text` is null for a body without text: it can't be inspected, which isn't clean. `cut` tells that some was left out,
+    and such a body counts whatever the length of the rest.
     """
     host = F.try_parse_url("url", F.lit("HOST"))
     rows = traffic.where(F.coalesce(host.isin(hosts or s.KNOWN_HOSTS), F.lit(False)) & F.upper("method").isin("POST", "PUT", "PATCH"))
-    rows = rows.withColumn("text", s.leaf_strings(F.col("body"))).withColumn("endpoint", s.endpoint_label(F.col("url"), hosts))
-    return rows.where(F.col("text").isNull() | (F.length(F.trim("text")) >= 40))
+    rows = rows.withColumn("_leaves", s.leaves(F.col("body"))).withColumn("endpoint", s.endpoint_label(F.col("url"), hosts))
+    rows = rows.withColumn("text", F.col("_leaves.text")).withColumn("cut", F.col("_leaves.cut")).drop("_leaves")
+    return rows.where(F.col("text").isNull() | F.col("cut") | (F.length(F.trim("text")) >= 40))
 
 
 def traffic_decision(outcome: Column, inspectable: Column, rules: Column) -> tuple[Column, Column, Column]:

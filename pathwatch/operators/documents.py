@@ -220,7 +220,7 @@ def _hits(parts: DataFrame) -> DataFrame:
     on = lambda *names: is_("element") & F.col("name").isin(*names)
     media = F.col("text").contains("/media/")
     hidden = on("sheet", "row", "col") & (F.coalesce(F.col("_a.state").isin("hidden", "veryHidden"), F.lit(False)) | F.coalesce(F.col("_a.hidden").isin("1", "true"), F.lit(False)))
-    hits = [_hit(rule, level, F.regexp_count("_t", F.lit(p))) for rule, level, p in TEXT_RULES]
+    hits = [_hit(rule, level, F.when(s.may_match(F.col("_t"), p), F.regexp_count("_t", F.lit(p)))) for rule, level, p in TEXT_RULES]
     hits += [
         _hit("DOC-ACTIVE-CONTENT", "block", _one(entry & F.col("text").rlike(s.ACTIVE)) + _one(is_("attribute") & (F.col("name") == "Override") & F.col("text").rlike(MACRO))),
         _hit("DOC-IMAGE-UNINSPECTED", "review", _one(entry & media)),
@@ -322,7 +322,7 @@ def finding_rows(documents: DataFrame) -> DataFrame:
 
 def redacted(text: Column) -> Column:
     """A preview: withheld whole if it holds a secret or personal data, else with classification marks replaced."""
-    return F.when(text.rlike(s.SECRET) | text.rlike(s.PERSONAL), "[withheld]").otherwise(F.regexp_replace(text, s.CONFIDENTIAL, "[redacted]"))
+    return F.when(s.matches(text, s.SECRET) | s.matches(text, s.PERSONAL), "[withheld]").otherwise(F.regexp_replace(text, s.CONFIDENTIAL, "[redacted]"))
 
 
 def read_documents(spark, path: str) -> DataFrame:

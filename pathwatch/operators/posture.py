@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import opaque_token, version
+from ..functions.scalars import casefold, opaque_token, version
 from .rules import is_true, reasons
 
 
@@ -36,32 +40,72 @@ def repeated_transfers(events: DataFrame, window: int = 86400) -> DataFrame:
     return first.select(F.lit("DLP-002").alias("rule"), "actor", "evidence_ids", F.lit("requires_review").alias("verdict"), F.lit(False).alias("leak_confirmed"))
 
 
+#: Assets of one product that a task compares with the product's advisories; more are dealt over several tasks.
+DEAL = 100_000
+_STAB = "id string, cve string, known_exploited boolean, fixed string, source string"
+_STAB_ARROW = pa.schema([("id", pa.string()), ("cve", pa.string()), ("known_exploited", pa.bool_()), ("fixed", pa.string()), ("source", pa.string())])
+
+
+def _stab(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of versions with ranges, from rows sorted by product, deal and version, at each of which ranges begin before assets come.
+
+    Ranges that are open are carried on in the order in which they end.
+    """
+    now, open_, turn = None, [], 0
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            if (key := (r["_vendor"], r["_product"], r["_deal"])) != now:
+                now, open_ = key, []
+            while open_ and open_[0][0] <= r["_at"]:
+                heappop(open_)
+            if r["id"] is None:
+                turn += 1
+                heappush(open_, (r["_high"], turn, (r["cve"], r["known_exploited"], r["fixed"], r["source"])))
+            else:
+                out += [(r["id"], *range_) for _, _, range_ in open_]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _STAB_ARROW)], schema=_STAB_ARROW)
+
+
+def affected(assets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(id, cve, known_exploited, fixed, source): which assets (id, _vendor, _product, _v) lie in which ranges (_vendor, _product,
+    _low, _high, cve, known_exploited, fixed, source), from _low up to before _high.
+
+    Begins of ranges and assets of a product are sorted together by version and swept once; what is made is the matches
+    alone, not all pairs of a product. The assets of a product of many are dealt, and its ranges go to every deal.
+    """
+    product = ["_vendor", "_product"]
+    deals = assets.groupBy(*product).agg(F.ceil(F.count("*") / DEAL).cast("int").alias("_deals"))
+    a = assets.join(deals.hint("merge"), product).select(*product, F.pmod(F.xxhash64("id"), "_deals").cast("int").alias("_deal"), F.col("_v").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("array<int>").alias("_high"), "id", *[F.lit(None).cast(k).alias(c) for c, k in (("cve", "string"), ("known_exploited", "boolean"), ("fixed", "string"), ("source", "string"))])
+    b = ranges.join(deals.hint("merge"), product).select(*product, F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_deal"), F.col("_low").alias("_at"), F.lit(0).alias("_turn"), "_high", F.lit(None).cast("string").alias("id"), "cve", "known_exploited", "fixed", "source")
+    rows = a.unionByName(b).repartition(*product, "_deal").sortWithinPartitions(*product, "_deal", "_at", "_turn")
+    return rows.mapInArrow(_stab, _STAB)
+
+
 def assess(inventory: DataFrame, advisories: DataFrame, kev: DataFrame, observed_at: int, advisories_at: int, kev_at: int, now: int) -> DataFrame:
     """Per asset: asset_id, priority, status, matches, reasons.
 
     Products match by case-folded vendor and name; a version is affected from `introduced` up to before `fixed`. What
-    can't be compared is unknown, never safe. kev is (cve).
+    can't be compared is unknown, never safe. kev is (cve). Asset ids are unique.
     """
-    flag = F.col("internet_exposed").isNull() | F.col("privileged_path").isNull() | F.col("sensitive_path").isNull()
-    a = inventory.select("*", version(F.col("version")).alias("_v"), F.lower("vendor").alias("_vendor"), F.lower("product").alias("_product"))
-    adv = advisories.select(F.lower("vendor").alias("_vendor"), F.lower("product").alias("_product"), "cve", "fixed", "source", version(F.col("introduced")).alias("_low"), version(F.col("fixed")).alias("_high"))
-    adv = adv.join(kev.select("cve").distinct().withColumn("_known", F.lit(True)), "cve", "left")
-    rows = a.join(adv, ["_vendor", "_product"], "left")
-    comparable = F.col("_v").isNotNull() & F.col("_low").isNotNull() & F.col("_high").isNotNull() & (F.col("_low") < F.col("_high"))
-    inside = comparable & (F.col("_low") <= F.col("_v")) & (F.col("_v") < F.col("_high"))
-    match = F.when(inside, F.struct("cve", F.coalesce("_known", F.lit(False)).alias("known_exploited"), "fixed", "source"))
-    out = rows.groupBy("id").agg(
-        F.array_sort(F.array_distinct(F.array_compact(F.collect_list(match)))).alias("matches"),
-        F.count("cve").alias("candidates"),
-        F.coalesce(F.bool_or(F.col("cve").isNotNull() & ~F.coalesce(comparable, F.lit(False))), F.lit(False)).alias("incomparable"),
-        F.bool_or(flag).alias("unset"),
-        F.bool_or(is_true("internet_exposed")).alias("exposed"),
-        F.bool_or(is_true("sensitive_path")).alias("sensitive"),
-    )
-    why = reasons((F.col("candidates") == 0, "no_vendor_data"), (F.lit(now - observed_at > 86400), "inventory_older_than_24h"), (F.lit(now - advisories_at > 172800 or now - kev_at > 172800), "feeds_older_than_48h"), (F.col("unset"), "exposure_or_path_unknown"), (F.col("incomparable"), "version_not_comparable"))
+    product = ["_vendor", "_product"]
+    folded = [casefold(F.col("vendor")).alias("_vendor"), casefold(F.col("product")).alias("_product")]
+    a = inventory.select("*", version(F.col("version")).alias("_v"), *folded)
+    known = kev.select("cve").distinct().withColumn("_known", F.lit(True))
+    adv = advisories.select(*folded, "cve", "fixed", "source", version(F.col("introduced")).alias("_low"), version(F.col("fixed")).alias("_high")).where("cve is not null")
+    adv = adv.join(known.hint("merge"), "cve", "left").withColumn("known_exploited", F.coalesce("_known", F.lit(False)))
+    comparable = F.coalesce(F.col("_low") < F.col("_high"), F.lit(False))
+    facts = adv.groupBy(*product).agg(F.count("*").alias("candidates"), F.count_if(~comparable).alias("odd"))
+    hits = affected(a.where("_v is not null").select("id", *product, "_v"), adv.where(comparable))
+    found = hits.groupBy("id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("cve", "known_exploited", "fixed", "source")))).alias("matches"))
+    out = a.join(facts.hint("merge"), product, "left").join(found.hint("merge"), "id", "left")
+    candidates, flags = F.coalesce("candidates", F.lit(0)), ("internet_exposed", "privileged_path", "sensitive_path")
+    unset = F.col(flags[0]).isNull() | F.col(flags[1]).isNull() | F.col(flags[2]).isNull()
+    why = reasons((candidates == 0, "no_vendor_data"), (F.lit(now - observed_at > 86400), "inventory_older_than_24h"), (F.lit(now - advisories_at > 172800 or now - kev_at > 172800), "feeds_older_than_48h"), (unset, "exposure_or_path_unknown"), ((candidates > 0) & (F.col("_v").isNull() | (F.col("odd") > 0)), "version_not_comparable"))
+    out = out.withColumn("matches", F.coalesce("matches", F.array().cast(found.schema["matches"].dataType))).withColumn("reasons", why)
     hit = F.size("matches") > 0
-    urgent = hit & F.col("exposed") & (F.exists("matches", lambda m: m["known_exploited"]) | F.col("sensitive"))
-    out = out.withColumn("reasons", why)
+    urgent = hit & is_true("internet_exposed") & (F.exists("matches", lambda m: m["known_exploited"]) | is_true("sensitive_path"))
     return out.select(F.col("id").alias("asset_id"), F.when(urgent, "P1").otherwise("P2").alias("priority"), F.when(hit, "affected").when(F.size("reasons") > 0, "unknown").otherwise("no_match_in_supplied_ranges").alias("status"), "matches", "reasons")
 
 

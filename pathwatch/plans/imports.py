@@ -81,6 +81,16 @@ def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.col("_v")[c].alias(c) for c in ("s_suppkey", "s_name", "note", "more")])
 
 
+@query("src18_file_digests", "SELECT concat('f=', CAST(s_suppkey // 100 AS VARCHAR)) AS folder, sha256(string_agg(concat(s_suppkey, ',', s_name), chr(10) ORDER BY s_suppkey) || chr(10)) AS sha256 FROM supplier GROUP BY 1")
+def src18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of files of lines that are never one value."""
+    rows = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 100").alias("f"), F.struct("s_suppkey", F.concat_ws(",", "s_suppkey", "s_name").alias("line")).alias("x"))
+    texts = rows.groupBy("f").agg(F.array_join(F.array_sort(F.collect_list("x"))["line"], "\n").alias("value"))  # a hundred rows a file
+    path = landing.folder(spark)
+    texts.write.partitionBy("f").text(path)
+    return records.file_digests(spark, f"{path}/f=*", 0).select(F.element_at(F.split("file", "/"), -2).alias("folder"), "sha256")
+
+
 _LINES = "case event_id % 2000 when 3 then 'long' else case event_id % 10 when 0 then 'broken' when 1 then 'list' when 2 then 'blank' else 'good' end end"
 
 

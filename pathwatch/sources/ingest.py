@@ -108,9 +108,9 @@ def nested_vulnerability(rows: DataFrame) -> DataFrame:
 
 def provenance(spark: SparkSession, path: str, parsed: Parsed, connector: str = "file-import") -> DataFrame:
     """(label, sha256, rows_read, rows_imported, connector, verified) of each file. verified is set by this job, not by data."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("label"), F.sha2("content", 256).alias("sha256"))
+    files = records.file_digests(spark, path).select(F.element_at(F.split("file", "/"), -1).alias("label"), "sha256")
     kept = parsed.rows.groupBy(F.col("_source").alias("label")).agg(F.count("*").alias("rows_imported"))
-    out = files.join(parsed.read.select(F.col("source").alias("label"), F.col("n").alias("rows_read")), "label", "left").join(kept, "label", "left")
+    out = files.join(parsed.read.select(F.col("source").alias("label"), F.col("n").alias("rows_read")).hint("merge"), "label", "left").join(kept.hint("merge"), "label", "left")
     return out.select("label", "sha256", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_read", "rows_imported")], F.lit(connector).alias("connector"), F.lit(True).alias("verified"))
 
 
@@ -119,7 +119,7 @@ def quality(parsed: list[Parsed]) -> DataFrame:
     out = None
     for p in parsed:
         kept = p.rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("rows_imported"))
-        one = p.read.withColumnRenamed("n", "rows_read").join(kept, "source", "left").select("source", F.lit(p.record).alias("record"), "rows_read", F.coalesce("rows_imported", F.lit(0)).alias("rows_imported"))
+        one = p.read.withColumnRenamed("n", "rows_read").join(kept.hint("merge"), "source", "left").select("source", F.lit(p.record).alias("record"), "rows_read", F.coalesce("rows_imported", F.lit(0)).alias("rows_imported"))
         one = one.withColumn("rows_skipped", F.col("rows_read") - F.col("rows_imported"))
         out = one if out is None else out.unionByName(one)
     return out

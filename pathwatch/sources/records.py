@@ -10,6 +10,7 @@ are put together, by one row a block and side.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import re
 import sys
@@ -253,3 +254,53 @@ def decoded(spark: SparkSession, path: str, encoding: str, skip_rows: int) -> Da
             yield out
 
     return physical(spark, path).select("file", "_source", "block", "line").mapInArrow(decode, "_source string, _row long, line string")
+
+
+#: Files up to this size are hashed as one value, larger ones line by line.
+WHOLE_BYTES = 64 << 20
+
+
+_MARK = b"\xef\xbb\xbf"
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file from its lines in order. What lines leave out, a last line feed and a byte-order mark, the file's
+    size tells; a size that no such file has gives null."""
+    out: list[tuple] = []
+    now, size, states, n = None, 0, (), 0
+
+    def end() -> None:
+        if now is not None:
+            if n in (size, size - len(_MARK)):
+                for state in states:
+                    state.update(b"\n")
+            kind = {0: 0, 1: 0, -3: 1, -2: 1}.get(n - size)
+            out.append((now, None if kind is None else states[kind].hexdigest()))
+
+    for batch in batches:
+        for file, length, line in zip(batch["file"].to_pylist(), batch["size"].to_pylist(), batch["line"].to_pylist()):
+            if file != now:
+                end()
+                now, size, states, n = file, length, (hashlib.sha256(), hashlib.sha256(_MARK)), 0
+            for state in states:
+                state.update((b"\n" if n else b"") + line)
+            n += len(line) + 1
+    end()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["file", "sha256"])
+
+
+def file_digests(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(file, sha256) of the files at `path`.
+
+    A file of at most `whole_bytes` is read as one value. A larger one comes as lines, sorted by their place and passed
+    through one SHA-256, so that no value holds it and it may be beyond the 2 GB of one; only a line must fit in memory. A large file that Spark
+    decompresses by its name has no digest (null); empty files, which Spark doesn't read, are left out.
+    """
+    small = spark.read.format("binaryFile").load(path).where(F.col("length") <= whole_bytes)
+    small = small.select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"),
+    ).where(F.col("size") > whole_bytes)
+    large = lines.repartition("file").sortWithinPartitions("file", "block", "place").select("file", "size", "line")
+    return small.unionAll(large.mapInArrow(_hashes, "file string, sha256 string"))

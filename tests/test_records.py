@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import random
 
 import pytest
@@ -106,3 +107,14 @@ def test_lines_in_other_encodings_are_decoded_in_blocks(spark, tmp_path, small_b
     got = records.decoded(spark, str(tmp_path), "cp932", 1).orderBy("_row").select("line").collect()
     assert [r.line for r in got] == lines[1:]
     assert records.physical(spark, str(tmp_path)).agg(F.count_distinct("block")).first()[0] > 5
+
+
+def test_digests_of_whole_and_of_line_by_line_files(spark, tmp_path, small_blocks):
+    texts = {"a": b"", "b": b"\n", "c": b"x", "d": b"x\ny", "e": b"x\r\ny\r\n", "f": b"\xef\xbb\xbfmark\n", "g": b"\xef\xbb\xbfmark", "h": bytes(range(256)) * 40, "i": b"line\n" * 500, "j": b"\n\n\nq\n"}
+    for name, body in texts.items():
+        (tmp_path / name).write_bytes(body)
+    small_blocks(300)
+    want = {n: hashlib.sha256(b).hexdigest() for n, b in texts.items() if b}
+    for most in (0, 100, 1 << 20):
+        got = records.file_digests(spark, str(tmp_path), most).collect()
+        assert {r.file.rsplit("/", 1)[1]: r.sha256 for r in got} == want and len(got) == len(want)
