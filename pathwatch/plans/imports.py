@@ -458,6 +458,17 @@ def fn14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.exposure(t.assets(spark, sf_dir), config).select("asset_id", "rule_config_digest", "priority")
 
 
+_SETTING_ROWS = """concat('{"window_seconds": ', case when p_partkey % 7 = 0 then '"300"' when p_partkey % 11 = 0 then 'true' when p_partkey % 5 = 0 then '300.0' else cast(p_size as varchar(9)) end,
+ ', "distinct_file_threshold": ', p_size, ', "sensitive_file_minimum": ', p_partkey % 60, ', "cvss_priority_threshold": ', p_partkey % 13, '.5', case when p_partkey % 17 = 0 then ', "extra": 1' else '' end, ', "identity_conditions": ', case when p_partkey % 3 = 0 then '"some"' else '"both"' end, '}')"""
+
+
+@query("val07_setting_problems", "SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 17 = 0 THEN 'unknown_settings' END, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 5 = 0 OR p_size < 10 THEN 'bad_window_seconds' END, CASE WHEN p_size < 2 THEN 'bad_distinct_file_threshold' END, CASE WHEN p_partkey % 13 > 9 THEN 'bad_cvss_priority_threshold' END, CASE WHEN p_partkey % 3 = 0 THEN 'bad_identity_conditions' END, CASE WHEN p_partkey % 60 > p_size THEN 'minimum_exceeds_threshold' END) AS problems FROM part")
+def val07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule settings as JSON documents, checked by type, bound and relation."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_SETTING_ROWS.replace("varchar(9)", "string")).alias("body"))
+    return joined(rows.select("p_partkey", strict.setting_problems(F.col("body")).alias("problems")))
+
+
 @query("val08_label_problems", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'bad_event_ids' END, CASE WHEN o_orderkey % 4 = 0 THEN 'bad_asset_ids' END, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown_rules' END) AS problems FROM orders")
 def val08(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -208,6 +208,23 @@ def det11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(correlate.login_after_failures(t.control_events(spark, sf_dir), _FAIL_WINDOW, _FAIL_LEAST))
 
 
+#: Two years' events as if they had come in half a day, so that the rule's own five failures in ten minutes come.
+_RUSH = 1500
+_FAIL_OWN = {
+    "dense": f"SELECT * REPLACE ({t.NOW} - ({t.NOW} - at) // {_RUSH} AS at) FROM control",
+    "hits": _FAIL["hits"].replace("control l JOIN control f", "dense l JOIN dense f").replace(f"<= {_FAIL_WINDOW}", "<= 600"),
+    "enough": _FAIL["enough"].replace(f">= {_FAIL_LEAST}", ">= 5"),
+    "evidence": _FAIL["evidence"],
+}
+
+
+@query("det11_five_in_ten_minutes", t.with_tables("control", more=_FAIL_OWN, sql=_case_sql("AN-LOGIN-AFTER-FAILURES", "P2", "SELECT * FROM evidence", "organization, actor, login_id")))
+def det11_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule at its own settings."""
+    dense = t.control_events(spark, sf_dir).withColumn("at", t.NOW - F.floor((t.NOW - F.col("at")) / _RUSH))
+    return _cases(correlate.login_after_failures(dense))
+
+
 @query("join06_failures_before", t.with_tables("control", more=_FAIL, sql="SELECT organization, actor, login_id, login_at, count(*) AS failures FROM enough GROUP BY ALL"))
 def join06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.failures_before(t.control_events(spark, sf_dir), _FAIL_WINDOW, _FAIL_LEAST).drop("source")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathwatch.sources import strict
 
@@ -24,3 +25,21 @@ def test_snapshot_documents(spark, tmp_path):
 def test_labels(spark):
     rows = spark.createDataFrame([(["e"], [], ["AS-003"]), (["bad id"], ["a"], ["AS-009"]), (None, [], [])], "malicious_event_ids array<string>, malicious_asset_ids array<string>, expect_rules array<string>")
     assert [r.problems for r in strict.label_problems(rows).collect()] == [[], ["bad_event_ids", "unknown_rules"], ["bad_event_ids"]]
+
+
+def test_settings_are_refused_as_the_loader_does(spark):
+    from pathwatch.config import RuleConfig
+
+    cases = [{}, {"window_seconds": 10}, {"window_seconds": 9}, {"window_seconds": 300.0}, {"window_seconds": True}, {"window_seconds": "300"}, {"window_seconds": None}, {"cvss_priority_threshold": 7}, {"cvss_priority_threshold": 0.5}, {"cvss_priority_threshold": 10.5}, {"cvss_priority_threshold": False}, {"identity_conditions": "both"}, {"identity_conditions": "none"}, {"identity_conditions": 1}, {"x": 1}, {"sensitive_file_minimum": 101}, {"sensitive_file_minimum": 101, "distinct_file_threshold": 101}, {"distinct_file_threshold": 10**30}, {"stale_asset_hours": [1]}]
+    rows = [(i, json.dumps(c)) for i, c in enumerate(cases)] + [(-1, "[1]"), (-2, "{"), (-3, None)]
+    got = {r.i: r.p for r in spark.createDataFrame(rows, "i int, body string").select("i", strict.setting_problems(F.col("body")).alias("p")).collect()}
+
+    def refused(c):
+        try:
+            RuleConfig.load(c)
+        except (ValueError, TypeError):
+            return True
+        return False
+
+    assert [bool(got[i]) for i in range(len(cases))] == [refused(c) for c in cases]
+    assert got[-1] == got[-2] == got[-3] == ["not_an_object"]
