@@ -123,11 +123,6 @@ def _weight(times: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(times)) + 1
 
 
-def _digests(raw: bytes, offs: np.ndarray) -> list[bytes]:
-    """What names a text: its words, whatever the white space between."""
-    return [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(offs[:-1], offs[1:])]
-
-
 def _sign(words: int, bands: int, rows: int, counted: bool):
     k = bands * rows
 
@@ -144,10 +139,10 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
                     keys = mix(keys * _M(0x9E3779B97F4A7C15) + sig[:, j::rows])
                 keys = mix(keys + np.arange(bands, dtype=np.uint64))
                 raw = w.buf.tobytes()
-                digests = _digests(raw, offs)
+                digests = [hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest() for a, b in zip(offs[:-1], offs[1:])]
                 flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(w.counts(), pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_words", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], pa.array(w.counts(), pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "tag", "n_words", "digest", "bands"])
 
     return sign
 
@@ -156,17 +151,14 @@ def _sets(words: int, counted: bool):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                buf, offs = text_buffer(part["text"])
-                element, doc, w = shingles(buf, offs, words)
-                element, doc, times = _weighted(element, doc)
+                element, doc, times = _weighted(*shingles(*text_buffer(part["text"]), words)[:2])
                 if counted:  # each unit of a shingle's weight is an element of its own
                     times = _weight(times).astype(np.int64)
                     which = np.repeat(np.arange(len(element)), times)
                     turn = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                     element, doc = mix(element[which] + turn.astype(np.uint64) * _M(0xD1342543DE82EF95)), doc[which]
                 bounds = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)), pa.int32())
-                digests = pa.array(_digests(w.buf.tobytes(), offs), pa.binary())
-                yield pa.RecordBatch.from_arrays([digests, pa.ListArray.from_arrays(bounds, pa.array(element.view(np.int64), pa.int64()))], ["digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([part["doc"], pa.ListArray.from_arrays(bounds, pa.array(element.view(np.int64), pa.int64()))], ["doc", "shingles"])
 
     return sets
 
@@ -234,21 +226,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, ba
     component are compared with those of other components. In both steps what two documents can have in common at most
     is bounded within the join, so that few pairs that aren't links leave it to be compared shingle by shingle.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(base.mapInArrow(_sign(words, bands, rows, counted), "doc_id long, n_words long, digest binary, bands array<long>"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
+    signed = written(base.mapInArrow(_sign(words, bands, rows, counted), "doc_id long, tag long, n_words long, digest binary, bands array<long>"))
     some = signed.where("n_words > 0 and doc_id is not null")
     # A text is a node of its own, since one doc_id may have several texts, and one text several doc_ids.
-    texts = some.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.first("bands").alias("bands"))
+    texts = some.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("row"), F.first("bands").alias("bands"))
     texts = written(texts.withColumn("doc", F.monotonically_increasing_id()))
     exploded = written(texts.select("doc", F.explode("bands").alias("key")))
     shared = exploded.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
     members = written(exploded.join(shared.hint("merge"), "key"))
 
-    named = texts.select("doc", "digest", "copy_of")
-    wanted = written(named.join(members.select("doc").distinct().hint("merge"), "doc", "left_semi"))
-    read = base.join(wanted.select(F.col("copy_of").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(words, counted), "digest binary, shingles array<long>")
-    read = read.join(wanted.select("digest", "doc").hint("merge"), "digest").groupBy("doc").agg(F.first("shingles").alias("shingles"))
-    sets = written(shared_sets(written(read), similarity))
+    named = texts.select("doc", "digest", F.col("row.doc_id").alias("copy_of"))
+    wanted = texts.select("doc", "row.doc_id", "row.tag").join(members.select("doc").distinct().hint("merge"), "doc", "left_semi")
+    read = base.join(wanted.hint("merge"), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    sets = written(shared_sets(written(read.mapInArrow(_sets(words, counted), "doc long, shingles array<long>")), similarity))
 
     facts = sets.select("doc", "n", "parts", (F.size("shingles") / F.col("n")).alias("share"))
     state = written(members.join(facts.hint("merge"), "doc").select("key", "doc", "n", "parts", "share"))
