@@ -34,9 +34,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     Files hold ascending ranges of doc_id and are sorted within (nulls first), so row indexes and stripe statistics
     prune ranges of doc_id, and Bloom filters prune single ones. Texts are ranged before they are encoded, so that only
-    they are shuffled. `part` numbers the files; rows of equal doc_id are ordered by their text's hash.
+    they are shuffled. `part` numbers the files; rows of equal doc_id are ordered by their text's hash, over several files if
+    they are many.
     """
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ids = ranged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n_tokens long, ids array<int>")
     out = ids.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "doc_id", "n_tokens", "ids")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "compression": "zstd"}
