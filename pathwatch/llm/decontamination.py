@@ -67,23 +67,20 @@ class ItemIndex:
         edits = np.minimum((n * rate).astype(np.int64), (n - q) // q)
         bound = n + 1 - q - q * edits
         hashes = [mix(_grams(c, q)) for c in codes]
-        owners: dict[int, list[int]] = defaultdict(list)
-        for i, h in enumerate(hashes):
-            for g in h.tolist():
-                owners[g].append(i)
+        flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
+        place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(flat, kind="stable")
+        grams, at, times = np.unique(flat[order], return_index=True, return_counts=True)
         spare, dropped = bound - np.maximum(2, bound // 2), set()
-        for g, who in sorted(owners.items(), key=lambda x: (-len(x[1]), x[0])):
-            if len(who) < 3:
-                break
-            need = Counter(who)
+        common = np.flatnonzero(times >= 3)
+        for g in common[np.lexsort((grams[common], -times[common]))].tolist():
+            need = Counter(item[order[at[g] : at[g] + times[g]]].tolist())
             if all(spare[i] >= k for i, k in need.items()):
-                dropped.add(g)
+                dropped.add(int(grams[g]))
                 for i, k in need.items():
                     spare[i] -= k
                     bound[i] -= k
-        flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
-        place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)]).astype(np.int64)
         use = ~np.isin(flat, np.array(sorted(dropped), np.uint64))
         order = np.argsort(flat[use], kind="stable")
         flat, item, place = flat[use][order], item[use][order], place[use][order]

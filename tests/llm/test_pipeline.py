@@ -56,3 +56,29 @@ def test_stages_equal_brute_force(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF).collect()
     assert {r.doc_id for r in packed} == set(rows[4])
     assert max(Counter({s: sum(r.length for r in packed if r.sequence_id == s) for s in {r.sequence_id for r in packed}}).values()) <= 1024
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, stage):
+    """Rows without an id or a text, repeated rows, an empty table, and columns that stages and operators name themselves."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    odd = docs.select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:]).limit(5)
+    odd = odd.unionByName(docs.limit(3)).unionByName(docs.limit(4).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10**6))
+    odd = odd.unionByName(docs.limit(1).withColumn("text", F.lit("")).withColumn("doc_id", F.lit(2 * 10**6)))
+    extra = {"_tag": F.lit("t"), "_kept": F.lit("k"), "kept": F.lit(True), "digest": F.lit("d"), "tag": F.lit(1), "score": F.lit(2.0), "hash": F.lit(3), "label": F.lit("l")}
+    rows = docs.unionByName(odd).withColumns(extra)
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, rows, SF)
+    empty = run(spark, rows.limit(0), SF)
+    assert empty.count() == 0
+    if name == "packing":
+        pieces = Counter((r.doc_id, r.start) for r in out.collect())
+        assert sum(n for (_, start), n in pieces.items() if start == 0) == rows.count()
+        return
+    assert out.columns == empty.columns == rows.columns
+    got = out.collect()
+    assert {(r._tag, r._kept, r.kept, r.digest, r.tag, r.score, r.hash, r.label) for r in got} == {("t", "k", True, "d", 1, 2.0, 3, "l")}
+    assert sum(r.doc_id is None for r in got) == 5 and sum(r.doc_id is not None and 10**6 <= r.doc_id for r in got) == 5
+    assert Counter(got) <= Counter(rows.collect()) or name == "substring_dedup"
