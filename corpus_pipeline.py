@@ -17,6 +17,10 @@ from pathwatch.llm.substring_dedup import dedup_substrings
 from pathwatch.llm.toxicity import score_toxicity
 
 
+#: Names for a while that no column of documents has.
+_TAG, _KEPT = "pipeline text hash", "pipeline kept text"
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(written(ids.select("doc_id").distinct()).hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
@@ -34,9 +38,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document holds are cut out; other texts stay as they are."""
     cut = dedup_substrings(docs.select("doc_id", "text"), with_text=True).where("kept_text is not null")
-    cut = cut.select("doc_id", F.col("tag").alias("_tag"), F.col("kept_text").alias("_kept")).dropDuplicates(["doc_id", "_tag"])
-    tagged = docs.withColumn("_tag", F.xxhash64("text")).join(cut.hint("merge"), ["doc_id", "_tag"], "left")
-    new = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))}
+    cut = cut.select("doc_id", F.col("tag").alias(_TAG), F.col("kept_text").alias(_KEPT)).dropDuplicates(["doc_id", _TAG])
+    tagged = docs.withColumn(_TAG, F.xxhash64("text")).join(cut.hint("merge"), ["doc_id", _TAG], "left")
+    new = {"text": F.coalesce(_KEPT, "text"), "n_chars": F.when(F.col(_KEPT).isNotNull(), F.length(_KEPT).cast("long")).otherwise(F.col("n_chars"))}
     return tagged.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
