@@ -561,10 +561,22 @@ def det04_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_state(spark, run)
 
 
+class _TenPolls(threading.Event):
+    """A stop that comes after ten polls at the latest."""
+
+    left = 10
+
+    def wait(self, timeout: float | None = None) -> bool:
+        self.left -= 1
+        if self.left <= 0:
+            self.set()
+        return super().wait(timeout)
+
+
 @query("str05_supervised_polling", t.with_tables("reads", sql="SELECT 'ingested' AS what, count(*) AS n FROM reads UNION ALL SELECT 'poll_failed ValueError', 2"))
 def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source that fails twice: both failures are journal rows, and the third poll reads what they left."""
-    source, path, stop, turns = landing.folder(spark), landing.folder(spark), threading.Event(), []
+    source, path, stop, turns = landing.folder(spark), landing.folder(spark), _TenPolls(), []
     t.file_access(spark, sf_dir).write.json(source)
 
     def store(df: DataFrame, to: str) -> None:
