@@ -156,6 +156,16 @@ def test_documents(spark):
     assert tuple(preview) == ("a [redacted] note", "[withheld]")
 
 
+def test_text_split_over_sheets(spark):
+    """Attributes of other parts, which are joined to the texts, too, hide no word at a text's start."""
+    from pathwatch.plans.contents import _SHEET, _cell, _frame
+
+    cut = lambda a, b: package(_frame() | {_SHEET.format(1): _cell(a), _SHEET.format(2): _cell(b)})
+    rows = [("secret", cut("password=hun", "ter2hunter2"), "xlsx"), ("mark", cut("confid", "ential"), "xlsx"), ("fine", cut("pass", "word"), "xlsx")]
+    found = documents.finding_rows(spark.createDataFrame(rows, "path string, content binary, extension string")).collect()
+    assert sorted((r.path, r.rule, r["count"], r.locations[0]) for r in found) == [("mark", "DOC-CLASS", 1, "cross_part_text"), ("secret", "DOC-SECRET", 1, "cross_part_text")]
+
+
 def chain(key, n, edit=None):
     rows, prev = [], audit.ZERO
     for i in range(1, n + 1):
