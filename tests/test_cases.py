@@ -295,3 +295,14 @@ def test_documents_in_small_tasks(spark, monkeypatch):
     assert [(r.rule, r["count"], r.locations) for r in found.collect()] == [("DOC-SECRET", 2, ["part:4", "part:4"])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("PRIVATE KEY-----)") == 1 and "EvalPython" not in plan
+
+
+def test_nfkc_gives_back_changed_texts_only(spark):
+    import pyarrow as pa
+
+    from pathwatch.functions import scalars
+
+    texts = ["caf\u00e9", "\uff41\uff42", "e\u0301", None, "\u2026"]
+    assert scalars._nfkc.func(pa.array(texts)).to_pylist() == [None, "ab", "\u00e9", None, "..."]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i")
+    assert [r.x for r in rows.select(scalars.nfkc(F.col("x")).alias("x")).collect()] == ["caf\u00e9", "ab", "\u00e9", None, "..."]
