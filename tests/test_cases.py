@@ -306,3 +306,14 @@ def test_nfkc_gives_back_changed_texts_only(spark):
     assert scalars._nfkc.func(pa.array(texts)).to_pylist() == [None, "ab", "\u00e9", None, "..."]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i")
     assert [r.x for r in rows.select(scalars.nfkc(F.col("x")).alias("x")).collect()] == ["caf\u00e9", "ab", "\u00e9", None, "..."]
+
+
+def test_request_problems_sort_no_texts(spark):
+    """A text that isn't asked for isn't shuffled to find repeated ids."""
+    row = ("EV-1", "ai.prompt", "public", "x" * (content.TEXT_BYTES + 1), None)
+    requests = spark.createDataFrame([row, ("EV-2", "ai.prompt", "public", None, None), ("EV-3", *row[1:3], "fine", None)], "event_id string, action string, data_class string, text string, tool string")
+    found = content.request_problems(requests).select("event_id", "problems")
+    assert {r.event_id: r.problems for r in found.collect()} == {"EV-1": ["text_too_long"], "EV-2": ["text_too_long"], "EV-3": []}
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    shown = [line for line in joins.split("\n") if "Project" in line][0]
+    assert "octet_length" in shown and ", text#" not in shown
