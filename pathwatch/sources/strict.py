@@ -73,19 +73,22 @@ def setting_problems(body: Column) -> Column:
 
     Values are never clamped; a whole number is no Boolean and no fraction. Null counts as no object.
     """
-    v = F.try_parse_json(body)
-    get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
-    kind = lambda name: F.schema_of_variant(get(name, "variant"))
-    keys = F.json_object_keys(body)
-    known = [f.name for f in fields(RuleConfig)]
-    tests = [(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, "unknown_settings")]
-    for name, (low, high) in BOUNDS.items():
-        fraction = name == "cvss_priority_threshold"
-        number = kind(name).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)" if fraction else r"^BIGINT$")
-        good = F.coalesce(number & get(name, "double").between(low, high), F.lit(False))
-        tests.append((F.array_contains(keys, name) & ~good, f"bad_{name}"))
-    conditions = F.coalesce((kind("identity_conditions") == "STRING") & get("identity_conditions", "string").isin("any", "both"), F.lit(False))
-    tests.append((F.array_contains(keys, "identity_conditions") & ~conditions, "bad_identity_conditions"))
-    files = lambda name: F.coalesce(get(name, "double"), F.lit(float(getattr(RuleConfig, name))))
-    tests.append((files("sensitive_file_minimum") > files("distinct_file_threshold"), "minimum_exceeds_threshold"))
-    return F.when(F.coalesce(keys.isNull(), F.lit(True)), F.array(F.lit("not_an_object"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in tests])))
+    def problems(v: Column, keys: Column) -> Column:
+        get = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+        kind = lambda name: F.schema_of_variant(get(name, "variant"))
+        known = [f.name for f in fields(RuleConfig)]
+        tests = [(F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0, "unknown_settings")]
+        for name, (low, high) in BOUNDS.items():
+            fraction = name == "cvss_priority_threshold"
+            number = kind(name).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)" if fraction else r"^BIGINT$")
+            good = F.coalesce(number & get(name, "double").between(low, high), F.lit(False))
+            tests.append((F.array_contains(keys, name) & ~good, f"bad_{name}"))
+        conditions = F.coalesce((kind("identity_conditions") == "STRING") & get("identity_conditions", "string").isin("any", "both"), F.lit(False))
+        tests.append((F.array_contains(keys, "identity_conditions") & ~conditions, "bad_identity_conditions"))
+        files = lambda name: F.coalesce(get(name, "double"), F.lit(float(getattr(RuleConfig, name))))
+        tests.append((files("sensitive_file_minimum") > files("distinct_file_threshold"), "minimum_exceeds_threshold"))
+        return F.when(F.coalesce(keys.isNull(), F.lit(True)), F.array(F.lit("not_an_object"))).otherwise(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in tests])))
+
+    # The one element's fields are bound, so that the text is parsed once, not for each test.
+    parsed = F.array(F.struct(F.try_parse_json(body).alias("v"), F.json_object_keys(body).alias("keys")))
+    return F.get(F.transform(parsed, lambda x: problems(x.v, x["keys"])), F.lit(0))

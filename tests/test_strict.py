@@ -43,3 +43,10 @@ def test_settings_are_refused_as_the_loader_does(spark):
 
     assert [bool(got[i]) for i in range(len(cases))] == [refused(c) for c in cases]
     assert got[-1] == got[-2] == got[-3] == ["not_an_object"]
+
+
+def test_settings_are_parsed_once(spark):
+    rows = spark.createDataFrame([('{"window_seconds": 300}',), ("[1]",), (None,)], "body string")
+    found = rows.select(strict.setting_problems(F.col("body")).alias("p"))
+    assert [r.p for r in found.collect()] == [[], ["not_an_object"], ["not_an_object"]]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
