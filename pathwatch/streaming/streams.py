@@ -9,7 +9,6 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -114,24 +113,40 @@ class BulkWindows(StatefulProcessor):
         self.reads = handle.getListState("reads", _READ)
         self.best = handle.getValueState("best", _PEAK)
 
+    def _most(self, reads: list[tuple]) -> tuple[int, int]:
+        """The highest count of files in a window of sorted reads, and when it is first reached: a small loop, as most keys have few reads.
+
+        As in rules.window_counts(): a file enters where it wasn't read within the window, and leaves when no read renews it.
+        """
+        entered, leaves, previous = [], [], {}
+        for at, _, file in reads:
+            renewed = file in previous and at - previous[file] <= self.window
+            if file in previous and not renewed:
+                leaves.append(previous[file] + self.window)
+            entered.append((entered[-1] if entered else 0) + (not renewed))
+            previous[file] = at
+        leaves = sorted([*leaves, *(at + self.window for at in previous.values())])
+        most, when, left = 0, 0, 0
+        for (at, _, _), n in zip(reads, entered):
+            while left < len(leaves) and leaves[left] < at:
+                left += 1
+            if n - left > most:
+                most, when = n - left, at
+        return most, when
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(at), i, f) for frame in rows for at, i, f in zip(frame["at"], frame["id"], frame["file_id"])]
-        reads = pd.DataFrame([*new, *((r[0], r[1], r[2]) for r in self.reads.get())], columns=["at", "id", "file"]).sort_values(["at", "id"], ignore_index=True)
-        best = self.best.get()
+        best = self.best.get()  # a key without it has neither reads nor timers; each call is a message to Spark
+        old = [(r[0], r[1], r[2]) for r in self.reads.get()] if best else []
+        reads = sorted([*new, *old], key=lambda r: (r[0], r[1] is None, r[1]))
         before = best[0] if best else 0
-        # As in rules.window_counts(): a file enters where it wasn't read within the window, and leaves when no read renews it.
-        same = reads.groupby("file", dropna=False)["at"]
-        enters = ~(reads["at"] - same.shift(1) <= self.window)
-        leaves = np.sort(reads["at"][~(same.shift(-1) - reads["at"] <= self.window)].to_numpy() + self.window)
-        counts = enters.cumsum().to_numpy() - np.searchsorted(leaves, reads["at"].to_numpy(), "left")
-        top = int(counts.argmax())
-        peak, peak_at = (int(counts[top]), int(reads["at"][top])) if counts[top] > before else (before, None)
-        last = max(int(reads["at"].iloc[-1]), best[1] if best else 0)
+        top, top_at = self._most(reads)
+        peak, peak_at = (top, top_at) if top > before else (before, None)
+        last = max(reads[-1][0], best[1] if best else 0)
         # A late row may fall in windows that end up to a window before the newest read.
-        kept = reads[reads["at"] >= last - 2 * self.window]
-        self.reads.put([(int(at), i, f) for at, i, f in kept.itertuples(index=False)])
+        self.reads.put([r for r in reads if r[0] >= last - 2 * self.window])
         self.best.update((peak, last))
-        for timer in self.handle.listTimers():
+        for timer in self.handle.listTimers() if best else ():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((last + self.window) * 1000)
         if peak_at is not None and peak >= self.threshold:

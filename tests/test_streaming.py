@@ -143,3 +143,18 @@ def test_bulk_access_in_batches_with_late_rows(spark, tmp_path):
     got = drain(streams.bulk_access(live, RuleConfig(window_seconds=60, distinct_file_threshold=3)), "update")
     want = rules.window_peaks(spark.createDataFrame(rows, FILE_ACCESS), 60, 3).first()
     assert got.where("state <> 'closed'").agg(F.max("distinct_files")).first()[0] == want.peak
+
+
+def test_few_reads_need_no_frame(monkeypatch):
+    """A key's reads are counted without a data frame, and as the definition says."""
+    import random
+
+    from pathwatch.streaming import streams
+
+    monkeypatch.setattr(streams, "pd", None)
+    rng, windows = random.Random(5), streams.BulkWindows(10, 3)
+    for _ in range(200):
+        reads = sorted((rng.randrange(60), str(i), rng.choice(["a", "b", "c", "d", None])) for i in range(rng.randrange(1, 40)))
+        counts = [(len({f for a, _, f in reads[: i + 1] if a >= at - 10}), at) for i, (at, _, _) in enumerate(reads)]
+        best = max(n for n, _ in counts)
+        assert windows._most(reads) == (best, next(at for n, at in counts if n == best))
