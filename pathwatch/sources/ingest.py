@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..schemas import ASSETS
+from ..tables import written
 from . import records
 from .profiles import ENUMS, PREFIX, Profile
 
@@ -62,22 +63,28 @@ def _lookup(profile: Profile):
 
 
 def parse(rows: DataFrame, profile: Profile) -> Parsed:
-    """Typed rows of scanned ones. A row is skipped for the first required target it lacks, in the profile's order."""
+    """Typed rows of scanned ones. A row is skipped for the first required target it lacks, in the profile's order.
+
+    The log is read once, here: its checked rows are written, and all that is returned comes from them. Else each count would
+    cut the records anew, and the test on the reason, pushed below the values, would hold each of them several times over, in
+    code too large for the JVM to compile.
+    """
     lookup = _lookup(profile)
     targets = profile.targets
     derive = "derive" in profile.map["id"]
-    typed = rows.select("_source", "_row", *[profile.value(t, lookup).alias(t) for t in targets if not (t == "id" and derive)], *[profile.raw_value(t, lookup).alias(f"_raw_{t}") for t, (k, _) in targets.items() if k == "id" and not (t == "id" and derive)])
+    own = [t for t in targets if not (t == "id" and derive)]
+    trimmed = rows.select("_source", "_row", *[s.text(profile.raw_value(t, lookup)).alias(f"_text_{t}") for t in own], *[profile.raw_value(t, lookup).alias(f"_raw_{t}") for t in own if targets[t][0] == "id"])
+    typed = trimmed.select("_source", "_row", *[profile.value(t, F.col(f"_text_{t}")).alias(t) for t in own], *[f"_raw_{t}" for t in own if targets[t][0] == "id"])
     reason = F.when(F.lit(False), F.lit(""))
-    for t, (kind, needed) in targets.items():
-        if t == "id" and derive:
-            continue
+    for t in own:
+        kind, needed = targets[t]
         if needed or t == "id":
             reason = reason.when(F.col(t).isNull(), f"missing_{t}")
         if kind == "opaque":
             reason = reason.when((F.length(t) > 256) | F.col(t).rlike(r"[\x00-\x1f]"), f"bad_{t}")
         if kind == "enum":
             reason = reason.when(~F.col(t).isin(ENUMS[t]), f"bad_{t}")
-    marked = typed.withColumn("_reason", reason)
+    marked = written(typed.withColumn("_reason", reason))
     good = marked.where("_reason is null").drop("_reason")
     if derive:
         body = s.canonical(**{t: F.col(t) for t in targets if t != "id"})
@@ -86,7 +93,7 @@ def parse(rows: DataFrame, profile: Profile) -> Parsed:
     optional = [t for t, (_, needed) in targets.items() if not needed and t != "id"]
     nulls = F.explode(F.array_compact(F.array(*[F.when(F.col(t).isNull(), F.lit(t)) for t in optional])))
     unknown = good.select(F.col("_source").alias("source"), nulls.alias("column")).groupBy("source", "column").agg(F.count("*").alias("n"))
-    read = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"))
+    read = marked.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"))
     return Parsed(good, skipped, unknown, read, profile.record)
 
 

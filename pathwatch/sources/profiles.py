@@ -91,22 +91,20 @@ class Profile:
             return F.lit(None if x["const"] is None else str(x["const"]).lower() if isinstance(x["const"], bool) else str(x["const"]))
         return lookup(x["field"]) if "field" in x else F.lit(None).cast("string")
 
-    def value(self, target: str, lookup) -> Column:
-        """The typed value of a target; null where it is unknown."""
-        kind, x, raw = self.targets[target][0], self.map.get(target, {}), self.raw_value(target, lookup)
+    def value(self, target: str, text: Column) -> Column:
+        """The typed value of a target from its trimmed source text; null where it is unknown."""
+        kind, x = self.targets[target][0], self.map.get(target, {})
         if kind == "time":
-            out = s.epoch(raw, x.get("time", "iso8601"), x.get("timezone"))
+            out = s.epoch(text, x.get("time", "iso8601"), x.get("timezone"), trimmed=True)
         elif kind == "bool":
-            out = s.tri_state(raw, *[x.get(k) for k in _WORD_LISTS])
+            out = s.tri_state(text, *[x.get(k) for k in _WORD_LISTS], trimmed=True)
         elif kind == "int":
-            out = s.bounded_long(raw, 0, 10**12)
+            out = s.bounded_long(text, 0, 10**12, trimmed=True)
         elif kind == "number":
-            out = s.bounded_double(raw, 0, 10)
-        elif kind == "enum":
-            out = s.mapped(raw, x["map"]) if "map" in x else s.text(raw)
+            out = s.bounded_double(text, 0, 10, trimmed=True)
         else:
-            out = s.mapped(raw, x["map"]) if "map" in x else s.text(raw)
-            out = s.slug(out) if kind == "id" else out
+            out = s.mapped(text, x["map"], trimmed=True) if "map" in x else text
+            out = s.slug(out, trimmed="map" not in x) if kind == "id" else out
         if x.get("default") is not None:
             out = F.coalesce(out, F.lit(x["default"]))
         return out.cast(TYPES[kind])

@@ -14,9 +14,11 @@ import hashlib
 import io
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,11 @@ def ends_quoted(line: str, delimiter: str, inside: bool) -> bool:
 
 
 def fields(record: str, delimiter: str) -> list[str]:
-    """The fields of one record, none of a blank one."""
+    """The fields of one record, none of a blank one. Only quotes and inner line breaks need the csv module."""
+    if '"' not in record:
+        line = record.rstrip("\r\n")
+        if "\r" not in line and "\n" not in line:
+            return line.split(delimiter) if line else []
     csv.field_size_limit(sys.maxsize)
     return next(csv.reader(io.StringIO(record, newline=""), delimiter=delimiter), [])
 
@@ -58,8 +64,8 @@ def _named(record: str, delimiter: str, header: list[str]) -> dict[str, str | No
     values = fields(record, delimiter)
     if not values:
         return None
-    found: dict[str, str | None] = dict.fromkeys(header)
-    found.update((n, v or None) for n, v in zip(header, values))
+    found: dict[str, str | None] = dict.fromkeys(header) if len(values) < len(header) else {}
+    found.update(zip(header, [v or None for v in values]))
     return found
 
 
@@ -80,7 +86,10 @@ def _runs(batches: Iterator[pa.RecordBatch], encoding: str, skip: int) -> Iterat
     now, number, gone = None, 0, 0
     for batch in batches:
         facts = batch.drop_columns(["line"])
-        for i, (key, line) in enumerate(zip(zip(batch["file"].to_pylist(), batch["block"].to_pylist()), batch["line"].to_pylist())):
+        files, blocks = batch["file"], batch["block"]
+        alone = len(pc.unique(files)) == len(pc.unique(blocks)) == 1
+        keys = repeat((files[0].as_py(), blocks[0].as_py())) if alone else zip(files.to_pylist(), blocks.to_pylist())
+        for i, (key, line) in enumerate(zip(keys, batch["line"].to_pylist())):
             if key != now:
                 now, number, gone = key, 0, skip if key[1] else 0
                 yield {n: facts[n][i].as_py() for n in facts.schema.names}, 0, None
@@ -142,8 +151,20 @@ _CUT = "file string, _source string, _row long, starts boolean, text string, hea
 _CUT_ARROW = pa.schema([("file", pa.string()), ("_source", pa.string()), ("_row", pa.int64()), ("starts", pa.bool_()), ("text", pa.string()), ("header", pa.list_(pa.string())), ("_v", pa.map_(pa.string(), pa.string()))])
 
 
+def _maps(found: Iterable[dict[str, str | None] | None]) -> pa.Array:
+    """A map array from one list of all names and one of all values."""
+    starts: list[int | None] = []
+    names: list[str] = []
+    values: list[str | None] = []
+    for x in found:
+        starts.append(None if x is None else len(names))
+        names.extend(x or ())
+        values.extend(x.values() if x else ())
+    return pa.MapArray.from_arrays(pa.array([*starts, len(names)], pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array([list(x.items()) if isinstance(x, dict) else x for x in c], f.type) for c, f in zip(zip(*rows), _CUT_ARROW)]
+    columns = [_maps(c) if pa.types.is_map(f.type) else pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT_ARROW)]
     return pa.RecordBatch.from_arrays(columns, schema=_CUT_ARROW)
 
 

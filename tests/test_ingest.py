@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,58 @@ def test_csv_import(spark, tmp_path):
     assert source.sha256 == hashlib.sha256(p.read_bytes()).hexdigest() and source.verified
 
 
+def test_a_log_is_cut_once_for_all_that_is_returned(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('timestamp,event_id,user,session_id,gateway,result\n2026-01-01T09:00:00,e1," t",s,gw 1,success\n2026-01-01T09:00:00,e2,,s,g,success\n')
+    (tmp_path / "b.csv").write_text("timestamp,event_id,user,session_id,gateway,result\n")
+    (tmp_path / "c.csv").write_text("timestamp,event_id,user,session_id,gateway,result\n,e3,t,s,g,failure\n")
+    profile = built_in("generic-auth-csv")
+    parsed = ingest.parse(ingest.scan(spark, str(tmp_path), profile)[0], profile)
+    frames = [parsed.rows, parsed.skipped, parsed.unknown, parsed.read, ingest.quality([parsed]), ingest.normalized_identifiers(parsed.rows, "gateway_id")]
+    assert not any("MapInArrow" in f._jdf.queryExecution().optimizedPlan().toString() for f in frames)
+    got = [sorted(map(tuple, f.collect())) for f in frames[1:]]
+    assert got[0] == [("a.csv", "missing_actor", 1), ("c.csv", "missing_at", 1)]
+    assert got[1] == [("a.csv", c, 1) for c in ("approved", "device_trusted", "privileged")]
+    assert got[2:] == [[("a.csv", 2), ("c.csv", 1)], [("a.csv", "login", 2, 1, 1), ("c.csv", "login", 1, 0, 1)], [(1,)]]
+
+
+def test_a_log_without_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("timestamp,event_id,user,session_id,gateway,result\n")
+    profile = built_in("generic-auth-csv")
+    parsed = ingest.parse(ingest.scan(spark, str(tmp_path), profile)[0], profile)
+    assert [f.count() for f in (parsed.rows, parsed.skipped, parsed.unknown, parsed.read, ingest.quality([parsed]))] == [0] * 5
+    assert ingest.normalized_identifiers(parsed.rows, "gateway_id").first().n == 0
+
+
+@pytest.mark.parametrize("name", sorted(BUILT_IN))
+def test_checked_rows_come_from_code_that_the_jvm_compiles(spark, monkeypatch, name):
+    """HotSpot leaves methods beyond 8,000 bytes to its interpreter."""
+    plans = []
+    monkeypatch.setattr(ingest, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan()) or df)
+    kind = "map<string,string>" if built_in(name).format == "csv" else "variant"
+    rows = spark.range(9).selectExpr("'f' AS _source", "id AS _row", "map('user', 'x') AS _v" if kind != "variant" else "parse_json('{}') AS _v").mapInArrow(lambda x: x, f"_source string, _row long, _v {kind}")
+    ingest.parse(rows, built_in(name))
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plans[0])
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_constants_and_mapped_identifiers_are_trimmed(spark):
+    raw = {**BUILT_IN["generic-auth-csv"], "map": {**BUILT_IN["generic-auth-csv"]["map"], "session": {"const": "  s 1 "}, "gateway_id": {"field": "gateway", "map": {"a": " g 1 ", "b": "g2"}}}}
+    profile = Profile.load(raw)
+    rows = spark.createDataFrame([("f", i, {"timestamp": "2026-01-01T09:00:00", "event_id": f"e{i}", "user": "u", "gateway": g, "result": "success"}) for i, g in enumerate([" A ", "b", "c"])], "_source string, _row long, _v map<string,string>")
+    parsed = ingest.parse(rows, profile)
+    assert {(r.id, r.session, r.gateway_id[:4]) for r in parsed.rows.collect()} == {("e0", "s 1", "g-1:"), ("e1", "s 1", "g2")}
+    assert [(r.reason, r.n) for r in parsed.skipped.collect()] == [("missing_gateway_id", 1)]
+
+
+def test_slugs_of_odd_names(spark):
+    names = ["", " ", "-", "--a", "_a", ".", "é", "é_", "é-_b", "x", "a b", "a:b", "a" * 81, "-" * 70 + "b", "保守 a"]
+    heads = [None, None, "asset:", "a:", "x_a:", "x.:", "asset:", "x_:", "x_b:", "x", "a-b:", "a-b:", "a" * 60 + ":", "b:", "a:"]
+    got = [r.s for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, x string").orderBy("i").select(s.slug(F.col("x")).alias("s")).collect()]
+    want = [h and (h + hashlib.sha256(n.strip().encode()).hexdigest()[:16] if h.endswith(":") else h) for h, n in zip(heads, names)]
+    assert got == want
+
+
 def test_jsonl_import(spark, tmp_path):
     p = tmp_path / "files.jsonl"
     p.write_text('{"ts": 1767225600123, "user": {"id": "a"}, "session": "s", "host": "h", "path": "/x", "label": "機密", "bytes": "1e400"}\n\n[1]\n{"ts": 1, bad}\n{"ts": 1767225600123, "session": "s", "host": "h", "path": "/x"}\n')

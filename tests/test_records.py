@@ -70,6 +70,16 @@ def test_facts_too_large_to_send_are_joined(spark, tmp_path, small_blocks, monke
     assert found(records.delimited(spark, str(tmp_path))) == by_hand(tmp_path, "utf-8", ",", 0)
 
 
+def test_fields_of_records_without_quotes_equal_the_csv_modules():
+    r = random.Random(2)
+    for _ in range(20000):
+        delimiter = r.choice(",;|\t")
+        record = "".join(r.choices(["x", " ", delimiter, '"', "\0", "\x0b", "é", "\u2028"], [4, 2, 4, 1, 1, 1, 1, 1], k=r.randint(0, 9))) + r.choice(["", "\n", "\r\n", "\r"])
+        assert records.fields(record, delimiter) == next(csv.reader([record], delimiter=delimiter), [])
+    assert records._named("1,,3,4\n", ",", ["a", "b", "a"]) == {"a": "3", "b": None} and records._named("1\n", ",", ["a", "b"]) == {"a": "1", "b": None} and records._named("\r\n", ",", ["a"]) is None
+    assert records._maps([{"a": "1", "b": None}, None, {"b": "2"}]).to_pylist() == [[("a", "1"), ("b", None)], None, [("b", "2")]]
+
+
 def test_states_compose(spark):
     """Kept, fixed and turned starts in a row, against one pass over them."""
     r = random.Random(1)
